@@ -1,8 +1,15 @@
 """The registered queries of this package and their DuckDB SQL."""
 
-from . import sharding
+from . import decontamination, quality, secrets, sharding, token_counts, url_filters
 
 QUERIES = {
+    "op2_token_counts": token_counts.op2_token_counts,
     "op3_consistent_hash_sharding": sharding.op3_consistent_hash_sharding,
+    "op5_url_filters": url_filters.op5_url_filters,
+    "op6_secret_scans": secrets.op6_secret_scans,
+    "op8_quality_classifier": quality.op8_quality_classifier,
+    "op9_decontamination": decontamination.op9_decontamination,
+}
+ORACLE_SQL = {
+    "op5_url_filters": url_filters.OP5_SQL,
 }
-ORACLE_SQL: dict = {}
