@@ -1,15 +1,19 @@
 """The registered queries of this package and their DuckDB SQL."""
 
-from . import decontamination, quality, secrets, sharding, token_counts, url_filters
+from . import decontamination, quality, secrets, sentencepiece_codec, sharding, token_counts, topk_search, toxicity, url_filters
 
 QUERIES = {
+    "op1_exact_topk_search": topk_search.op1_exact_topk_search,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_consistent_hash_sharding": sharding.op3_consistent_hash_sharding,
+    "op4_sentencepiece": sentencepiece_codec.op4_sentencepiece,
     "op5_url_filters": url_filters.op5_url_filters,
     "op6_secret_scans": secrets.op6_secret_scans,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_decontamination": decontamination.op9_decontamination,
 }
 ORACLE_SQL = {
+    "op1_exact_topk_search": topk_search.OP1_SQL,
     "op5_url_filters": url_filters.OP5_SQL,
 }
