@@ -1,6 +1,6 @@
 """The registered queries of this package and their DuckDB SQL."""
 
-from . import decontamination, quality, secrets, sentencepiece_codec, sharding, token_counts, topk_search, toxicity, url_filters
+from . import decontamination, jaccard_join, quality, secrets, sentencepiece_codec, sharding, token_counts, topk_search, toxicity, url_filters
 
 QUERIES = {
     "op1_exact_topk_search": topk_search.op1_exact_topk_search,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_decontamination": decontamination.op9_decontamination,
+    "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
 }
 ORACLE_SQL = {
     "op1_exact_topk_search": topk_search.OP1_SQL,
