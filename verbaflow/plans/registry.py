@@ -1,4 +1,346 @@
-"""Registered queries over the shared tables and the DuckDB SQL that gives the same rows."""
+"""Registered queries over the shared tables, and the DuckDB SQL that gives the same rows.
+
+Every query runs over its whole tables. Tables without the characters an operator is about are joined with a few
+literal rows that have them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import frequency, kana, text
+from ..functions.lexicon import AMBIGUOUS_EXCEPTIONS, DETACHMENTS, EXCEPTIONS, POS, SEED_EXCEPTIONS, SEED_LEMMAS, STOPWORDS, Lexicon
+from ..functions.tokenize import tokenize, tokenize_sql
+from ..operators import records, stem
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+#: What stands for a stop word in the records made from plain tokens.
+STOP = ("the", "of", "and", "to", "in", "a", "an", "die", "der", "und", "de", "la", "que", "le", "les")
+PIECE = 100
+KANA_WORDS = [
+    ("フジサン", "fujisan"), ("シンブン", "shimbun"), ("サンマ", "samma"), ("シンイチ", "shin'ichi"), ("コンニチワ", "kon'nichiwa"), ("トーキョー", "toukyou"),
+    ("コーヒー", "kouhii"), ("チョット", "chotto"), ("マッチ", "matchi"), ("ッア", "t-a"), ("ー", "_"), ("ティー", "tii"), ("ファ", "fa"), ("フュ", "fuxyu"), ("ヅ", "du"),
+]
+
+
+def registered(sql: str | None = None):
+    """Registers a query, and its SQL if there is any."""
+
+    def keep(query):
+        QUERIES[query.__name__] = query
+        if sql:
+            ORACLE_SQL[query.__name__] = sql
+        return query
+
+    return keep
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _values(rows: list[tuple]) -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
+
+
+TOKENS = f"SELECT doc_id, lang, {tokenize_sql('text')} AS toks FROM documents"
+LONG = f"SELECT doc_id, lang, unnest(toks) AS token, unnest(range(len(toks))) AS pos FROM ({TOKENS})"
+STOPS = ", ".join(f"'{w}'" for w in STOP)
+PUNCT = "NOT regexp_matches({}, '[\\p{{L}}\\p{{N}}]')"
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "lang", tokenize(F.col("text")).alias("toks"))
+
+
+@registered(f"""
+WITH w AS (SELECT lang, lower(token) AS word, count(*) AS n FROM ({LONG}) WHERE lower(token) NOT IN ('the', 'a', 'an') AND regexp_matches(lower(token), '^[\\p{{L}}\\p{{N}}]') GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place FROM w)
+SELECT lang, word, n, CAST(place AS INTEGER) AS place FROM r WHERE place <= 100""")
+def tokens_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 100 most frequent words of each language, stop words aside."""
+    words = _tokens(spark, sf_dir).select("lang", F.explode("toks").alias("t")).select("lang", F.lower("t").alias("word")).where(stem.good_lemma(F.col("word")))
+    counts = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
+    return counts.withColumn("place", place).where("place <= 100")
+
+
+@registered(f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, token FROM ({LONG})")
+def tokens_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens(spark, sf_dir).select("doc_id", F.posexplode("toks").alias("pos", "token"))
+
+
+_SEGMENT = text.SEGMENT
+
+
+def _camel_sql(column: str) -> str:
+    return f"replace(reverse(array_to_string(list_filter(list_transform(regexp_extract_all(reverse({column}), '{_SEGMENT}', 1), lambda x: trim(x, ' _')), lambda x: x <> ''), ' ')), '- ', '-')"
+
+
+_JOINED = {"documents": "replace(replace(text, ' ', ''), chr(10), '')", "nation": "n_name", "customer": "c_name"}
+
+
+@registered(
+    f"SELECT 'documents' AS origin, doc_id AS id, {_camel_sql(_JOINED['documents'])} AS words FROM documents"
+    f" UNION ALL SELECT 'nation', n_nationkey, {_camel_sql('n_name')} FROM nation UNION ALL SELECT 'customer', c_custkey, {_camel_sql('c_name')} FROM customer"
+)
+def camel_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def part(name: str, key: str, column: Column) -> DataFrame:
+        return _table(spark, sf_dir, name).select(F.lit(name).alias("origin"), F.col(key).cast("long").alias("id"), text.un_camel_case(column).alias("words"))
+
+    joined = F.replace(F.replace(F.col("text"), F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))
+    return part("documents", "doc_id", joined).unionByName(part("nation", "n_nationkey", F.col("n_name"))).unionByName(part("customer", "c_custkey", F.col("c_name")))
+
+
+_BOUNDARY = "".join(f"\\p{{{c}}}" for c in text.BOUNDARIES if c != "Cn")
+
+
+@registered(f"""
+WITH p AS (SELECT doc_id, regexp_extract_all(text, '(?s)(?:.{{1,{PIECE}}}\\z|.{{0,{PIECE - 1}}}[{_BOUNDARY}]|.{{{PIECE}}})') AS pieces FROM documents)
+SELECT doc_id, CAST(unnest(range(len(pieces))) AS INTEGER) AS pos, unnest(pieces) AS piece FROM p""")
+def pieces_100(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.string_pieces(F.col("text"), PIECE)).alias("pos", "piece"))
+
+
+@registered(f"SELECT token, {PUNCT.format('token')} AS is_punct, count(*) AS n FROM ({LONG}) GROUP BY ALL")
+def punct_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _tokens(spark, sf_dir).select(F.explode("toks").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return words.select("token", text.is_punctuation(F.col("token")).alias("is_punct"), "n")
+
+
+def _untokenized_sql(words: str) -> str:
+    out = f"array_to_string({words}, ' ')"
+    for old, new in (("`` ", '"'), (" ''", '"'), (". . .", "..."), (" ( ", " ("), (" ) ", ") ")):
+        out = f"replace({out}, {_values([(old,)])[1:-1]}, {_values([(new,)])[1:-1]})"
+    out = f"""regexp_replace({out}, ' ([.,:;?!%]+)([ ''"`])', '\\1\\2', 'g')"""
+    out = f"regexp_replace({out}, ' ([.,:;?!%]+)$', '\\1')"
+    for old, new in ((" '", "'"), (" n't", "n't"), ("can not", "cannot"), (" ` ", " '")):
+        out = f"replace({out}, {_values([(old,)])[1:-1]}, {_values([(new,)])[1:-1]})"
+    return f"trim({out})"
+
+
+@registered(f"SELECT doc_id, {_untokenized_sql('toks')} AS text FROM ({TOKENS})")
+def untok_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens(spark, sf_dir).select("doc_id", text.untokenize(F.col("toks")).alias("text"))
+
+
+@registered("""
+SELECT conv_id, turn, regexp_replace(chr(1) || text || chr(127) || chr(10) || chr(11) || 'x', '[\\x00-\\x08\\x0B\\x0E-\\x1F\\x7F\\x{100000}-\\x{10FFFF}]', '', 'g') AS safe FROM conversations""")
+def render_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dirty = F.concat(F.lit("\x01"), F.col("text"), F.lit("\x7f\n\x0bx"))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", text.render_safe(dirty).alias("safe"))
+
+
+@registered("""
+WITH t AS (SELECT p_partkey, replace(replace(p_name, ' ', '_') || ' (' || p_type || '_) x', '_', ' ') AS s FROM part
+           UNION ALL SELECT -p_partkey, replace(p_name, '_', ' ') FROM part)
+SELECT p_partkey, CASE WHEN regexp_matches(s, '^([^(]+) \\(([^)]+)\\)') THEN regexp_extract(s, '^([^(]+) \\(([^)]+)\\)', 1) ELSE s END AS name,
+       CASE WHEN regexp_matches(s, '^([^(]+) \\(([^)]+)\\)') THEN 'n/' || trim(regexp_extract(s, '^([^(]+) \\(([^)]+)\\)', 2), ' _') END AS disambig FROM t""")
+def topic_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part")
+    titled = part.select("p_partkey", F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(" ("), "p_type", F.lit("_) x")).alias("topic"))
+    rows = titled.unionByName(part.select((-F.col("p_partkey")).alias("p_partkey"), F.col("p_name").alias("topic")))
+    return rows.select("p_partkey", text.topic_parts(F.col("topic")).alias("t")).select("p_partkey", "t.name", "t.disambig")
+
+
+_LEMMAS = [(f, p) for p, forms in SEED_LEMMAS.items() for f in forms]
+_BADNESS = "length(form) - CASE WHEN ends_with(form, 'e') THEN 2 WHEN ends_with(form, 'ess') THEN 10 WHEN ends_with(form, 'ss') THEN 4 ELSE 0 END"
+
+
+def _stem_ctes(words: str) -> str:
+    """SQL: CTEs that end in stemmed(low, stem), for a query of lower-case words without tags."""
+    return f"""
+words AS (SELECT DISTINCT low FROM ({words})), lemmas(form, p) AS (VALUES {_values(_LEMMAS)}), odd(low, p, form) AS (VALUES {_values(SEED_EXCEPTIONS)}),
+rules(k, p, old, new) AS (VALUES {_values([(k, *r) for k, r in enumerate(DETACHMENTS)])}), letters(p, p_at) AS (VALUES {_values([(p, k) for k, p in enumerate(POS)])}),
+fixed(low, stem) AS (VALUES {_values(list((AMBIGUOUS_EXCEPTIONS | EXCEPTIONS).items()))}),
+asked AS (SELECT w.low, l.p, l.p_at FROM words w, letters l
+          WHERE NOT (ends_with(w.low, 'ing') OR ends_with(w.low, 'ed')) OR l.p = 'v'),
+r1 AS (SELECT a.low, a.p, a.p_at, r.k::VARCHAR AS at, left(a.low, length(a.low) - length(r.old)) || r.new AS form FROM asked a JOIN rules r ON r.p = a.p AND ends_with(a.low, r.old)),
+r2 AS (SELECT a.low, a.p, a.p_at, a.at || '.' || r.k AS at, left(a.form, length(a.form) - length(r.old)) || r.new AS form FROM r1 a JOIN rules r ON r.p = a.p AND ends_with(a.form, r.old)),
+r3 AS (SELECT a.low, a.p, a.p_at, a.at || '.' || r.k AS at, left(a.form, length(a.form) - length(r.old)) || r.new AS form FROM r2 a JOIN rules r ON r.p = a.p AND ends_with(a.form, r.old)),
+pool AS (SELECT low, p, p_at, 1 AS round, 0 AS own, low AS form FROM asked
+         UNION ALL SELECT low, p, p_at, 1, 1, form FROM r1 WHERE (low, p) NOT IN (SELECT low, p FROM odd)
+         UNION ALL SELECT low, p, p_at, 2, 1, form FROM r2 WHERE (low, p) NOT IN (SELECT low, p FROM odd)
+         UNION ALL SELECT low, p, p_at, 3, 1, form FROM r3 WHERE (low, p) NOT IN (SELECT low, p FROM odd)
+         UNION ALL SELECT a.low, a.p, a.p_at, 1, 1, o.form FROM asked a JOIN odd o ON o.low = a.low AND o.p = a.p),
+known AS (SELECT pool.*, {_BADNESS} AS badness FROM pool WHERE (form, p) IN (SELECT form, p FROM lemmas)),
+early AS (SELECT * FROM known k WHERE round = (SELECT min(round) FROM known j WHERE j.low = k.low AND j.p = k.p)),
+best AS (SELECT low, first(form ORDER BY badness, p_at, own, form) AS form FROM early GROUP BY low),
+stemmed AS (SELECT w.low, coalesce(f.stem, b.form, w.low) AS stem
+            FROM words w LEFT JOIN fixed f ON f.low = w.low AND f.low <> 'feed' LEFT JOIN best b ON b.low = w.low)"""
+
+
+_TURNS = f"SELECT conv_id * 1000 + turn AS doc_id, text, {tokenize_sql('text')} AS toks FROM conversations"
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+
+
+@registered(f"""
+WITH {_stem_ctes(f"SELECT lower(token) AS low FROM ({LONG})")}
+SELECT low AS word, stem FROM stemmed""")
+def stem_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stem of every distinct lower-case token, tags unknown."""
+    words = _tokens(spark, sf_dir).select(F.explode("toks").alias("t")).select(F.lower("t").alias("word"), F.lit(None).cast("string").alias("tag")).distinct()
+    return stem.stems(words, Lexicon.seed(spark)).select("word", "stem")
+
+
+@registered(f"SELECT token AS form, CAST({_BADNESS.replace('form', 'token')} AS INTEGER) AS badness, count(*) AS n FROM ({LONG}) GROUP BY ALL")
+def badness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _tokens(spark, sf_dir).select(F.explode("toks").alias("form")).groupBy("form").agg(F.count(F.lit(1)).alias("n"))
+    return words.select("form", stem.word_badness(F.col("form")).alias("badness"), "n")
+
+
+_LISTS = f"""
+turns AS ({_TURNS}), flat AS (SELECT doc_id, unnest(toks) AS token, unnest(range(len(toks))) AS pos FROM turns),
+{_stem_ctes("SELECT lower(token) AS low FROM flat")},
+good AS (SELECT f.doc_id, list(s.stem ORDER BY f.pos) AS found FROM flat f JOIN stemmed s ON s.low = lower(f.token)
+         WHERE s.stem NOT IN ('the', 'a', 'an') AND regexp_matches(s.stem, '^[\\p{{L}}\\p{{N}}]') GROUP BY f.doc_id),
+lists AS (SELECT t.doc_id, CASE WHEN g.found IS NULL THEN [t.text] WHEN g.found[1] = 'to' THEN g.found[2:] ELSE g.found END AS lemmas FROM turns t LEFT JOIN good g ON g.doc_id = t.doc_id)"""
+
+
+@registered(f"WITH {_LISTS} SELECT doc_id, array_to_string(lemmas, '|') AS lemmas FROM lists")
+def normalize_list_en(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stem.normalize_list(_turns(spark, sf_dir), Lexicon.seed(spark)).select("doc_id", F.array_join("lemmas", "|").alias("lemmas"))
+
+
+@registered(f"WITH {_LISTS} SELECT doc_id, {_untokenized_sql('lemmas')} AS normalized FROM lists")
+def normalize_en(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stem.normalize(_turns(spark, sf_dir), Lexicon.seed(spark))
+
+
+@registered()
+def tag_and_stem_en(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stem.tag_and_stem(_turns(spark, sf_dir), Lexicon.seed(spark), stem.baseline_tag)
+
+
+def _as_records(toks: Column) -> Column:
+    """Records as a FreeLing analyzer gives them, its lines made from plain tokens: the lemma in place, determiners for STOP."""
+    line = lambda t: F.concat_ws(" ", t, t, F.when(F.lower(t).isin(*STOP), "DT").otherwise("NN"), F.lit("1"))
+    return records.from_freeling(F.transform(toks, line), F.col("lang"))
+
+
+_TAG = f"CASE WHEN lower(token) IN ({STOPS}) THEN CASE WHEN lang = 'en' THEN 'DT' ELSE 'D' END ELSE CASE WHEN lang = 'en' THEN 'NN' ELSE 'N' END END"
+
+
+@registered(f"""
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN {PUNCT.format('token')} THEN token ELSE lower(token) END AS stem,
+       CASE WHEN {PUNCT.format('token')} THEN '.' ELSE {_TAG} END AS tag, token FROM ({LONG})""")
+def records_tag_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _tokens(spark, sf_dir).select("doc_id", F.posexplode(records.triples(_as_records(F.col("toks")))).alias("pos", "t"))
+    return rows.select("doc_id", "pos", "t.stem", "t.tag", "t.token")
+
+
+@registered(f"""
+SELECT doc_id, CASE WHEN len(list_filter(toks, lambda t: lower(t) NOT IN ({STOPS}))) > 0
+  THEN array_to_string(list_transform(list_filter(toks, lambda t: lower(t) NOT IN ({STOPS})), lambda t: lower(t)), ' ') ELSE array_to_string(toks, ' ') END AS normalized FROM ({TOKENS})""")
+def records_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens(spark, sf_dir).select("doc_id", records.normalized(_as_records(F.col("toks"))).alias("normalized"))
+
+
+@registered(f"""
+WITH c AS (SELECT doc_id, pos, token, lower(token) AS root, lead(lower(token)) OVER w AS next_root, lead(pos) OVER w AS next_pos
+           FROM ({LONG}) WHERE lower(token) NOT IN ({STOPS}) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+p AS (SELECT doc_id, pos, 1 AS n, root AS term, token AS phrase FROM c
+      UNION ALL SELECT c.doc_id, c.pos, 2, root || ' ' || next_root, array_to_string(t.toks[c.pos + 1 : c.next_pos + 1], '') FROM c JOIN ({TOKENS}) t ON t.doc_id = c.doc_id WHERE next_pos IS NOT NULL)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos, n) - 1 AS INTEGER) AS pos, term, phrase FROM p""")
+def phrases_2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _tokens(spark, sf_dir).select("doc_id", F.posexplode(records.phrases(_as_records(F.col("toks")))).alias("pos", "p"))
+    return rows.select("doc_id", "pos", "p.term", "p.phrase")
+
+
+@registered(f"""
+WITH lines AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS at FROM documents)
+SELECT doc_id, CAST(at AS INTEGER) AS at, len(list_filter({tokenize_sql('line')}, lambda t: lower(t) NOT IN ({STOPS}))) = 0 AS all_stop FROM lines""")
+def is_stop_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a line of text is nothing but stop words."""
+    lines = _table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return lines.select("doc_id", "at", records.all_stop(_as_records(tokenize(F.col("line")))).alias("all_stop"))
+
+
+def _list_lines(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
+    """A frequency list as its file has it: lines before it, then rank, frequency and word."""
+    words = _tokens(spark, sf_dir).where(F.col("lang") == lang).select(F.explode("toks").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.orderBy(F.col("n").desc(), "word"))
+    lines = words.select(F.concat_ws(" ", place.cast("string"), F.format_string("%d.%02d", F.col("n"), F.col("n") % 100), "word").alias("value"))
+    head = spark.createDataFrame([("The frequency distribution of a corpus",), (" - lexicon size: 1 type",)], "value string")
+    return head.unionByName(lines)
+
+
+_RANKED = f"""
+counted AS (SELECT lang, token AS word, count(*) AS n FROM ({LONG}) GROUP BY ALL),
+listed AS (SELECT lang, word, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS INTEGER) AS rank, CAST(n || '.' || lpad(CAST(n % 100 AS VARCHAR), 2, '0') AS DECIMAL(12, 2)) AS freq FROM counted)"""
+
+
+@registered(f"WITH {_RANKED} SELECT rank, freq, word FROM listed WHERE lang = 'de'")
+def freq_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequency.parse_list(_list_lines(spark, sf_dir, "de"))
+
+
+@registered(f"WITH {_RANKED} SELECT lower(word) AS word, sum(freq) AS freq FROM listed WHERE lang = 'de' GROUP BY ALL")
+def freq_renormalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequency.renormalized(frequency.parse_list(_list_lines(spark, sf_dir, "de")), F.lower)
+
+
+@registered(f"""
+WITH {_RANKED}, scaled AS (SELECT word, CAST(freq AS DOUBLE) * 1e9 / (sum(CAST(freq AS DOUBLE)) OVER (PARTITION BY lang)) AS freq FROM listed WHERE lang IN ('de', 'es'))
+SELECT word, CAST(round(sum(freq), 2) AS DECIMAL(18, 2)) AS freq FROM scaled GROUP BY word""")
+def freq_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = [(frequency.parse_list(_list_lines(spark, sf_dir, lang)), frequency.MASS) for lang in ("de", "es")]
+    return frequency.merged(lists).select("word", F.round("freq", 2).cast("decimal(18,2)").alias("freq"))
+
+
+@registered(f"WITH {_RANKED} SELECT word, CAST(round(log10(CAST(freq AS DOUBLE)), 4) AS DECIMAL(9, 4)) AS freq FROM listed WHERE lang = 'de'")
+def freq_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frequency.parse_list(_list_lines(spark, sf_dir, "de"))
+    return rows.select("word", frequency.logarithmic(F.col("freq")).cast("decimal(9,4)").alias("freq"))
+
+
+@registered(f"WITH {_RANKED} SELECT CAST(sum(freq) AS DECIMAL(18, 2)) AS total, count(*) AS n, CAST(round(avg(CAST(freq AS DOUBLE)), 6) AS DECIMAL(18, 6)) AS mean FROM listed WHERE lang = 'de'")
+def freq_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = frequency.average(frequency.parse_list(_list_lines(spark, sf_dir, "de")))
+    return one.select(F.col("total").cast("decimal(18,2)").alias("total"), "n", F.round("mean", 6).cast("decimal(18,6)").alias("mean"))
+
+
+@registered(f"""
+WITH {_RANKED}, asked AS (SELECT DISTINCT lower(token) AS word FROM ({LONG}))
+SELECT a.word, CAST(coalesce(CAST(l.freq AS DOUBLE), 0) AS DOUBLE) AS freq FROM asked a LEFT JOIN listed l ON l.lang = 'de' AND l.word = a.word""")
+def word_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _tokens(spark, sf_dir).select(F.explode("toks").alias("t")).select(F.lower("t").alias("word")).distinct()
+    return frequency.word_frequency(words, frequency.parse_list(_list_lines(spark, sf_dir, "de")))
+
+
+@registered("""
+SELECT doc_id, CAST(unnest(range(len(cs))) AS INTEGER) AS pos, unnest(cs) AS ch FROM (SELECT page_id AS doc_id, regexp_extract_all(url, '(?s).') AS cs FROM pages)""")
+def char_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.posexplode(text.characters(F.col("url"))).alias("pos", "ch"))
+
+
+@registered(f"SELECT * FROM (VALUES {_values([('カ', 'ka', 1), ('ン', 'n', 2), ('ァ', 'xa', 3), ('ャ', 'xya', 4), ('ッ', 't', 5), ('ー', '_', 6), ('あ', 'a', 1), ('づ', 'du', 1), ('゠', 'hyphen', 1), ('ヷ', 'va', 1)])}) t(ch, roman, cls)")
+def kana_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = spark.createDataFrame([(c,) for c in "カンァャッーあづ゠ヷ"], "ch string")
+    return kana.kana_table(spark).join(F.broadcast(asked), "ch").select("ch", "roman", "cls")
+
+
+@registered(f"SELECT * FROM (VALUES {_values(KANA_WORDS)}) t(kana, roman)")
+def romanize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spark.createDataFrame([(w,) for w, _ in KANA_WORDS], "kana string")
+    return words.select("kana", kana.romanize(F.col("kana")).alias("roman"))
+
+
+_MECAB = [("これ", "名詞,代名詞,一般,*,*,*,これ,コレ,コレ"), ("は", "助詞,係助詞,*,*,*,*,は,ハ,ワ"), ("テスト", "名詞,サ変接続,*,*,*,*,テスト,テスト,テスト"), ("です", "助動詞,*,*,*,特殊・デス,基本形,です,デス,デス"), ("。", "記号,句点,*,*,*,*,。,。,。")]
+
+
+@registered("""
+SELECT page_id, 'テスト' AS normalized, 'コレ ワ テスト デス 。' AS kana, '~名詞 ~助詞 名詞 ~助動詞 .' AS tags FROM pages""")
+def records_mecab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A MeCab analyzer's lines, the same for every page: parsed, normalised, as kana and as tags."""
+    lines = F.array(*(F.lit(f"{s}\t{f}") for s, f in _MECAB))
+    rows = _table(spark, sf_dir, "pages").select("page_id", records.from_mecab(F.transform(lines, lambda x: F.concat(x, F.left(F.col("url"), F.lit(0))))).alias("r"))
+    tags = F.array_join(F.transform(records.triples(F.col("r")), lambda t: t["tag"]), " ")
+    return rows.select("page_id", records.normalized(F.col("r")).alias("normalized"), records.kana_of(F.col("r")).alias("kana"), tags.alias("tags"))
