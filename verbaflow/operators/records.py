@@ -135,9 +135,16 @@ def all_stop(records: Column) -> Column:
 def phrases(records: Column) -> Column:
     """array<struct<term, phrase>>: each content record's root and surface, and after it the pair with the next content
     record: both roots, and the surfaces from one to the other without spaces."""
-    at = F.filter(F.sequence(F.lit(0), F.size(records) - 1), lambda i: ~F.get(records, i)["is_stop"])
-    at = F.when(F.size(records) > 0, at).otherwise(F.array().cast("array<int>"))
-    after = F.when(F.size(at) > 1, F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.element_at(F.transform(F.array(records), _phrases), 1)  # so that records are made once, not for each element
+
+
+def _phrases(records: Column) -> Column:
+    none = F.array().cast("array<int>")
+    at = F.when(F.size(records) > 0, F.filter(F.sequence(F.lit(0), F.size(records) - 1), lambda i: ~F.get(records, i)["is_stop"])).otherwise(none)
+
+    def paired(at: Column) -> Column:
+        after = F.when(F.size(at) > 1, F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(1)))).otherwise(none)
+        return F.flatten(F.zip_with(at, after, one))
 
     def one(i: Column, j: Column) -> Column:
         r, s = F.get(records, i), F.get(records, j)
@@ -146,7 +153,7 @@ def phrases(records: Column) -> Column:
         pair = F.struct(F.concat(r["root"], F.lit(" "), s["root"]).alias("term"), F.array_join(F.transform(span, lambda x: x["surface"]), "").alias("phrase"))
         return F.when(j.isNull(), F.array(single)).otherwise(F.array(single, pair))
 
-    return F.flatten(F.zip_with(at, after, one))
+    return F.element_at(F.transform(F.array(at), paired), 1)
 
 
 def kana_of(records: Column) -> Column:

@@ -47,19 +47,25 @@ def override(word: Column, pos: Column) -> Column:
 
 def _detached(form: Column, pos: Column) -> Column:
     """What the detachment rules of pos make of form, in their order."""
-    made = [F.when((pos == p) & form.endswith(old), F.concat(F.left(form, F.length(form) - len(old)), F.lit(new))) for p, old, new in DETACHMENTS]
-    return F.filter(F.array(*made), lambda c: c.isNotNull())
+    out = F.array().cast("array<string>")
+    for p in POS:
+        made = [F.when(form.endswith(old), F.concat(F.left(form, F.length(form) - len(old)), F.lit(new))) for q, old, new in DETACHMENTS if p == q]
+        if made:
+            out = F.when(pos == p, F.filter(F.array(*made), lambda c: c.isNotNull())).otherwise(out)
+    return out
 
 
 def candidates(words: DataFrame) -> DataFrame:
     """words(word, pos) to word, pos, p, p_at, round, at, form: what may be a lemma of word as part of speech p."""
     letters = F.filter(F.split(F.coalesce("pos", F.lit(POS)), ""), lambda c: c != "")
-    rows = words.select("word", "pos", F.posexplode(letters).alias("p_at", "p")).withColumn("forms", F.array("word"))
-    rows = rows.withColumn("made", F.array(F.array("word")))
-    for _ in range(ROUNDS):
-        rows = rows.withColumn("forms", F.flatten(F.transform("forms", lambda f: _detached(f, F.col("p")))))
-        rows = rows.withColumn("made", F.concat("made", F.array("forms")))
-    rows = rows.select("word", "pos", "p", "p_at", F.posexplode("made").alias("round", "forms"))
+    rows = words.select("word", "pos", F.posexplode(letters).alias("p_at", "p"))
+
+    def again(state: Column, step: Column) -> Column:
+        forms = F.flatten(F.transform(F.element_at(state, -1), lambda f: _detached(f, F.col("p"))))
+        return F.concat(state, F.array(forms))
+
+    made = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.array(F.array("word")), again)
+    rows = rows.select("word", "pos", "p", "p_at", F.posexplode(made).alias("round", "forms"))
     return rows.select("word", "pos", "p", "p_at", F.greatest(F.col("round"), F.lit(1)).alias("round"), ((F.col("round") > 0).cast("int")).alias("own"), F.posexplode("forms").alias("at", "form"))
 
 

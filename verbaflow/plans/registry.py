@@ -255,12 +255,12 @@ def phrases_2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(f"""
-WITH lines AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS at FROM documents)
-SELECT doc_id, CAST(at AS INTEGER) AS at, len(list_filter({tokenize_sql('line')}, lambda t: lower(t) NOT IN ({STOPS}))) = 0 AS all_stop FROM lines""")
+WITH lines AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, len(list_filter({tokenize_sql('line')}, lambda t: lower(t) NOT IN ({STOPS}))) = 0 AS all_stop FROM lines""")
 def is_stop_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a line of text is nothing but stop words."""
-    lines = _table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return lines.select("doc_id", "at", records.all_stop(_as_records(tokenize(F.col("line")))).alias("all_stop"))
+    lines = _table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.select("doc_id", "line_no", records.all_stop(_as_records(tokenize(F.col("line")))).alias("all_stop"))
 
 
 def _list_lines(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
