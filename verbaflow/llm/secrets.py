@@ -107,8 +107,10 @@ def redacted(docs: DataFrame, owner: Column, repository: Column, owners: int = O
 
     done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
     text = F.when(F.size(spans) > 0, done).otherwise(F.col("text"))
-    changed = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return rows.withColumns(changed).select(*docs.columns)
+    out = rows.withColumn("text", text)  # on its own: beside it, an expression might be given the new text
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
