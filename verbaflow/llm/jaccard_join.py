@@ -1,7 +1,8 @@
 """N-gram Jaccard join by rare-first prefix filtering.
 
 A document is its set of distinct word shingles, as 64-bit hashes; equal sets are one class and travel once per task.
-All shingles have one order: by their count in a fixed-size sketch over the whole corpus, rare first, then by hash.
+All shingles have one order: by how often they repeat, as a fixed-size sketch over the whole corpus has it, rare
+first, then by hash. Any order gives all links; this one keeps common passages out of the prefixes.
 Two sets of similarity THRESHOLD or more share a shingle in their prefixes, the first n - ceil(t n) + 1 of n. The
 prefixes' postings meet by shingle, pass the length and positional filters, and each candidate pair is verified once
 on the whole sets, after a suffix filter that halves them at a pivot.
@@ -34,7 +35,10 @@ SKETCH_BITS, BLOCK_BITS = 22, 16
 HOT = 4096
 #: log2 of the most bits in the filter of wanted sets, which has 16 bits for each, and 2^16 at least.
 FILTER_BITS = 29
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+#: Shingles among which a task counts repeats at once.
+BLOCK_SHINGLES = 2_000_000
+SURVEY = ["block", "doc_id", "id", "n", "data", "key"]
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -92,33 +96,49 @@ def _identity(s: np.ndarray, clashing: frozenset[int]) -> tuple[int, bytes]:
 
 
 def _surveyor(k: int):
-    """(doc_id, text) to a row for each document (block -1) and this task's share of the sketch, one row a block."""
+    """(doc_id, text) to a row for each document (block -1) and this task's share of the sketch, one row a block.
+
+    The sketch counts what repeats: of each BLOCK_SHINGLES shingles, those in two or more different sets, with their
+    counts. Most shingles are in one set only and would drown the others in a sketch of bounded size.
+    """
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, counts = WordHashes(), set(), np.zeros(1 << SKETCH_BITS, np.int32)
+        waiting: list[np.ndarray] = []
+
+        def count() -> None:
+            values, often = np.unique(np.concatenate(waiting), return_counts=True)
+            np.add.at(counts, (values[often > 1] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), often[often > 1].astype(np.int32))
+            waiting.clear()
+
+        n_waiting = 0
         for batch in batches:
-            sizes, ids, digests, new = [], [], [], []
+            sizes, ids, digests, keys = [], [], [], []
             for text in batch.column(1):
-                s = shingles(text.as_py(), hashes, k)
+                raw = text.as_py()
+                s = shingles(raw, hashes, k)
                 i, digest = _identity(s, frozenset()) if len(s) else (None, None)
                 sizes.append(len(s))
                 ids.append(i)
                 digests.append(digest)
+                keys.append(hashlib.md5(raw).hexdigest() if len(s) else None)
                 if len(s) and i not in seen:
                     seen.add(i)
-                    new.append(s >> np.uint64(64 - SKETCH_BITS))
-            for at in range(0, len(new), 2000):
-                counts += np.bincount(np.concatenate(new[at : at + 2000]).astype(np.int64), minlength=len(counts)).astype(np.int32)
-            n = batch.num_rows
-            cols = [pa.array([-1] * n, pa.int32()), batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["block", "doc_id", "id", "n", "data"])
-        if seen:
-            size = 1 << BLOCK_BITS
-            for b in range(len(counts) // size):
-                part = counts[b * size : (b + 1) * size]
-                if part.any():
-                    cols = [pa.array([b], pa.int32()), *(pa.array([None], pa.int64()) for _ in range(3)), pa.array([part.tobytes()], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, names=["block", "doc_id", "id", "n", "data"])
+                    waiting.append(s)
+                    n_waiting += len(s)
+                    if n_waiting >= BLOCK_SHINGLES:
+                        count()
+                        n_waiting = 0
+            cols = [pa.array([-1] * batch.num_rows, pa.int32()), batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=SURVEY)
+        if waiting:
+            count()
+        size = 1 << BLOCK_BITS
+        for b in range(len(counts) // size):
+            part = counts[b * size : (b + 1) * size]
+            if part.any():
+                cols = [pa.array([b], pa.int32()), *(pa.array([None], pa.int64()) for _ in range(3)), pa.array([part.tobytes()], pa.binary()), pa.array([None], pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, names=SURVEY)
 
     return survey
 
@@ -176,7 +196,7 @@ def near_enough(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, t: t
     return (np.minimum(n, m) * t[1] >= np.maximum(n, m) * t[0]) & (1 + np.minimum(i, j) + np.minimum(n - i - 1, m - j - 1) >= need)
 
 
-def _leader_pairs(t: tuple[int, int]):
+def _leader_pairs(sketch, t: tuple[int, int]):
     """One partition's postings, whole lists each, to: pairs with a leader (kind 0), postings to look at again (kind 1),
     and the leaders of lists that were dealt over several tasks (kind 2)."""
     width = math.log(t[1] / t[0])
@@ -185,7 +205,10 @@ def _leader_pairs(t: tuple[int, int]):
         parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
         if not parts:
             return
-        sh, salt, ids, size, pos, often = (np.concatenate(c) for c in zip(*parts, strict=True))
+        sh, salt, ids, size, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
+        del parts
+        counts = np.frombuffer(sketch.value, np.int32)
+        often = counts[(sh.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] > HOT
         order = np.lexsort((salt, sh))
         edge = np.flatnonzero((np.diff(sh[order]) != 0) | (np.diff(salt[order]) != 0)) + 1
         length = np.diff(np.concatenate([[0], edge, [len(order)]]))
@@ -231,48 +254,53 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _filter_of(ids: DataFrame) -> tuple[bytes, int]:
-    """A bit for each of 2^bits ranges of ids that holds one of ids; its size is bounded, so it may be collected."""
-    bits = max(16, min(FILTER_BITS, math.ceil(math.log2(16 * max(1, ids.count())))))
+def _spot(key, bits: int):
+    """The range of a hexadecimal key: its first `bits` bits."""
+    return F.shiftright(F.conv(F.left(key, F.lit(8)), 16, 10).cast("long"), 32 - bits).cast("int")
+
+
+def _filter_of(keys: DataFrame) -> tuple[bytes, int]:
+    """A bit for each of 2^bits ranges of keys that holds one of keys; its size is bounded, so it may be collected."""
+    bits = max(16, min(FILTER_BITS, math.ceil(math.log2(16 * max(1, keys.count())))))
 
     def mark(part: pa.Table) -> pa.Table:
         on = np.zeros(1 << 16, np.uint8)
         on[part["bit"].to_numpy()] = 1
-        return pa.table({"page": pa.array([part["page"][0].as_py()], pa.int64()), "data": pa.array([np.packbits(on).tobytes()], pa.binary())})
+        return pa.table({"page": pa.array([part["page"][0].as_py()], pa.int32()), "data": pa.array([np.packbits(on).tobytes()], pa.binary())})
 
-    spot = F.shiftrightunsigned("id", 64 - bits)
-    marked = ids.select(F.shiftright(spot, 16).alias("page"), spot.bitwiseAND(F.lit(0xFFFF)).cast("int").alias("bit")).distinct()
+    spot = _spot(F.col("key"), bits)
+    marked = keys.select(F.shiftright(spot, 16).alias("page"), spot.bitwiseAND(F.lit(0xFFFF)).alias("bit")).distinct()
     out = bytearray(1 << (bits - 3))
-    for row in marked.groupBy("page").applyInArrow(mark, "page long, data binary").collect():
+    for row in marked.groupBy("page").applyInArrow(mark, "page int, data binary").collect():
         out[row.page << 13 : (row.page + 1) << 13] = row.data
     return bytes(out), bits
 
 
-def _texts(docs: DataFrame, ids: DataFrame, clashing: frozenset[int], k: int) -> DataFrame:
-    """(id, text) of the sets in ids, compressed; a few others may come along."""
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted(id, key) to id and the compressed text with that key. A filter of bounded size picks the texts on the way
+    out of the scan, so that few others are shuffled."""
     import zstandard
 
-    wanted, bits = _filter_of(ids)
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+    marks, bits = _filter_of(wanted)
+    sent = docs.sparkSession.sparkContext.broadcast(marks)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, pack = WordHashes(), set(), zstandard.ZstdCompressor(level=3)
+        seen, pack = set(), zstandard.ZstdCompressor(level=3)
         on = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
+            spot = batch.column(1).to_numpy()
+            some = batch.filter(pa.array((on[spot >> 3] >> (7 - (spot & 7)) & 1).astype(bool)))
             out: tuple[list, list] = ([], [])
-            for text in batch.column(1):
-                raw = text.as_py()
-                s = shingles(raw, hashes, k)
-                if len(s):
-                    i, _ = _identity(s, clashing)
-                    spot = (i & 0xFFFFFFFFFFFFFFFF) >> (64 - bits)
-                    if on[spot >> 3] >> (7 - (spot & 7)) & 1 and i not in seen:
-                        seen.add(i)
-                        out[0].append(i)
-                        out[1].append(pack.compress(raw))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], names=["id", "text"])
+            for key, text in zip(some.column(0).to_pylist(), some.column(2), strict=True):
+                if key not in seen:
+                    seen.add(key)
+                    out[0].append(key)
+                    out[1].append(pack.compress(text.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary())], names=["key", "text"])
 
-    return docs.mapInArrow(pick, "id long, text binary")
+    key = F.md5("text")
+    picked = docs.where("text IS NOT NULL").select(key.alias("key"), _spot(key, bits).alias("spot"), "text").mapInArrow(pick, "key string, text binary")
+    return picked.join(wanted, "key").groupBy("id").agg(F.min("text").alias("text"))
 
 
 def _verifier(k: int, t: tuple[int, int]):
@@ -295,11 +323,11 @@ def _verifier(k: int, t: tuple[int, int]):
     return verify
 
 
-def verified(docs: DataFrame, pairs: DataFrame, clashing: frozenset[int], k: int, t: tuple[int, int]) -> DataFrame:
-    """Of pairs (a, b) the ones that link; each is verified on both whole texts."""
+def verified(docs: DataFrame, pairs: DataFrame, keys: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
+    """Of pairs (a, b) the ones that link; each is verified on both whole texts. keys(id, key) names a text of each id."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = materialise(_texts(docs, ids, clashing, k), "jaccard-texts")
-    texts = materialise(texts.groupBy("id").agg(F.min("text").alias("text")), "jaccard-text")
+    wanted = materialise(keys.join(ids, "id", "left_semi"), "jaccard-wanted")
+    texts = materialise(_texts(docs, wanted), "jaccard-texts")
     half = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
     both = half.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
     return materialise(both.mapInArrow(_verifier(k, t), "a long, b long"), "jaccard-links")
@@ -348,7 +376,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, t: tuple[int, int] = (NUM
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    survey = materialise(docs.mapInArrow(_surveyor(k), "block int, doc_id long, id long, n long, data binary"), "jaccard-survey")
+    survey = materialise(docs.mapInArrow(_surveyor(k), "block int, doc_id long, id long, n long, data binary, key string"), "jaccard-survey")
     sketch = bytearray(4 << SKETCH_BITS)
     for row in survey.where("block >= 0").select("block", "data").groupBy("block").applyInArrow(_added, "block int, data binary").toLocalIterator():
         sketch[row.block << (BLOCK_BITS + 2) : (row.block + 1) << (BLOCK_BITS + 2)] = row.data
@@ -358,41 +386,30 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, t: tuple[int, int] = (NUM
     clashing = frozenset(r.id for r in clash.select("id").collect())
     sent = spark.sparkContext.broadcast(bytes(sketch))
     postings = docs.mapInArrow(_poster(sent, clashing, k, t), "sh long, salt int, id long, size int, pos int")
-    # lists that are dealt over several tasks are told by their shingle's count
-    often = _often(sent)
-    met = postings.repartition(parts, "sh", "salt").mapInArrow(often, "sh long, salt int, id long, size int, pos int, often boolean")
-    led = materialise(met.mapInArrow(_leader_pairs(t), "kind int, sh long, a long, b long, size int, pos int"), "jaccard-led")
+    met = postings.repartition(parts, "sh", "salt").mapInArrow(_leader_pairs(sent, t), "kind int, sh long, a long, b long, size int, pos int")
+    led = materialise(met, "jaccard-led")
     del met, postings
     _release(spark)
     heads = led.where("kind = 2").select("sh", F.col("b").alias("band"), "a", "size")
     over = heads.groupBy("sh", "band").agg(F.min(F.struct("size", "a")).alias("top"))
     across = heads.join(over, ["sh", "band"]).where("a <> top.a").select(F.least("a", "top.a").alias("a"), F.greatest("a", "top.a").alias("b"))
     pairs = materialise(led.where("kind = 0").select("a", "b").unionByName(across).distinct(), "jaccard-pairs")
-    links = verified(docs, pairs, clashing, k, t)
+    own = members.where("n > 0").select("doc_id", "n", _own_id(clashing).alias("id"), "key")
+    keys = materialise(own.groupBy("id").agg(F.min("key").alias("key"), F.min("doc_id").alias("doc_id")), "jaccard-keys")
+    links = verified(docs, pairs, keys.select("id", "key"), k, t)
     comps = components(links)
     later = _later_pairs(led.where("kind = 1").select("sh", F.col("a").alias("id"), "size", "pos"), comps, t)
     later = materialise(later.join(pairs, ["a", "b"], "left_anti"), "jaccard-later")
     if not later.isEmpty():
         _release(spark)
-        more = verified(docs, later, clashing, k, t)
+        more = verified(docs, later, keys.select("id", "key"), k, t)
         comps = components(links.unionByName(more))
-    own = members.where("n > 0").select("doc_id", "n", _own_id(clashing).alias("id"))
-    least = own.groupBy("id").agg(F.min("doc_id").alias("doc_id")).join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    least = keys.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     named = least.select("id", "comp").join(least.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "comp").select("id", "component_id")
     full = own.join(named, "id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _often(sent):
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.frombuffer(sent.value, np.int32)
-        for batch in batches:
-            sh = batch.column(0).to_numpy().view(np.uint64)
-            yield batch.append_column("often", pa.array(counts[(sh >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] > HOT))
-
-    return tell
-
-
 def _own_id(clashing: frozenset[int]):
     """A member's id, as _identity gives it."""
     if not clashing:
