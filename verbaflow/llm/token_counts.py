@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, table
+from .common import materialise, shared_dir, table
 
 TOKENIZER, RANKS, LIMIT = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", 1024
 CACHE = T.StructType([T.StructField("content_digest", T.BinaryType()), T.StructField("tokenizer_digest", T.StringType()), T.StructField("n_tokens", T.LongType())])
@@ -128,7 +128,8 @@ def count_tokens(docs: DataFrame, cache: str, files: tuple[bytes, bytes | None,
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     fresh = distinct.repartition(parts, "content_digest").mapInArrow(encoder(definition, ranks, pattern), CACHE)
     fresh.write.mode("append").parquet(cache)
-    counts = cached(spark, cache, version).groupBy("content_digest").agg(F.min("n_tokens").alias("n_tokens"))
+    # on its own, so that the join below reads plain exchanges, whose hot digests Spark can split
+    counts = materialise(cached(spark, cache, version).groupBy("content_digest").agg(F.min("n_tokens").alias("n_tokens")), "token-counts")
     rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("content_digest"))
     return rows.join(counts, "content_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
