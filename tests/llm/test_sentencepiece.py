@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -20,12 +21,15 @@ def library():
 
 
 def test_merge_as_the_library(pieces, library):
-    rnd, encoder = random.Random(1), c.Encoder(pieces, {})
+    rnd = random.Random(1)
+    encoder = c.Encoder(pieces, {w: c.packed(pieces.merged(w)) for w in ("▁a", "▁", "b", "▁▁", "▁the", "▁.", "▁▁a")})
     texts = ODD + ["".join(rnd.choice("  abcdeth\n.é▁-=*0梦\x00𝒳\t/") for _ in range(rnd.randrange(60))) for _ in range(400)]
     for x in texts:
-        ids = list(encoder(x))
+        ids = np.frombuffer(encoder(x), np.int32).tolist()
         assert ids == library.encode(x) and pieces.decode(ids) == library.decode(ids)
-    assert list(encoder(None)) == []
+    for word in ["▁" + "anana" * 6, "▁▁▁▁▁", "=" * 30]:
+        assert pieces._merged_long(word) == pieces.merged(word)
+    assert encoder(None) == b""
 
 
 def test_lattice_fold_as_the_library(spark, pieces, library):

@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,7 +29,9 @@ from .common import table
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Words in the broadcast table, and the longest word in it; words that a worker remembers besides.
-FREQUENT, LONGEST, REMEMBERED = 150_000, 40, 100_000
+FREQUENT, LONGEST, REMEMBERED = 150_000, 40, 200_000
+#: Longest word whose pairs are looked through one by one.
+SHORT = 64
 #: Pieces never hold a space mark after another character, so no piece spans two of these words.
 WORD = f"{SPACE}*[^{SPACE}]+|{SPACE}+"
 EDGE = "array<struct<start: int, end: int, id: int, score: double>>"
@@ -70,7 +72,24 @@ class Pieces:
         return [self.unknown] if self.byte0 is None else [self.byte0 + b for b in symbol.encode()]
 
     def merged(self, word: str) -> list[int]:
-        """The merge fold of one word, by an agenda of pairs: greatest score first, of equals the leftmost."""
+        """The merge fold of one word: the pair of the greatest score first, of equals the leftmost."""
+        if len(word) > SHORT:
+            return self._merged_long(word)
+        score, none = self.scores.get, -math.inf
+        symbols = list(word)
+        scores = [score(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while scores and (best := max(scores)) > none:
+            i = scores.index(best)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = score(symbols[i - 1] + symbols[i], none)
+            if i < len(scores):
+                scores[i] = score(symbols[i] + symbols[i + 1], none)
+        return [i for s in symbols for i in self.codes(s)]
+
+    def _merged_long(self, word: str) -> list[int]:
+        """The same by an agenda of pairs, whose cost is no square of the length."""
         n, score = len(word), self.scores
         end, back = list(range(1, n + 1)), list(range(-1, n - 1))  # of the symbol that starts at i: its end, its predecessor
         agenda = [(-score[word[i : i + 2]], i, i + 2) for i in range(n - 1) if word[i : i + 2] in score]
@@ -100,11 +119,11 @@ class Pieces:
             at = end[at]
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of ids; the space that encoding puts in front is taken off. Broken UTF-8 becomes U+FFFD."""
-        surfaces = self.surfaces
-        parts = [surfaces[i] for i in ids]
-        if any(type(p) is int for p in parts):
+        at = np.asarray(ids, np.int32)
+        parts = list(map(self.surfaces.__getitem__, at.tolist()))
+        if self.byte0 is not None and ((at >= self.byte0) & (at < self.byte0 + 256)).any():
             text = b"".join(bytes((p,)) if type(p) is int else p.encode() for p in parts).decode(errors="replace")
         else:
             text = "".join(parts)
@@ -172,35 +191,48 @@ def word_codes(words: DataFrame, pieces: Pieces, fold: str = "merge") -> DataFra
     return lattice(words, pieces.table(words.sparkSession), pieces.longest).select("word", F.expr(sql).alias("ids"))
 
 
-def frequent_codes(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -> dict[str, array]:
+def frequent_codes(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -> dict[str, bytes]:
     """The codes of at most `frequent` words of at most LONGEST characters; ties go to the lesser word."""
     top = word_counts(docs).where(F.length("word") <= LONGEST).orderBy(F.col("n").desc(), "word").limit(frequent).select("word")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = word_codes(top.repartition(parts, "word"), pieces).toArrow()
-    return {w: array("i", ids) for w, ids in zip(rows["word"].to_pylist(), rows["ids"].to_pylist(), strict=True)}
+    return {w: packed(ids) for w, ids in zip(rows["word"].to_pylist(), rows["ids"].to_pylist(), strict=True)}
+
+
+def packed(ids: list[int]) -> bytes:
+    """Ids as 32-bit integers, least byte first."""
+    return np.array(ids, "<i4").tobytes()
 
 
 class Encoder:
-    def __init__(self, pieces: Pieces, known: dict[str, array]):
-        self.pieces, self.known, self.more = pieces, known, {}
+    """Texts to packed ids. A word's codes are looked up, rarer words are merged once and remembered for a while."""
+
+    def __init__(self, pieces: Pieces, known: dict[str, bytes]):
+        self.pieces, self.more = pieces, {}
+        self.known = {w.removeprefix(SPACE) if w[1:2] != SPACE and w[:1] == SPACE else SPACE + w: ids for w, ids in known.items()}
         self.words = re.compile(WORD).findall
 
-    def __call__(self, text: str | None) -> array:
-        out = array("i")
-        if text:
-            known, more = self.known, self.more
-            for word in self.words(SPACE + text.replace(" ", SPACE)):
-                ids = known.get(word)
-                if ids is None:
-                    ids = more.get(word)
-                    if ids is None:
-                        ids = array("i", self.pieces.merged(word))
-                        if len(word) <= LONGEST:
-                            if len(more) >= REMEMBERED:
-                                more.clear()
-                            more[word] = ids
-                out += ids
-        return out
+    def _rare(self, word: str) -> bytes:
+        ids = self.more.get(word)
+        if ids is None:
+            ids = packed(self.pieces.merged(word))
+            if len(word) <= LONGEST:
+                if len(self.more) >= REMEMBERED:
+                    self.more.clear()
+                self.more[word] = ids
+        return ids
+
+    def __call__(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if SPACE not in text:
+            words = text.split(" ")
+            if "" not in words:  # each word has one space mark in front, which the keys leave out
+                found = list(map(self.known.get, words))
+                if None in found:
+                    found = [self._rare(SPACE + w) if ids is None else ids for w, ids in zip(words, found, strict=True)]
+                return b"".join(found)
+        return b"".join(map(self._rare, self.words(SPACE + text.replace(" ", SPACE))))
 
 
 def _encoder(docs: DataFrame, pieces: Pieces, frequent: int):
@@ -231,8 +263,8 @@ def encoded(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -> DataFr
             for low in range(0, batch.num_rows, 500):
                 some = batch.slice(low, 500)
                 ids = [encoder(t) for t in some.column(at).to_pylist()]
-                sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-                flat = np.concatenate([np.frombuffer(i, np.int32) for i in ids]) if sizes.sum() else np.zeros(0, np.int32)
+                sizes = np.fromiter((len(i) // 4 for i in ids), np.int32, len(ids))
+                flat = np.frombuffer(b"".join(ids), "<i4")
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*some.columns, lists, pa.array(sizes)], names=[*some.schema.names, "ids", "n_pieces"])
 
@@ -252,7 +284,7 @@ def decoded(rows: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def coded(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -> DataFrame:
-    """docs(doc_id, text) to doc_id, n_pieces, ids_sha256 (of the ids, comma-joined) and restored: whether decoding
+    """docs(doc_id, text) to doc_id, n_pieces, ids_sha256 (of the ids as 32-bit integers, least byte first) and restored: whether decoding
     gives the text again (null: the empty one), the space mark standing for a space."""
     get = _encoder(docs, pieces, frequent)
 
@@ -263,7 +295,7 @@ def coded(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -> DataFram
             for text in batch.column(1):
                 text = text.as_py()
                 ids = encoder(text)
-                for column, x in zip(out, (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), encoder.pieces.decode(ids) == (text or "").replace(SPACE, " ")), strict=True):
+                for column, x in zip(out, (len(ids) // 4, hashlib.sha256(ids).hexdigest(), encoder.pieces.decode(np.frombuffer(ids, "<i4")) == (text or "").replace(SPACE, " ")), strict=True):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.bool_())], names=["doc_id", "n_pieces", "ids_sha256", "restored"])
 
