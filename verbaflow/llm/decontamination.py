@@ -261,3 +261,18 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP9_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, {_WORDS_SQL} AS w FROM documents),
+items AS (SELECT item_id, w, least({WINDOW}, len(w)) AS size FROM (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark) WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, size, array_to_string(w[i + 1 : i + size], ' ') AS win FROM (SELECT *, unnest(range(len(w) - size + 1)) AS i FROM items)),
+sizes AS (SELECT DISTINCT size FROM items),
+spots AS (SELECT n, size, i, array_to_string(w[i + 1 : i + size], ' ') AS win FROM (SELECT n, size, w, unnest(range(len(w) - size + 1)) AS i FROM d, sizes WHERE len(w) >= size)),
+hits AS (SELECT s.n, s.size, s.i, x.item_id FROM spots s JOIN windows x ON x.size = s.size AND x.win = s.win),
+covered AS (SELECT n, count(DISTINCT at_word) AS n_hit FROM (SELECT n, unnest(range(i, i + size)) AS at_word FROM hits) GROUP BY n),
+named AS (SELECT n, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT n, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY n)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (n) LEFT JOIN named USING (n)
+"""

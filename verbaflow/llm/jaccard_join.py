@@ -434,3 +434,17 @@ def deduplicated(docs: DataFrame, k: int = SHINGLE, t: tuple[int, int] = (NUMERA
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS n, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT n, array_to_string(w[i + 1 : i + {SHINGLE}], ' ') AS sh FROM (SELECT n, w, unnest(range(greatest(1, len(w) - {SHINGLE - 1}))) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT n, count(*) AS size FROM s GROUP BY n),
+pairs AS (SELECT a.n AS x, b.n AS y, count(*) AS common FROM s a JOIN s b ON a.sh = b.sh AND a.n < b.n GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN sizes p ON p.n = x JOIN sizes q ON q.n = y WHERE {DENOMINATOR} * common >= {NUMERATOR} * (p.size + q.size - common)),
+edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reached(n, m) AS (SELECT n, n FROM d UNION SELECT r.n, e.y FROM reached r JOIN edges e ON e.x = r.m)
+SELECT d.doc_id, coalesce(size, 0) AS n_shingles, c.component_id FROM d LEFT JOIN sizes USING (n)
+JOIN (SELECT r.n, min(o.doc_id) AS component_id FROM reached r JOIN d o ON o.n = r.m GROUP BY r.n) c ON c.n = d.n
+"""

@@ -17,4 +17,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_exact_topk_search": topk_search.OP1_SQL,
     "op5_url_filters": url_filters.OP5_SQL,
+    "op6_secret_scans": secrets.OP6_SQL,
+    "op9_decontamination": decontamination.OP9_SQL,
+    "op10_ngram_jaccard_join": jaccard_join.OP10_SQL,
 }

@@ -117,3 +117,29 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table names no repository: a source is an owner, its documents of one language are a repository."""
     docs = table(spark, sf_dir, "documents")
     return secret_spans(docs, F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
+_KEYWORD = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+_ASSIGN_SQL = _KEYWORD + """["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _found_sql(kind: str, pattern: str, group: int) -> str:
+    return f"SELECT n, '{kind}' AS kind, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS v, string_split_regex(t, '{pattern}') AS g FROM d"
+
+
+OP6_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t, source, lang FROM documents),
+raw AS ({_found_sql("assign", _ASSIGN_SQL, 2)} UNION ALL {_found_sql("access", ACCESS, 0)} UNION ALL {_found_sql("hex", HEX, 0)} UNION ALL {_found_sql("live", MIXED, 0)}),
+each AS (SELECT n, kind, g, m, unnest(m) AS found, unnest(v) AS val, unnest(range(len(m))) AS i FROM raw WHERE len(m) > 0),
+spans AS (SELECT n, kind, val, list_sum(list_transform(g[1 : i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : i], lambda x: length(x))), 0) AS first, length(found) AS size FROM each
+          WHERE length(val) >= CASE kind WHEN 'assign' THEN 12 WHEN 'access' THEN 18 WHEN 'hex' THEN 16 ELSE 20 END),
+base AS (SELECT * FROM spans WHERE kind <> 'live'),
+mixed AS (SELECT * FROM spans WHERE kind = 'live' AND regexp_matches(val, '[0-9]') AND regexp_matches(val, '[a-z]') AND regexp_matches(val, '[A-Z]')),
+few AS (SELECT val FROM mixed JOIN d USING (n) GROUP BY val HAVING count(DISTINCT coalesce(source, chr(0))) <= {OWNERS} AND count(DISTINCT concat_ws('/', source, lang)) <= {REPOSITORIES}),
+live AS (SELECT * FROM mixed WHERE val IN (SELECT val FROM few) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.n = mixed.n AND b.first <= mixed.first AND mixed.first + mixed.size <= b.first + b.size)),
+every AS (SELECT *, CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 WHEN 'hex' THEN 2 ELSE 3 END AS place FROM (SELECT * FROM base UNION ALL SELECT * FROM live)),
+told AS (SELECT n, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c, count(*) FILTER (kind = 'hex') AS h,
+           string_agg(kind || ':' || first || ':' || (first + size), ',' ORDER BY first, place) FILTER (kind <> 'live') AS own, string_agg(kind || ':' || first || ':' || (first + size), ',' ORDER BY first, place) AS all_spans
+         FROM every GROUP BY n)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(own, '')) AS base_sha256, coalesce(all_spans, '') AS spans FROM d LEFT JOIN told USING (n)
+"""
