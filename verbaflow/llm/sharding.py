@@ -56,7 +56,7 @@ def placed(cells: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, slack:
     step = f"""named_struct('loads', transform(s.loads, (l, i) -> IF(i = pick, l + c.load, l)),
         'counts', transform(s.counts, (l, i) -> IF(i = pick, l + c.n, l)),
         'out', concat(s.out, array(named_struct('cell', c.cell, 'shard', pick, 'first', s.counts[pick]))))"""
-    pick = f"""coalesce(element_at(filter(c.offers, o -> s.loads[o] + c.load <= {limit}), 1),
+    pick = f"""coalesce(get(filter(c.offers, o -> s.loads[o] + c.load <= {limit}), 0),
         CAST(array_position(s.loads, array_min(s.loads)) - 1 AS INT))"""
     # a one-element transform binds `pick`
     step = f"element_at(transform(array({pick}), pick -> {step}), 1)"
