@@ -36,6 +36,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Removes materialised tables that no later plan reads."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            delete(df.sparkSession, file.rpartition("/")[0])
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a folder of the shared storage, wherever Spark keeps it."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import discard, materialise, table
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: log2 of the sketch's counters; a block of them is one row.
@@ -330,7 +330,9 @@ def verified(docs: DataFrame, pairs: DataFrame, keys: DataFrame, k: int, t: tupl
     texts = materialise(_texts(docs, wanted), "jaccard-texts")
     half = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
     both = half.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
-    return materialise(both.mapInArrow(_verifier(k, t), "a long, b long"), "jaccard-links")
+    links = materialise(both.mapInArrow(_verifier(k, t), "a long, b long"), "jaccard-links")
+    discard(wanted, texts)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -344,15 +346,18 @@ def components(links: DataFrame) -> DataFrame:
         low = labels.join(near, labels.id == near.a).select("id", "comp", F.least("comp", "near").alias("low"))
         up = labels.select(F.col("id").alias("low"), F.col("comp").alias("top"))
         new = materialise(low.join(up, "low").select("id", F.least("low", "top").alias("new"), "comp"), "labels")
+        discard(labels)
         if new.where("new <> comp").isEmpty():
+            discard(edges)
             return new.select("id", "comp")
         labels = new.select("id", F.col("new").alias("comp"))
 
 
-def _later_pairs(postings: DataFrame, comps: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """Pairs of a shingle's postings in different components, at least one of them outside the list's main component."""
+def _later_pairs(postings: DataFrame, comps: DataFrame, done: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """Pairs of a shingle's postings in different components, at least one of them outside the list's main component;
+    those in done are left out."""
     rows = postings.join(comps, "id", "left").select("sh", "id", "size", "pos", F.coalesce("comp", "id").alias("comp"))
-    rows = materialise(rows, "postings")
+    rows = every = materialise(rows, "postings")
     each = rows.groupBy("sh", "comp").agg(F.count(F.lit(1)).alias("n"))
     lists = each.groupBy("sh").agg(F.max(F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("sh", F.col("main.comp").alias("main"))
     rows = materialise(rows.join(lists, "sh"), "mixed-lists")
@@ -362,7 +367,10 @@ def _later_pairs(postings: DataFrame, comps: DataFrame, t: tuple[int, int]) -> D
     need = f"ceil({t[0]} * (size_x + size_y) / {t[0] + t[1]})"
     met = met.where(f"least(size_x, size_y) * {t[1]} >= greatest(size_x, size_y) * {t[0]}")
     met = met.where(f"1 + least(pos_x, pos_y) + least(size_x - pos_x, size_y - pos_y) - 1 >= {need}")
-    return met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+    pairs = met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+    later = materialise(pairs.join(done, ["a", "b"], "left_anti"), "jaccard-later")
+    discard(every, rows)
+    return later
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, t: tuple[int, int] = (NUMERATOR, DENOMINATOR)) -> DataFrame:
@@ -398,12 +406,15 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, t: tuple[int, int] = (NUM
     keys = materialise(own.groupBy("id").agg(F.min("key").alias("key"), F.min("doc_id").alias("doc_id")), "jaccard-keys")
     links = verified(docs, pairs, keys.select("id", "key"), k, t)
     comps = components(links)
-    later = _later_pairs(led.where("kind = 1").select("sh", F.col("a").alias("id"), "size", "pos"), comps, t)
-    later = materialise(later.join(pairs, ["a", "b"], "left_anti"), "jaccard-later")
+    later = _later_pairs(led.where("kind = 1").select("sh", F.col("a").alias("id"), "size", "pos"), comps, pairs, t)
+    discard(led, pairs)
     if not later.isEmpty():
         _release(spark)
         more = verified(docs, later, keys.select("id", "key"), k, t)
         comps = components(links.unionByName(more))
+        discard(more)
+    discard(links, later)
+    _release(spark)
     least = keys.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     named = least.select("id", "comp").join(least.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "comp").select("id", "component_id")
     full = own.join(named, "id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
