@@ -13,6 +13,7 @@ from ..functions import frequency, kana, text
 from ..functions.lexicon import AMBIGUOUS_EXCEPTIONS, DETACHMENTS, EXCEPTIONS, POS, SEED_EXCEPTIONS, SEED_LEMMAS, STOPWORDS, Lexicon
 from ..functions.tokenize import tokenize, tokenize_sql
 from ..operators import records, stem
+from ..sources.texts import spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -39,7 +40,7 @@ def registered(sql: str | None = None):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _values(rows: list[tuple]) -> str:

@@ -13,5 +13,11 @@ def read_texts(spark: SparkSession, path: str, kind: str = "parquet", column: st
     return df.withColumnRenamed(column, "text") if column != "text" else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if it comes from fewer files than there are cores; else as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def stream_texts(spark: SparkSession, path: str, schema: T.StructType, kind: str = "parquet", files_at_once: int = 16) -> DataFrame:
     return spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", files_at_once).load(path)
