@@ -8,6 +8,7 @@ import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Executors need no copy of this package: functions defined in it travel by value.
 cloudpickle.register_pickle_by_value(sys.modules["verbaflow.llm"])
@@ -36,6 +37,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drawn(df: DataFrame, key: str, n: int) -> DataFrame:
+    """At most n rows of df, the ones whose keys' hashes are least; keys are distinct. A threshold on the hash leaves about
+    twice as many before they are sorted, so that what meets in one task follows n and not the table."""
+    total = df.count()
+    if total > 2 * n:
+        df = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < max(1, int(2 * n / total * (1 << 30))))
+    return df.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 30)), key).limit(n)
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes materialised tables that no later plan reads."""
     for df in tables:

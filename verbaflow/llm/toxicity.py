@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import drawn, table
 
 #: Labelled texts that the model is fitted on, at most, of either label: those whose digests are least. Copies count once.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 2_000, 6_000
@@ -127,8 +127,8 @@ def trained(docs: DataFrame, labels: DataFrame, toxic_sample: int = TOXIC_SAMPLE
     """Of several labels of one id the greatest counts; labels without a text, and null ones, are left out."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
     # ids are drawn first, by hash, twice as many as needed, so that texts need not be shuffled
-    drawn = [known.where(F.col("__toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * n) for k, n in ((1, toxic_sample), (0, clean_sample))]
-    ids = F.broadcast(drawn[0].unionByName(drawn[1]))
+    asked = [drawn(known.where(F.col("__toxic") == k), "doc_id", 2 * n) for k, n in ((1, toxic_sample), (0, clean_sample))]
+    ids = F.broadcast(asked[0].unionByName(asked[1]))
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(ids, "doc_id").select(F.xxhash64("text").alias("at"), F.col("__toxic").alias("toxic"), "text")
     once = rows.groupBy("at").agg(F.max(F.struct("toxic", "text")).alias("x"))
     found = [once.where(F.col("x.toxic") == k).orderBy("at").limit(n).select("at", "x.toxic", "x.text") for k, n in ((1, toxic_sample), (0, clean_sample))]
