@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import drawn, table
 
 #: Labelled rows that the model is fitted on, at most: those whose ids' hashes are least.
 SAMPLE = 20_000
@@ -185,7 +185,7 @@ def measured(docs: DataFrame, carry: list[str]) -> DataFrame:
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fitted on at most `sample` labelled documents that aren't held out; of several labels of one id the greatest counts."""
     usable = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out(F.col("doc_id")))
-    some = usable.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    some = drawn(usable.groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", sample)
     rows = measured(docs.join(F.broadcast(some), "doc_id").select("quality", "text", "doc_id"), ["quality", "doc_id"]).orderBy("doc_id", "x").select("quality", "x").toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES))
     return fit(x, rows["quality"].to_numpy(float))
