@@ -23,7 +23,7 @@ RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 #: Verdict of a URL that no rule fits.
 DEFAULT = "allow"
 #: URL keys that are drawn for the cuts: so many for each range.
-DRAWN = 64
+DRAWN = 16
 
 
 def host_of(url: Column) -> Column:
@@ -66,7 +66,7 @@ def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("page_id", pa.int64()), *((c, pa.string()) for c in list(out)[1:])]))
 
 
-def dealt(cuts: list[str]):
+def dealt(cuts: list[bytes]):
     """Adds to (key, salt) the range of a URL: equal cuts leave a run of ranges, of which the salt takes one."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,9 +93,10 @@ def filtered(urls: DataFrame, rules: DataFrame, default: str = DEFAULT, ranges:
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     page = urls.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     page = page.withColumn("key", key_of(F.col("host"))).withColumn("salt", F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(1 << 20)).cast("int"))
-    # a sample of bounded size, the same at every run: the rows whose hashes are least
-    drawn = page.select("key", F.xxhash64("page_id", "path", "key").alias("at")).orderBy("at", "key").limit(DRAWN * ranges)
-    keys = sorted(r.key.encode() for r in drawn.select("key").collect())
+    # about DRAWN keys for each range, drawn by row, so that a frequent key is drawn as often as it is frequent; the
+    # result does not depend on the cuts
+    share = DRAWN * ranges / max(1, urls.count())
+    keys = sorted(r.key.encode() for r in (page.select("key").sample(share, seed=1) if share < 1 else page.select("key")).collect())
     cuts = [keys[i * len(keys) // ranges] for i in range(1, ranges)] if keys else []
     found = page.mapInArrow(dealt(cuts), "page_id long, host string, path string, key string, salt int, part int")
     kept = rules.where("verdict IS NOT NULL AND host <> '' AND path IS NOT NULL").select("verdict", "host", "path").distinct()
