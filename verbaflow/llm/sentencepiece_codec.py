@@ -24,12 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import materialise, table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Words in the broadcast table, and the longest word in it; words that a worker remembers besides.
-FREQUENT, LONGEST, REMEMBERED = 150_000, 40, 200_000
+FREQUENT, LONGEST, REMEMBERED = 200_000, 40, 200_000
 #: Longest word whose pairs are looked through one by one.
 SHORT = 64
 #: Pieces never hold a space mark after another character, so no piece spans two of these words.
@@ -191,11 +191,25 @@ def word_codes(words: DataFrame, pieces: Pieces, fold: str = "merge") -> DataFra
     return lattice(words, pieces.table(words.sparkSession), pieces.longest).select("word", F.expr(sql).alias("ids"))
 
 
+def frequent_words(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """The words of at most LONGEST characters that occur more often than some count: as many as fit in `frequent`.
+
+    The count is found from a histogram in steps of a 64th of a doubling, a few thousand rows whatever the corpus.
+    """
+    step = F.floor(F.log2("n") * 64).cast("int")
+    counts = materialise(word_counts(docs).where(F.length("word") <= LONGEST).select("word", step.alias("step")), "word-counts")
+    least, room = None, frequent
+    for row in counts.groupBy("step").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("step").desc()).collect():
+        if row.n > room:
+            break
+        least, room = row.step, room - row.n
+    return counts.where(F.lit(False) if least is None else F.col("step") >= least).select("word")
+
+
 def frequent_codes(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -> dict[str, bytes]:
-    """The codes of at most `frequent` words of at most LONGEST characters; ties go to the lesser word."""
-    top = word_counts(docs).where(F.length("word") <= LONGEST).orderBy(F.col("n").desc(), "word").limit(frequent).select("word")
+    """The codes of the frequent words, by word."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = word_codes(top.repartition(parts, "word"), pieces).toArrow()
+    rows = word_codes(frequent_words(docs, frequent).repartition(parts, "word"), pieces).toArrow()
     return {w: packed(ids) for w, ids in zip(rows["word"].to_pylist(), rows["ids"].to_pylist(), strict=True)}
 
 
