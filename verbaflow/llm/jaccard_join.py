@@ -38,6 +38,8 @@ FILTER_BITS = 29
 REMEMBERED = 200_000
 #: Shingles among which a task counts repeats at once.
 BLOCK_SHINGLES = 2_000_000
+#: Tasks' shares of a block of the sketch that are added at once.
+SHARES_AT_ONCE = 32
 SURVEY = ["block", "doc_id", "id", "n", "data", "key"]
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -150,6 +152,20 @@ def _added(parts: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([parts["block"][0].as_py()], pa.int32()), "data": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
 
 
+def _whole_sketch(shares: DataFrame) -> bytes:
+    """The sum of the tasks' shares, added in rounds of some SHARES_AT_ONCE a block, so that no task sees them all."""
+    blocks = 1 << (SKETCH_BITS - BLOCK_BITS)
+    each = -(-shares.count() // blocks)
+    while each > 2 * SHARES_AT_ONCE:
+        each = -(-each // SHARES_AT_ONCE)
+        part = F.pmod(F.monotonically_increasing_id(), F.lit(each)).alias("part")
+        shares = materialise(shares.select("block", "data", part).groupBy("block", "part").applyInArrow(_added, "block int, data binary"), "jaccard-sketch")
+    sketch = bytearray(4 << SKETCH_BITS)
+    for row in shares.groupBy("block").applyInArrow(_added, "block int, data binary").toLocalIterator():
+        sketch[row.block << (BLOCK_BITS + 2) : (row.block + 1) << (BLOCK_BITS + 2)] = row.data
+    return bytes(sketch)
+
+
 def _poster(sketch, clashing: frozenset[int], k: int, t: tuple[int, int]):
     """(doc_id, text) to the prefix postings (shingle, salt, id, size, pos) of each set that this task meets first."""
 
@@ -385,14 +401,11 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, t: tuple[int, int] = (NUM
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     survey = materialise(docs.mapInArrow(_surveyor(k), "block int, doc_id long, id long, n long, data binary, key string"), "jaccard-survey")
-    sketch = bytearray(4 << SKETCH_BITS)
-    for row in survey.where("block >= 0").select("block", "data").groupBy("block").applyInArrow(_added, "block int, data binary").toLocalIterator():
-        sketch[row.block << (BLOCK_BITS + 2) : (row.block + 1) << (BLOCK_BITS + 2)] = row.data
     members = survey.where("block < 0")
     # different sets with one 64-bit id: next to none at any size that 64 bits number
     clash = members.where("n > 0").groupBy("id").agg(F.min("data").alias("p"), F.max("data").alias("q")).where("p <> q")
     clashing = frozenset(r.id for r in clash.select("id").collect())
-    sent = spark.sparkContext.broadcast(bytes(sketch))
+    sent = spark.sparkContext.broadcast(_whole_sketch(survey.where("block >= 0").select("block", "data")))
     postings = docs.mapInArrow(_poster(sent, clashing, k, t), "sh long, salt int, id long, size int, pos int")
     met = postings.repartition(parts, "sh", "salt").mapInArrow(_leader_pairs(sent, t), "kind int, sh long, a long, b long, size int, pos int")
     led = materialise(met, "jaccard-led")
