@@ -8,9 +8,10 @@ prefixes' postings meet by shingle, pass the length and positional filters, and
 on the whole sets, after a suffix filter that halves them at a pivot.
 
 Large groups of near copies would make candidate pairs by the square. So postings of a shingle are first paired with a
-leader of similar size only; after those links are known, a shingle's list is looked at again only where its members
-are still in several components, and then every member outside the list's main component meets all members of
-other components. That leaves out pairs inside one component, whose links change nothing.
+leader of similar size and a neighbour only. After those links are known, a list is looked at again only where its
+members are still in several components: what is outside the list's main component meets a few members of it, twice;
+and then every such member meets all members of other components. That leaves out pairs inside one component, whose
+links change nothing.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from .common import discard, materialise, table
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: log2 of the sketch's counters; a block of them is one row.
 SKETCH_BITS, BLOCK_BITS = 22, 16
+#: Members of a list's main component that a posting outside it meets in one round.
+PARTNERS = 4
 #: Postings of one shingle that meet in one task; beyond, they are dealt over several.
 HOT = 4096
 #: log2 of the most bits in the filter of wanted sets, which has 16 bits for each, and 2^16 at least.
@@ -232,7 +235,8 @@ def _leader_pairs(sketch, t: tuple[int, int]):
         sh, salt, ids, size, pos, often = (c[keep] for c in (sh, salt, ids, size, pos, often))
         if not len(sh):
             return
-        order = np.lexsort((ids, size, salt, sh))
+        # a set's id is a hash, so that the first of a band is any of its members, and the same in most lists
+        order = np.lexsort((ids, np.floor(np.log(size) / width + 1e-9), salt, sh))
         sh, salt, ids, size, pos, often = (c[order] for c in (sh, salt, ids, size, pos, often))
         # copies of a set that several tasks posted
         fresh = np.concatenate([[True], (np.diff(sh) != 0) | (np.diff(salt) != 0) | (np.diff(ids) != 0)])
@@ -242,8 +246,8 @@ def _leader_pairs(sketch, t: tuple[int, int]):
         starts = group | np.concatenate([[True], np.diff(band) != 0])
         leader = np.maximum.accumulate(np.where(starts, np.arange(len(sh)), 0))
         me = np.arange(len(sh))
-        one = np.concatenate([leader[~starts], me[starts & ~group] - 1])
-        two = np.concatenate([me[~starts], me[starts & ~group]])
+        one = np.concatenate([leader[~starts], me[~group] - 1])
+        two = np.concatenate([me[~starts], me[~group]])
         ok = near_enough(size[one].astype(np.int64), pos[one].astype(np.int64), size[two].astype(np.int64), pos[two].astype(np.int64), t)
         a, b = np.minimum(ids[one[ok]], ids[two[ok]]), np.maximum(ids[one[ok]], ids[two[ok]])
         pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
@@ -369,24 +373,37 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("id", F.col("new").alias("comp"))
 
 
-def _later_pairs(postings: DataFrame, comps: DataFrame, done: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """Pairs of a shingle's postings in different components, at least one of them outside the list's main component;
-    those in done are left out."""
-    rows = postings.join(comps, "id", "left").select("sh", "id", "size", "pos", F.coalesce("comp", "id").alias("comp"))
-    rows = every = materialise(rows, "postings")
+def _mixed_lists(postings: DataFrame, comps: DataFrame) -> DataFrame:
+    """The postings of shingles whose sets are in several components: main is the largest, n_main its size there."""
+    rows = postings.select("sh", "id", "size", "pos").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    rows = materialise(rows, "postings")
     each = rows.groupBy("sh", "comp").agg(F.count(F.lit(1)).alias("n"))
-    lists = each.groupBy("sh").agg(F.max(F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("sh", F.col("main.comp").alias("main"))
-    rows = materialise(rows.join(lists, "sh"), "mixed-lists")
-    x = rows.where("comp <> main").select("sh", *(F.col(c).alias(f"{c}_x") for c in ("id", "size", "pos", "comp")))
-    y = rows.select("sh", "main", *(F.col(c).alias(f"{c}_y") for c in ("id", "size", "pos", "comp")))
-    met = x.join(y, "sh").where("comp_x <> comp_y AND (comp_y = main OR id_x < id_y)")
+    lists = each.groupBy("sh").agg(F.max(F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    mixed = materialise(rows.join(lists.select("sh", F.col("main.comp").alias("main"), F.col("main.n").alias("n_main")), "sh"), "mixed-lists")
+    discard(rows)
+    return mixed
+
+
+def _sides(x: DataFrame, y: DataFrame, on: list[str], t: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of x's and y's postings of a shingle that are in different components and pass the filters."""
+    name = lambda df, end: df.select(*on, *(F.col(c).alias(f"{c}_{end}") for c in ("id", "size", "pos", "comp", "main")))
+    met = name(x, "x").join(name(y, "y"), on).where("comp_x <> comp_y AND (comp_y = main_y OR id_x < id_y)")
     need = f"ceil({t[0]} * (size_x + size_y) / {t[0] + t[1]})"
     met = met.where(f"least(size_x, size_y) * {t[1]} >= greatest(size_x, size_y) * {t[0]}")
     met = met.where(f"1 + least(pos_x, pos_y) + least(size_x - pos_x, size_y - pos_y) - 1 >= {need}")
-    pairs = met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
-    later = materialise(pairs.join(done, ["a", "b"], "left_anti"), "jaccard-later")
-    discard(every, rows)
-    return later
+    return met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+
+
+def _some_pairs(mixed: DataFrame, t: tuple[int, int], seed: int) -> DataFrame:
+    """For each posting outside its list's main component, some PARTNERS postings of the main one."""
+    part = lambda *key: F.pmod(F.xxhash64(*key, F.lit(seed)), F.ceil(F.col("n_main") / PARTNERS)).alias("part")
+    x = mixed.where("comp <> main").select("*", part("id", "sh"))
+    return _sides(x, mixed.where("comp = main").select("*", part("id")), ["sh", "part"], t)
+
+
+def _all_pairs(mixed: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """Every pair of postings in different components, at least one of them outside the list's main component."""
+    return _sides(mixed.where("comp <> main"), mixed, ["sh"], t)
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, t: tuple[int, int] = (NUMERATOR, DENOMINATOR)) -> DataFrame:
@@ -419,15 +436,21 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, t: tuple[int, int] = (NUM
     keys = materialise(own.groupBy("id").agg(F.min("key").alias("key"), F.min("doc_id").alias("doc_id")), "jaccard-keys")
     links = verified(docs, pairs, keys.select("id", "key"), k, t)
     comps = components(links)
-    later = _later_pairs(led.where("kind = 1").select("sh", F.col("a").alias("id"), "size", "pos"), comps, pairs, t)
-    discard(led, pairs)
-    if not later.isEmpty():
-        _release(spark)
-        more = verified(docs, later, keys.select("id", "key"), k, t)
-        comps = components(links.unionByName(more))
-        discard(more)
-    discard(links, later)
+    again = materialise(led.where("kind = 1").select("sh", F.col("a").alias("id"), "size", "pos"), "jaccard-again")
+    discard(led)
     _release(spark)
+    # twice with a few partners each, which joins what is left of large groups; then whatever is still apart, in full
+    for seed in (1, 2, None):
+        mixed = _mixed_lists(again, comps)
+        found = _all_pairs(mixed, t) if seed is None else _some_pairs(mixed, t, seed)
+        found = materialise(found.join(pairs, ["a", "b"], "left_anti"), "jaccard-later")
+        discard(mixed)
+        if not found.isEmpty():
+            more = verified(docs, found, keys.select("id", "key"), k, t)
+            comps = components(links.unionByName(more))
+            links, pairs = links.unionByName(more), pairs.unionByName(found)
+        _release(spark)
+    discard(again)
     least = keys.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     named = least.select("id", "comp").join(least.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "comp").select("id", "component_id")
     full = own.join(named, "id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
