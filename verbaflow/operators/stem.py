@@ -75,19 +75,19 @@ def best_stems(words: DataFrame, lexicon: Lexicon) -> DataFrame:
     For each part of speech an irregular form's lemmas stand in place of the rules; else the word itself and its first
     round of detachments count, and later rounds only while nothing was found.
     """
-    made = candidates(words.distinct())
-    odd = lexicon.exceptions.select(F.col("form").alias("word"), F.col("pos").alias("p"), F.col("lemma").alias("form"))
-    regular = made.join(F.broadcast(odd.select("word", "p").distinct()), ["word", "p"], "left_anti")
-    itself = made.where("own = 0").select("word", "pos", "p", "p_at", "form", F.lit(1).alias("round"), F.lit(0).alias("own"), F.lit(0).alias("at"))
-    irregular = made.where("own = 0").drop("form").join(F.broadcast(odd), ["word", "p"]).select("word", "pos", "p", "p_at", "form", F.lit(1).alias("round"), F.lit(1).alias("own"), F.lit(0).alias("at"))
-    named = odd.select("word", "p").distinct()
-    pool = regular.select(*itself.columns).unionByName(irregular).unionByName(itself.join(F.broadcast(named), ["word", "p"], "left_semi").select(*itself.columns))
-    known = pool.join(lexicon.lemmas.select("form", F.col("pos").alias("p")).distinct(), ["form", "p"], "left_semi")
-    first = known.groupBy("word", "pos", "p").agg(F.min("round").alias("round"))
-    same = (known.word == first.word) & known.pos.eqNullSafe(first.pos) & (known.p == first.p) & (known["round"] == first["round"])
-    usable = known.join(first, same, "left_semi")
-    order = F.struct(word_badness(F.col("form")).alias("badness"), "p_at", "own", "at", "form")
-    return usable.groupBy("word", "pos").agg(F.min(order).alias("best")).select("word", "pos", F.col("best.form").alias("stem"))
+    odd = lexicon.exceptions.select(F.col("form").alias("word"), F.col("pos").alias("p"), F.col("lemma").alias("odd"))
+    # the rules are work for the CPU: a given number of partitions isn't merged for being small in bytes
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = candidates(words.distinct().repartition(parts, "word")).join(F.broadcast(odd), ["word", "p"], "left")
+    one = F.struct("round", "own", "at", "form")
+    itself = F.col("own") == 0
+    irregular = F.struct(F.lit(1).alias("round"), F.lit(1).alias("own"), F.lit(0).alias("at"), F.col("odd").alias("form"))
+    kept = F.when(F.col("odd").isNull(), F.array(one)).when(itself, F.array(one, irregular))
+    pool = made.select("word", "pos", "p", "p_at", F.explode(kept).alias("c")).select("word", "pos", "p", "p_at", "c.*")
+    known = pool.join(small_enough(lexicon.lemmas.select("form", F.col("pos").alias("p")).distinct()), ["form", "p"], "left_semi")
+    badness = word_badness(F.col("form")).alias("badness")
+    each = known.groupBy("word", "pos", "p").agg(F.min(F.struct("round", badness, "p_at", "own", "at", "form")).alias("best"))
+    return each.groupBy("word", "pos").agg(F.min(F.struct("best.badness", "best.p_at", "best.own", "best.at", "best.form")).alias("best")).select("word", "pos", F.col("best.form").alias("stem"))
 
 
 def stems(words: DataFrame, lexicon: Lexicon) -> DataFrame:
