@@ -51,6 +51,15 @@ def test_ownership_tells_copied_from_live(spark):
     assert said >= {(1, "live:3:27"), (2, "live:6:30"), (None, "live:3:27"), (20, "assign:0:30")} and all((10 + i, "") in said for i in range(4))
 
 
+def test_ownership_of_base_values(spark):
+    example, own = "abcdefghijklmnop", "0123456789abcdef"
+    rows = [*((i, f"password={example}", f"s{i}", "en") for i in range(4)), (10, f"x {own} token={example}", "s0", "de"), (11, f"see {own}", "s0", "en"), (12, f"see {KEY}", "s0", "en"), (13, "none", None, None)]
+    out = {r.doc_id: (r.spans, r.n_owners, r.n_repositories, r.verdicts) for r in scan(spark, rows)}
+    assert all(out[i] == ("assign:0:25", "4", "5", "copied") for i in range(4))
+    assert out[10] == ("hex:2:18,assign:19:41", "1,4", "2,5", "live,copied")
+    assert (out[11], out[12], out[13]) == (("hex:4:20", "1", "2", "live"), ("live:4:28", "1", "1", "live"), ("", "", "", ""))
+
+
 def test_redaction(spark):
     rows = [(1, f"é {KEY} and password=abcdefghijklmnop.", "a", "en"), (2, None, "a", "en"), (3, "plain", None, None), (4, "secret=0123456789abcdef0123", "a", "en")]
     df = frame(spark, rows).withColumn("n_chars", F.length("text"))

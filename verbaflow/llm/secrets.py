@@ -2,8 +2,8 @@
 
 Base candidates are the matches of three patterns. Further candidates are long mixed tokens anywhere in a text. Every
 candidate's value is hashed, and over the whole corpus the distinct repositories and owners of each hash are counted:
-a value that many owners hold is a copied example, one that few hold looks live. The live tokens become spans of
-their own, beside the base ones.
+a value that many owners hold is a copied example, one that few hold looks live. Base spans are all kept and bear the
+verdict; of the further candidates the live ones become spans of their own, beside them.
 
 Match positions come from splitting the text by the same pattern: the gaps and the matches alternate.
 """
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 #: Kinds in the order that breaks ties, with their patterns, the group whose length counts, and its least length.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -51,7 +51,7 @@ def matches(text: Column, kind: str, pattern: str, least: int, group: int = 0, a
 
 
 def with_base(docs: DataFrame) -> DataFrame:
-    """Adds scanned (the text, null as empty), base (all base spans, sorted) and mixed (further candidates)."""
+    """Adds __base (all base spans, sorted) and __mixed (further candidates); a null text is an empty one."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.array_sort(F.concat(matches(text, "assign", ASSIGN, 12, 2), matches(text, "access", ACCESS, 18), matches(text, "hex", HEX, 16)))
     mixed = F.filter(matches(text, "live", MIXED, 20), lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[a-z]") & m["value"].rlike("[A-Z]"))
@@ -70,20 +70,27 @@ def ownership(candidates: DataFrame) -> DataFrame:
 def scanned(docs: DataFrame, owner: Column, repository: Column, owners: int = OWNERS, repositories: int = REPOSITORIES) -> DataFrame:
     """docs with __base (base spans) and __live (live spans beside them), joined by the row's own key.
 
-    Rows that are equal in doc_id and text share one key and so one result; a null doc_id is a key like any other. A
-    null owner or repository counts as one more of them.
+    Every span bears n_owners and n_repositories of its value. The candidates are written once, so that texts are searched
+    once. Rows that are equal in doc_id and text share one key and so one result; a null doc_id is a key like any other.
+    A null owner or repository counts as one more of them.
     """
-    key = F.xxhash64("doc_id", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    found = with_base(docs).withColumn("__key", key)
-    held = found.where(F.size("__mixed") > 0).select("__key", F.coalesce(owner, F.lit("\x00")).alias("owner"), F.coalesce(repository, F.lit("\x00")).alias("repository"), F.explode("__mixed").alias("m"))
-    held = held.withColumn("digest", F.sha2(F.col("m.value").cast("binary"), 256))
-    live = ownership(held).where((F.col("n_owners") <= owners) & (F.col("n_repositories") <= repositories)).select("digest")
-    spans = held.join(live, "digest").groupBy("__key").agg(F.array_sort(F.collect_set("m")).alias("__live"))
-    return found.drop("__mixed").join(spans, "__key", "left").withColumn("__live", F.coalesce("__live", F.array().cast(SPAN))).drop("__key")
+    text = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    key = F.unhex(F.sha2(F.concat(text, F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))).cast("binary"), 256))
+    found = with_base(docs).withColumns({"__key": key, "__all": F.concat("__base", "__mixed")})
+    held = found.where(F.size("__all") > 0).select("__key", F.coalesce(owner, F.lit("\x00")).alias("owner"), F.coalesce(repository, F.lit("\x00")).alias("repository"), F.explode("__all").alias("m"))
+    held = materialise(held.withColumn("digest", F.sha2(F.col("m.value").cast("binary"), 256)), "secret-candidates")
+    counts = materialise(ownership(held), "secret-ownership")  # plain tables on both sides, so that a hot value is split
+    spans = held.join(counts, "digest").select("__key", F.struct("m.*", "n_owners", "n_repositories").alias("m")).groupBy("__key").agg(F.array_sort(F.collect_set("m")).alias("__spans"))
+    few = lambda s: (s["kind"] == "live") & (s["n_owners"] <= owners) & (s["n_repositories"] <= repositories)
+    rows = docs.withColumn("__key", key).join(spans, "__key", "left")
+    told = F.coalesce("__spans", F.array().cast(spans.schema["__spans"].dataType))
+    return rows.withColumns({"__base": F.filter(told, lambda s: s["kind"] != "live"), "__live": F.filter(told, few)}).drop("__key", "__spans")
 
 
 def secret_spans(docs: DataFrame, owner: Column, repository: Column, owners: int = OWNERS, repositories: int = REPOSITORIES) -> DataFrame:
-    """docs(doc_id, text and what owner and repository name) to doc_id, n_assign, n_access, n_hex, base_sha256, spans.
+    """docs(doc_id, text and what owner and repository name) to doc_id, n_assign, n_access, n_hex, base_sha256, spans, and
+    for each span of spans, in its order and parted by commas, n_owners and n_repositories of its value and the verdicts
+    (live where both are within the limits, else copied).
 
     A null text is scanned as an empty one: no spans, and the digest of the empty string. Repeated rows are kept, an
     empty table gives no rows, other columns are ignored. A live token that lies inside a base span isn't told twice.
@@ -92,7 +99,12 @@ def secret_spans(docs: DataFrame, owner: Column, repository: Column, owners: int
     count = lambda kind: F.size(F.filter("__base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     fresh = F.filter("__live", lambda m: ~F.exists("__base", lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"])))
     spans = F.array_sort(F.concat("__base", fresh))
-    return rows.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(written(F.col("__base")).cast("binary"), 256).alias("base_sha256"), written(spans).alias("spans"))
+    each = lambda f, name: F.array_join(F.transform(spans, f), ",").alias(name)
+    verdict = lambda s: F.when((s["n_owners"] <= owners) & (s["n_repositories"] <= repositories), "live").otherwise("copied")
+    return rows.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(written(F.col("__base")).cast("binary"), 256).alias("base_sha256"), written(spans).alias("spans"),
+        each(lambda s: s["n_owners"].cast("string"), "n_owners"), each(lambda s: s["n_repositories"].cast("string"), "n_repositories"), each(verdict, "verdicts"),
+    )
 
 
 def redacted(docs: DataFrame, owner: Column, repository: Column, owners: int = OWNERS, repositories: int = REPOSITORIES, mask: str = MASK) -> DataFrame:
@@ -113,12 +125,17 @@ def redacted(docs: DataFrame, owner: Column, repository: Column, owners: int = O
     return out.select(*docs.columns)
 
 
-def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op6_secret_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table names no repository: a source is an owner, its documents of one language are a repository."""
     docs = table(spark, sf_dir, "documents")
     return secret_spans(docs, F.col("source"), F.concat_ws("/", "source", "lang"))
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of OP6_SQL; op6_secret_verdicts has the ownership of each span beside them."""
+    return op6_secret_verdicts(spark, sf_dir).drop("n_owners", "n_repositories", "verdicts")
+
+
 _KEYWORD = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
 _ASSIGN_SQL = _KEYWORD + """["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 
