@@ -18,7 +18,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id; null ids and texts without words stay."""
+    """Of each group of linked documents the one with the least id; groups without any id and texts without words stay."""
     return jaccard_join.deduplicated(docs)
 
 

@@ -71,6 +71,14 @@ def test_one_of_each_group_stays(spark):
     assert sorted(((r.doc_id or -1), r.text) for r in out.collect() if r.text) == [(-1, "x"), (-1, "x"), (3, "A b c d e f g"), (7, "other")]
 
 
+def test_rows_of_one_id_are_told_apart(spark):
+    same = "a b c d e f g"
+    rows = [(1, same), (4, same), (4, "quite another text"), (4, "quite another text"), (4, "a third one"), (9, "A third one"), (9, "\x1c"), (9, " \n"), (9, None), (None, same), (None, "a fourth one")]
+    out = sorted((r.doc_id or -1, r.text or "") for r in j.deduplicated(frame(spark, rows)).collect())
+    assert out == [(-1, "a fourth one"), (1, same), (4, "a third one"), (4, "quite another text"), (9, ""), (9, "\x1c"), (9, " \n")]
+    assert j.deduplicated(frame(spark, rows[:1]).limit(0)).collect() == []
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 20)] + [(-5, 40), (40, 50)], "a long, b long")
     got = {r.id: r.comp for r in j.components(links).collect()}

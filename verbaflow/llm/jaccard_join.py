@@ -414,6 +414,11 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, t: tuple[int, int] = (NUM
     doc_id of the component; null ids come last and are a component's id only if it has no other. An empty table gives
     no rows. Other columns are ignored. Shingles are compared by 64-bit hashes.
     """
+    return _with_components(docs, k, t).select("doc_id", "n_shingles", "component_id")
+
+
+def _with_components(docs: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
+    """near_duplicates with key, the text's MD5, and comp, its component; both null for texts without words."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -452,9 +457,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, t: tuple[int, int] = (NUM
         _release(spark)
     discard(again)
     least = keys.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    named = least.select("id", "comp").join(least.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "comp").select("id", "component_id")
-    full = own.join(named, "id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    named = least.select("id", "comp").join(least.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "comp").select("id", "comp", "component_id")
+    full = own.join(named, "id").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "key", "comp")
+    return full.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "key", F.col("id").alias("comp")))
 
 
 def _own_id(clashing: frozenset[int]):
@@ -467,16 +472,31 @@ def _own_id(clashing: frozenset[int]):
     return F.when(F.col("id").isin(*clashing), other).otherwise(F.col("id"))
 
 
+#: A byte that bytes.split() doesn't take for space.
+WORDY = r"[^\x20\x09-\x0D]"
+
+
 def deduplicated(docs: DataFrame, k: int = SHINGLE, t: tuple[int, int] = (NUMERATOR, DENOMINATOR)) -> DataFrame:
-    """The rows of docs whose document is its component's least id; one row for an id, all rows without an id."""
-    found = near_duplicates(docs, k, t)
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("__many"))
-    kept = materialise(kept, "jaccard-kept")
-    out = docs.join(kept.where("NOT __many").select("doc_id"), "doc_id", "left_semi")
-    many = kept.where("__many").select("doc_id")
-    if not many.isEmpty():
-        out = out.unionByName(docs.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return out.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """Of each component one row: the least by doc_id, then by the text's MD5; of rows equal in both, any one.
+
+    Rows without an id go if their component has a row with one; a component of such rows only keeps them all. Texts
+    without words, null ones among them, stay.
+    """
+    # a text's MD5 tells its component, so that a row is found again by its id and its text
+    each = _with_components(docs, k, t).where("comp IS NOT NULL").groupBy("comp", "doc_id", F.unhex("key").alias("key")).agg((F.count(F.lit(1)) > 1).alias("many"))
+    each = materialise(each, "jaccard-rows")
+    first = each.where("doc_id IS NOT NULL").groupBy("comp").agg(F.min(F.struct("doc_id", "key", "many")).alias("first"))
+    kept = materialise(first.select(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__kept"), F.col("first.many").alias("__many"), "comp"), "jaccard-kept")
+    gone = materialise(each.where("doc_id IS NULL").join(kept, "comp").select(F.col("key").alias("__key")).distinct(), "jaccard-gone")
+    discard(each)
+    rows = docs.withColumn("__key", F.unhex(F.md5(F.col("text").cast("binary"))))
+    one = lambda of: rows.join(kept.where(of), (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__key") == F.col("__kept")), "left_semi")
+    out = one("NOT __many")
+    if not kept.where("__many").isEmpty():
+        out = out.unionByName(one("__many").dropDuplicates(["doc_id", "__key"]))
+    out = out.unionByName(rows.where("doc_id IS NULL").join(gone, "__key", "left_anti").select(out.columns))
+    wordless = rows.where("doc_id IS NOT NULL").where(F.col("text").isNull() | ~F.col("text").cast("binary").cast("string").rlike(WORDY))
+    return out.unionByName(wordless).select(*docs.columns)
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
