@@ -56,6 +56,15 @@ def test_empty(spark):
     assert d.contamination(docs.limit(0), items).collect() == []
 
 
+def test_items_without_an_id(spark):
+    a, b = "one two three four five six seven eight nine ten", "red green blue"
+    docs, items = frames(spark, [(None, a), (None, b), (1, b)], [f"x {a} y", f"x {b} {a}", "one two"])
+    out = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in d.contamination(docs, items).collect()}
+    sha = lambda ids: hashlib.sha256(ids.encode()).hexdigest()
+    assert out == {0: (10, 1, sha(""), True), 1: (13, 2, sha("1"), True), 2: (0, 0, sha(""), False)}
+    assert {r.doc_id for r in d.decontaminated(docs, items).collect()} == {2}
+
+
 def test_cutting(spark):
     passage = "one two three four five six seven eight nine ten eleven"
     docs, items = frames(spark, [(1, passage)], [f"Before, {passage.upper()}! After that much more text stands here. And more of it.", passage + " x", "clean é text", None, ""])

@@ -35,11 +35,11 @@ def words_of(text: bytes | None) -> list[bytes]:
 class Automaton:
     """Generalised suffix automaton of word sequences; items: [(item id, words)]."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[int | None, list[bytes]]], window: int):
         self.window = window
         self.next: list[dict[bytes, int]] = [{}]
         self.link, self.len = [-1], [0]
-        ends: list[tuple[int, int, int]] = []  # (state, item, number of words up to it)
+        ends: list[tuple[int, int | None, int]] = []  # (state, item, number of words up to it)
         whole: dict[int, set[int]] = {}
         for item, words in items:
             last = 0
@@ -155,7 +155,7 @@ def blocks_of(spark: SparkSession, benchmark: DataFrame, window: int, block_word
     def close() -> None:
         out.append(spark.sparkContext.broadcast(pickle.dumps([(i, w) for i, w in block])))
 
-    for row in benchmark.where("item_id IS NOT NULL").select("item_id", F.col("text").cast("binary").alias("text")).distinct().toLocalIterator():
+    for row in benchmark.select("item_id", F.col("text").cast("binary").alias("text")).distinct().toLocalIterator():
         words = words_of(bytes(row.text) if row.text is not None else None)
         if words:
             block.append((row.item_id, words))
@@ -204,8 +204,9 @@ def matcher(blocks: list, window: int):
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    A null or empty text has no words and no hits, its items_sha256 is that of the empty string. Items that are null,
-    without an id or without words hit nothing; an item id with several texts counts once. Repeated rows and null ids
+    A null or empty text has no words and no hits, its items_sha256 is that of the empty string. Items that are null
+    or without words hit nothing; an item id with several texts counts once. Items without an id hit like others and
+    count as one in n_items, as in OP9_SQL, but items_sha256 has no id of theirs. Repeated rows and null ids
     are kept. An empty table on either side gives no rows, or rows without hits. Other columns are ignored.
     """
     match = matcher(blocks_of(docs.sparkSession, benchmark, window, block_words), window)
@@ -215,7 +216,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
             texts = [words_of(t) for t in batch.column(1).to_pylist()]
             found = match(texts)
             n_hit = [sum(b - a for a, b in ranges) for ranges, _ in found]
-            digests = [hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest() for _, items in found]
+            digests = [hashlib.sha256(",".join(sorted(str(i) for i in items if i is not None)).encode()).hexdigest() for _, items in found]
             cols = [[len(t) for t in texts], n_hit, [len(i) for _, i in found]]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, pa.int64()) for c in cols), pa.array(digests, pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_())],
