@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from verbaflow.llm import jaccard_join as j
 
@@ -79,7 +80,63 @@ def test_rows_of_one_id_are_told_apart(spark):
     assert j.deduplicated(frame(spark, rows[:1]).limit(0)).collect() == []
 
 
-def test_components(spark):
+def test_odd_rows_and_columns_of_internal_names(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(None, long), (2, long + " end"), (3, ""), (None, None), (None, "a b"), (None, "a b")]
+    df = spark.createDataFrame([(*r, "k", 1, "i") for r in rows], "doc_id long, text string, __key string, comp int, __id string")
+    out = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in j.near_duplicates(df).collect())
+    n = 200_000 - 4
+    assert out == [(0, 0, 0), (0, 1, 0), (0, 1, 0), (0, n, 2), (2, n + 1, 2), (3, 0, 3)]
+    kept = j.deduplicated(df)
+    assert kept.columns == df.columns
+    got = kept.collect()
+    assert sorted((r.doc_id or 0, len(r.text or "")) for r in got) == [(0, 0), (0, 3), (0, 3), (2, len(long) + 4), (3, 0)]
+    assert {(r["__key"], r["__id"]) for r in got} == {("k", "i")}
+
+
+def test_a_passage_once_in_each_of_many_partitions(spark):
+    """The sketch counts what every task meets once only, and so does the order of shingles."""
+    passage = "alpha beta gamma delta epsilon zeta eta theta"
+    rows = [(i, f"{passage} " + " ".join(f"u{i}x{k}" for k in range(40))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(40, "doc_id").select("doc_id", F.col("text").cast("binary").alias("text"))
+    survey = df.mapInArrow(j._surveyor(5), "block int, doc_id long, id long, n long, data binary, key string, marks binary")
+    shares = j.materialise(survey.where("block >= 0").select("block", "data"), "test-sketch")
+    counts = np.frombuffer(j._whole_sketch(shares), np.uint32)
+    common = next(j.Shingler(5).sets([passage.encode()]))
+    assert (counts[j._cells(common)] >= 40).all()
+    sent = spark.sparkContext.broadcast(counts.tobytes())
+    posted = {r.sh for r in df.mapInArrow(j._poster(sent, frozenset(), 5, (75, 100)), "sh long, salt int, id long, size int, pos int").collect()}
+    assert not posted & set(common.view(np.int64).tolist())
+
+
+def test_marks_never_refuse_a_link():
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        a, b = (np.unique(rng.integers(0, 2**63, rng.integers(1, 300)).astype(np.uint64)) for _ in range(2))
+        b = np.unique(np.concatenate([rng.permutation(a)[: rng.integers(0, len(a) + 1)], b[: rng.integers(0, 20)]]))
+        apart = len(np.setxor1d(a, b))
+        assert j.distance(j.marks_of(a), j.marks_of(b)) <= apart
+        if len(b) and j.linked(a, b):
+            assert apart <= len(a) + len(b) - 2 * j.least_common(len(a), len(b), (75, 100))
+
+
+def test_a_dense_group_is_linked_as_by_brute_force(spark, monkeypatch):
+    """Near copies of one text with few and many changes: lists are long, and links run between some members only."""
+    monkeypatch.setattr(j, "SIDE", 16)
+    rnd = random.Random(12)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for n in range(150):
+        w = list(base)
+        for _ in range(rnd.choice([0, 1, 2, 3, 4, 5])):
+            w[rnd.randrange(len(w))] = f"c{rnd.randrange(10**6)}"
+        rows.append((n, " ".join(w)))
+    assert sorted(map(tuple, j.near_duplicates(frame(spark, rows)).collect())) == plain(rows)
+
+
+@pytest.mark.parametrize("each", [100_000, 5])
+def test_components(spark, monkeypatch, each):
+    monkeypatch.setattr(j, "LINKS", each)
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 20)] + [(-5, 40), (40, 50)], "a long, b long")
     got = {r.id: r.comp for r in j.components(links).collect()}
     assert got == {**{i: 1 for i in range(1, 21)}, -5: -5, 40: -5, 50: -5}

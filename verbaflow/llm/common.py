@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor sees; a temporary one only where that is unset (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _fallback()
+    """A new folder below spark.checkpoint.dir, which every executor sees. Where that is unset, a temporary one if all of
+    Spark is in this process; on a cluster that would be lost or not be found, so it fails there."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _alone(spark.sparkContext.master)
     return f"{base.rstrip('/')}/verbaflow/{label}-{uuid.uuid4().hex}"
 
 
-def _fallback(made: list[str] = []) -> str:  # noqa: B006  one folder for the process
+def _alone(master: str, made: list[str] = []) -> str:  # noqa: B006  one folder for the process
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir names no folder; set it to one that the driver and all executors share")
     if not made:
         made.append("file://" + tempfile.mkdtemp(prefix="verbaflow-"))
     return made[0]
@@ -37,6 +47,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def drawn(df: DataFrame, key: str, n: int) -> DataFrame:
     """At most n rows of df, the ones whose keys' hashes are least; keys are distinct. A threshold on the hash leaves about
     twice as many before they are sorted, so that what meets in one task follows n and not the table."""
@@ -57,3 +75,38 @@ def delete(spark: SparkSession, path: str) -> None:
     """Removes a folder of the shared storage, wherever Spark keeps it."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+#: Bytes of text that a Python function works on at once.
+AT_ONCE = 2 << 20
+
+
+def by_bytes(batch: pa.RecordBatch, column: int, most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Slices of batch with at most `most` bytes in a column of texts; a longer text is a slice of its own."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    low = 0
+    while low < batch.num_rows:
+        before = int(size[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(size, before + most, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
+def release() -> None:
+    """Gives memory that this process has freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """function over batches, which leaves no memory behind in a worker that is used again."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return run
