@@ -264,14 +264,16 @@ def _whole_sketch(shares: DataFrame) -> bytes:
     import zstandard
 
     blocks = 1 << (SKETCH_BITS - BLOCK_BITS)
-    each = -(-shares.count() // blocks)
+    each, made = -(-shares.count() // blocks), []
     while each > 2 * SHARES_AT_ONCE:
         each = -(-each // SHARES_AT_ONCE)
         part = F.pmod(F.monotonically_increasing_id(), F.lit(each)).alias("part")
         shares = materialise(shares.select("block", "data", part).groupBy("block", "part").applyInArrow(_added, "block int, data binary"), "jaccard-sketch")
+        made.append(shares)
     sketch, unpack = bytearray(4 << SKETCH_BITS), zstandard.ZstdDecompressor()
     for row in shares.groupBy("block").applyInArrow(_added, "block int, data binary").toLocalIterator():
         sketch[row.block << (BLOCK_BITS + 2) : (row.block + 1) << (BLOCK_BITS + 2)] = unpack.decompress(bytes(row.data))
+    discard(*made)
     return bytes(sketch)
 
 
@@ -573,9 +575,12 @@ def components(links: DataFrame) -> DataFrame:
 def extended(comps: DataFrame, links: DataFrame) -> DataFrame:
     """comps(id, comp) after further links (a, b): the components of the links between components, and the ids that are new."""
     between = _with_ends(links, comps).select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b")
-    top = components(between).select(F.col("id").alias("comp"), F.col("comp").alias("top"))
+    trees = components(between)
+    top = trees.select(F.col("id").alias("comp"), F.col("comp").alias("top"))
     ids = ids_of(links).join(small(comps), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")).unionByName(comps).distinct()
-    return materialise(ids.join(small(top), "comp", "left").select("id", F.coalesce("top", "comp").alias("comp")), "components")
+    out = materialise(ids.join(small(top), "comp", "left").select("id", F.coalesce("top", "comp").alias("comp")), "components")
+    discard(trees)
+    return out
 
 
 def _with_ends(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -800,28 +805,34 @@ def _with_components(docs: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
     _release(spark)
     # each set's likeliest pair; then, between components, the others of these and the likeliest of what mixed lists hold;
     # then whatever is still apart, in full
-    seen = materialise(best_of_each(scored), "jaccard-seen")
-    comps = components(verified(docs, seen, sets, k, t))
+    seen = first = materialise(best_of_each(scored), "jaccard-seen")
+    links = verified(docs, seen, sets, k, t)
+    comps = components(links)
     mixed = _mixed_lists(again, comps)
     parted = materialise(_dealt(mixed).mapInArrow(_parted(t), "kind int, sh long, bx int, by int, side int, id long, size int, pos int, inside boolean, other long"), "jaccard-parted")
-    discard(again, mixed)
+    discard(again, mixed, links)
     more = parted.where("kind = 0").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = materialise(more, "jaccard-more")
-    scored = scored.unionByName(likely(more, sets, t))
+    passing = [scored, likely(more, sets, t)]
+    scored = passing[0].unionByName(passing[1])
     dense = parted.where("kind = 1").select("sh", "bx", "by", "side", "id", "size", "pos", "inside")
     discard(pairs, more)
     _release(spark)
+    looked = [first]
     for nearest in (True, False):
         found = between(dense, comps, sets, t, nearest)
         apart = _apart(scored, comps)
         later = best_of_each(apart.unionByName(found)) if nearest else apart.unionByName(found).select("a", "b").distinct()
         later = materialise(later.join(seen, ["a", "b"], "left_anti"), "jaccard-later")
-        discard(found)
+        looked.append(later)
         if not later.isEmpty():
-            comps = extended(comps, verified(docs, later, sets, k, t))
+            links, before = verified(docs, later, sets, k, t), comps
+            comps = extended(comps, links)
+            discard(links, before)
             seen = seen.unionByName(later)
+        discard(found)
         _release(spark)
-    discard(parted, scored)
+    discard(parted, *passing, *looked)
     least = sets.select("id", "doc_id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     named = least.select("id", "comp").join(least.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "comp").select("id", "comp", "component_id")
     full = own.join(named, "id").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "key", "comp")
