@@ -6,27 +6,22 @@ from verbaflow.llm import topk_search as t
 
 
 def brute(rows, k=5, every=50):
-    best = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not np.isfinite(x) for x in v):
-            continue
-        q = [int(x) for x in np.floor(256 * np.array(v, np.float64))]
-        best[i] = max(best.get(i, q), q)
+    kept = [(i, [int(x) for x in np.floor(256 * np.array(v, np.float64)).tolist()]) for i, v in rows if i is not None and v is not None and not any(x is None or not np.isfinite(x) for x in v)]
     out = []
-    for i, v in best.items():
+    for n, (i, v) in enumerate(kept):
         if i % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), j) for j, w in best.items() if j != i)
+            scores = sorted((-min(max(sum(a * b for a, b in zip(v, w, strict=False)), t.LEAST), t.MOST), j) for m, (j, w) in enumerate(kept) if m != n)
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores[:k])]
     return sorted(out)
 
 
-def found(spark, rows, **sizes):
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).withColumn("rank", F.lit(1))
-    index = t.vectors(df)
+def found(spark, rows, kind="float", **sizes):
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").withColumn("score", F.lit("x")).withColumn("row", F.lit(1))
+    index = t.materialise(t.vectors(df), "test-vectors")
     return sorted(map(tuple, t.top_k(index, index.where(F.col("vec_id") % t.EVERY == 0), **sizes).collect()))
 
 
-@pytest.mark.parametrize("sizes", [{}, {"index_block": 37, "query_block": 2}])
+@pytest.mark.parametrize("sizes", [{}, {"block": 600}])
 def test_against_brute_force(spark, sizes):
     rng = np.random.default_rng(1)
     x = np.round(rng.normal(0, 0.12, (400, 16)), 3)
@@ -34,13 +29,17 @@ def test_against_brute_force(spark, sizes):
     x[50] *= 40
     x[60:80] = 0
     rows = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(x)]
-    rows += [(500, None), (501, [1.0, None]), (550, [float("nan")] * 16), (600, [float("inf")] * 16), (None, [1.0] * 16), (3, rows[9][1]), (3, rows[9][1]), (650, []), (700, [0.5, 0.25])]
+    rows += [(500, None), (501, [1.0, None]), (550, [float("nan")] * 16), (600, [float("inf")] * 16), (None, [1.0] * 16), (650, []), (700, [0.5, 0.25])]
+    # repeated ids, repeated rows, also of queries
+    rows += [(3, rows[9][1]), (3, rows[9][1]), (100, rows[100][1]), (100, rows[50][1]), (50, rows[50][1])]
     assert found(spark, rows, **sizes) == brute(rows)
 
 
-def test_beyond_exact_doubles(spark):
+def test_large_values(spark):
     rows = [(i, [float(2.0**22 + i), float(-(2.0**21)), float(i)]) for i in range(60)]
-    assert found(spark, rows) == brute(rows)
+    assert found(spark, rows, "double") == brute(rows)
+    rows += [(100, [1e10, 3.0, 1.0]), (101, [1e10, 1e10, 0.0]), (150, [-1e300, 1.0]), (151, [2.0**70, 1.0, 5.0]), (152, [3.0**40 + 1, -7.0])]
+    assert found(spark, rows, "double") == brute(rows)
 
 
 def test_few_and_none(spark):
@@ -51,7 +50,22 @@ def test_few_and_none(spark):
 
 def test_segments_stop_on_proof():
     rng = np.random.default_rng(2)
-    x = rng.integers(-20, 20, (2000, 32))
+    x = rng.integers(-20, 20, (2000, 32)).astype(float)
     x[5], x[9] = 90, 80
-    rows = list(t.search_block(x, np.arange(2000), np.full((1, 32), 70), np.array([-1]), 2))
-    assert [r[1] for r in rows] == [5, 9]
+    index = t.Index(x, np.arange(2000), np.arange(2000))
+    added = []
+    index._add = lambda acc, q, segment, add=index._add: (added.append(1), add(acc, q, segment))
+    (_, ids, scores), = index.search(np.full((1, 32), 70.0), np.array([-1]), 2)
+    assert ids.tolist() == [5, 9] and scores == [90 * 70 * 32, 80 * 70 * 32]
+    assert len(added) < len(index.segments)
+
+
+def test_sparse_and_dense_segments_agree():
+    rng = np.random.default_rng(3)
+    x = rng.integers(-300, 300, (200, 12)) * (rng.random((200, 12)) < 0.05) + (rng.random((200, 12)) < 0.9)
+    index = t.Index(x.astype(float), np.arange(200), np.arange(200))
+    assert {where is None for where, _ in index.segments} == {True, False}
+    q, acc = rng.integers(-50, 50, (4, 12)).astype(float), np.zeros((4, 200))
+    for segment in index.segments:
+        index._add(acc, q, segment)
+    assert (acc == q @ x.T).all()

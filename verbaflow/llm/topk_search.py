@@ -1,11 +1,12 @@
 """Exact top-k search by inner product over an impact-ordered index, score at a time.
 
 Vectors are integers, floor(SCALE * x). The index of a block of vectors holds its components as posting segments by
-quantised impact: segment b has the (vector, dimension, impact) with 2^(b-1) <= |impact| < 2^b. A query block takes the
-segments from the largest impacts down and adds their contributions to its accumulators. After each segment, what a
+quantised impact: segment b has the (vector, dimension, impact) with 4^(b-1) <= |impact| < 4^b. A batch of queries takes
+the segments from the largest impacts down and adds their contributions to its accumulators. After each segment, what a
 vector can still gain or lose is at most |query| * |rest of the vector|; a vector whose upper bound is below the k-th
 best lower bound can't be a member. Segments end when the possible members are few, or none are left; then the
-possible members are rescored exactly. Every query block meets every index block; neither side is ever whole in a task.
+possible members are rescored exactly. A block's index is built once, and all queries stream past it; neither side is
+ever whole in a task.
 """
 
 from __future__ import annotations
@@ -17,126 +18,164 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, table, tidy
 
 SCALE, K, EVERY = 256, 5, 50
-INDEX_BLOCK, QUERY_BLOCK, BATCH = 8192, 2048, 256
+#: Components of one index block; queries that are scored at once.
+BLOCK, BATCH = 1 << 19, 256
 #: Segments end when a batch's possible members are this share of its block, or less.
 FEW = 1 / 64
-
-
-def quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, embedding) to (vec_id, vector): floor(SCALE * x), x as double; rows that take no part are left out."""
-    for batch in batches:
-        ids, out = [], []
-        for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if i is None or x is None or None in x:
-                continue
-            v = np.floor(SCALE * np.array(x, np.float64))
-            if np.isfinite(v).all() and (np.abs(v) < 2**62).all():
-                ids.append(i)
-                out.append(v.astype(np.int64).tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["vec_id", "vector"])
+#: A segment is added posting by posting if it fills this share of its rows or less, else row by row.
+SPARSE = 1 / 32
+#: What sums of doubles may be off by, as a share of the product of norms.
+ERROR = 1e-12
+#: Scores are kept within these; 64 bits hold their negatives too.
+MOST = 2**63 - 1
+LEAST = -MOST
 
 
 def vectors(embeddings: DataFrame) -> DataFrame:
-    """One vector for each id: of several, the greatest in array order."""
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return rows.mapInArrow(quantised, "vec_id long, vector array<long>").groupBy("vec_id").agg(F.max("vector").alias("vector"))
-
-
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """embeddings(vec_id, embedding) to row, vec_id, vector: floor(SCALE * x), x as double, as whole doubles. Rows without an
+    id, and vectors that are null or hold null or non-finite components, take no part; nor do ones that scaling takes
+    beyond the range of doubles. Repeated ids and repeated rows are rows of their own, told by row."""
+    scaled = F.transform(F.col("embedding").cast("array<double>"), lambda x: x * SCALE)
+    # from 2^53 on a double is whole
+    whole = F.transform("v", lambda y: F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y))
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
+    finite = F.forall("v", lambda y: F.coalesce(~F.isnan(y) & (F.abs(y) < float("inf")), F.lit(False)))
+    return rows.where(finite).select(F.monotonically_increasing_id().alias("row"), "vec_id", whole.alias("vector"))
+
+
+def _matrix(rows: list[list[float]], width: int) -> np.ndarray:
     """Rows of one width: shorter vectors end in zeros, which add nothing to an inner product."""
-    rows = column.to_pylist()
-    out = np.zeros((len(rows), max(map(len, rows), default=0)), np.int64)
+    out = np.zeros((len(rows), width))
     for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+        out[i, : min(len(r), width)] = r[:width]
     return out
 
 
-class Segments:
-    """Posting segments of a block by falling impact, and the norm of what follows each."""
+class Index:
+    """A block's vectors: posting segments by falling impact, and the norm of what follows each."""
 
-    def __init__(self, x: np.ndarray):
-        self.shape = x.shape
-        level = np.zeros(x.shape, np.int16)
+    def __init__(self, x: np.ndarray, ids: np.ndarray, rows: np.ndarray):
+        self.x, self.ids, self.rows = x, ids, rows
         size = np.abs(x)
-        while (size > 0).any():
-            level += size > 0
-            size >>= 1
-        order = np.argsort(-level, axis=None, kind="stable")
-        order = order[: np.count_nonzero(level)]
-        cuts = np.flatnonzero(np.diff(level.ravel()[order])) + 1
-        self.postings = [(p // x.shape[1], p % x.shape[1], x.ravel()[p].astype(np.float64)) for p in np.split(order, cuts)] if len(order) else []
-        rest = (x.astype(np.float64) ** 2).sum(1)
-        self.rest = []
-        for vec, _, impact in self.postings:
+        with np.errstate(over="ignore"):
+            rest = (x**2).sum(1)
+        self.norm = np.sqrt(rest)
+        self.segments: list[tuple] = []
+        self.rest: list[np.ndarray] = []
+        if not np.isfinite(self.norm).all():
+            return  # no bound: all are rescored
+        level = np.where(size > 0, (np.frexp(size)[1] + 1) // 2, 0)
+        for b in np.unique(level[level > 0])[::-1].tolist():
+            vec, dim = np.nonzero(level == b)
+            impact = x[vec, dim]
+            here = np.unique(vec)
+            if len(vec) <= SPARSE * x.shape[0] * x.shape[1]:
+                order = np.argsort(dim, kind="stable")
+                cuts = np.flatnonzero(np.diff(dim[order])) + 1
+                self.segments.append((None, [(int(dim[p[0]]), vec[p], impact[p]) for p in np.split(order, cuts)]))
+            else:
+                dense = np.where(level[here] == b, x[here], 0.0)
+                self.segments.append((slice(None) if len(here) == len(x) else here, dense))
             rest = np.maximum(rest - np.bincount(vec, impact**2, len(rest)), 0)
             self.rest.append(np.sqrt(rest))
 
-    def tiles(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Each segment scattered into a tile, with the norms of the rest after it."""
-        for (vec, dim, impact), rest in zip(self.postings, self.rest, strict=True):
-            tile = np.zeros(self.shape)
-            tile[vec, dim] = impact
-            yield tile, rest
-
-
-def search_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-    """(query, vector, score) of each query's k best in the block, ties to the smaller id."""
-    width = max(x.shape[1], q.shape[1])
-    x, q = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, q))
-    top = [int(np.abs(m).max(initial=0)) for m in (x, q)]
-    if top[0] * top[1] * max(width, 1) >= 2**53:  # beyond exact doubles: plain integers
-        for i, one in zip(q_ids.tolist(), q.tolist(), strict=True):
-            scores = sorted((-sum(a * b for a, b in zip(one, row, strict=True)), j) for row, j in zip(x.tolist(), ids.tolist(), strict=True) if j != i)
-            yield from ((i, j, -s) for s, j in scores[:k])
-        return
-    segments = Segments(x)
-    for at in range(0, len(q), BATCH):
-        some, own = q[at : at + BATCH].astype(np.float64), q_ids[at : at + BATCH]
-        acc = np.zeros((len(some), len(ids)))
-        acc[own[:, None] == ids[None, :]] = -np.inf
-        norm = np.sqrt((some**2).sum(1))
-        possible = np.isfinite(acc)
-        for tile, rest in segments.tiles():
-            acc += some @ tile.T
-            slack = norm[:, None] * rest[None, :] * (1 + 1e-9) + 1e-6
-            if len(ids) > k:
-                least = np.partition(acc - slack, len(ids) - k, axis=1)[:, len(ids) - k]
-                possible = np.isfinite(acc) & (acc + slack >= least[:, None])
-            if possible.mean() <= FEW:
-                break
-        for i in range(len(some)):
+    def _add(self, acc: np.ndarray, q: np.ndarray, segment: tuple) -> None:
+        where, what = segment
+        if where is None:
+            for dim, vec, impact in what:  # a vector is in a dimension once
+                acc[:, vec] += q[:, dim : dim + 1] * impact[None, :]
+        else:
+            acc[:, where] += q @ what.T
+
+    def search(self, q: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, list[int]]]:
+        """Of each query, by its place: the k best vectors' ids with their scores, ties to the smaller id; own: the queries' rows."""
+        n = len(self.ids)
+        acc = np.zeros((len(q), n))
+        mine = own[:, None] == self.rows[None, :]
+        possible = ~mine
+        with np.errstate(over="ignore"):
+            norm = np.sqrt((q**2).sum(1))
+        if np.isfinite(norm).all():
+            error = ERROR * norm[:, None] * self.norm[None, :] + 1e-6
+            for segment, rest in zip(self.segments, self.rest, strict=True):
+                self._add(acc, q, segment)
+                slack = norm[:, None] * rest[None, :] * (1 + 1e-9) + error
+                if n > k:
+                    low, high = (np.clip(bound, LEAST, MOST) for bound in (acc - slack, acc + slack))
+                    least = np.partition(np.where(mine, -np.inf, low), n - k, axis=1)[:, n - k]
+                    possible = ~mine & (high >= least[:, None])
+                if possible.mean() <= FEW:
+                    break
+        for i in range(len(q)):
             found = np.flatnonzero(possible[i])
-            exact = x[found] @ q[at + i]
-            best = np.lexsort((ids[found], -exact))[:k]
-            yield from ((int(own[i]), int(ids[found[b]]), int(exact[b])) for b in best)
-
-
-def searcher(k: int):
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
-        if left.num_rows and right.num_rows:
-            rows = list(search_block(_matrix(left["vector"]), left["vec_id"].to_numpy(), _matrix(right["vector"]), right["vec_id"].to_numpy(), k))
-        cols = list(zip(*rows, strict=True)) or [[], [], []]
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
-
-    return search
-
-
-def top_k(index: DataFrame, queries: DataFrame, k: int = K, index_block: int = INDEX_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """index and queries (vec_id, vector) to query_id, rank, vec_id, score: the k best of all index rows for each query.
-
-    A query's own id is no candidate for it. A query without candidates gives no rows, one with fewer than k gives all.
+            exact = self._exact(found, q[i])
+            best = np.lexsort((self.ids[found], -exact))[:k]
+            yield i, self.ids[found[best]], exact[best].tolist()
+
+    def _exact(self, found: np.ndarray, q: np.ndarray) -> np.ndarray:
+        x = self.x[found]
+        top = [float(np.abs(m).max(initial=0)) for m in (x, q)]
+        if max(*top, top[0] * top[1] * len(q)) < 2.0**62:
+            return x.astype(np.int64) @ q.astype(np.int64)
+        whole = [int(c) for c in q.tolist()]
+        exact = (sum(int(a) * b for a, b in zip(row, whole, strict=True)) for row in x.tolist())
+        return np.array([min(max(s, LEAST), MOST) for s in exact], np.int64)
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The parts of a sorted batch that are of one block and kind."""
+    key = np.stack([batch.column(c).to_numpy() for c in ("ib", "kind")])
+    cuts = [0, *(np.flatnonzero((np.diff(key) != 0).any(0)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield batch.slice(a, b - a)
+
+
+def searcher(k: int, width: int):
+    """Rows sorted by block and kind, the block's vectors (kind 0) before the queries (kind 1)."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, waiting, index = None, [], None
+        for batch in batches:
+            for run in _runs(batch) if batch.num_rows else ():
+                if run.column("ib")[0].as_py() != block:
+                    block, waiting, index = run.column("ib")[0].as_py(), [], None
+                if run.column("kind")[0].as_py() == 0:
+                    waiting.append((run.column("row").to_numpy(), run.column("vec_id").to_numpy(), _matrix(run.column("vector").to_pylist(), width)))
+                    continue
+                if not waiting and index is None:
+                    continue  # no vector is in this block
+                if index is None:
+                    rows, ids, x = (np.concatenate(c) for c in zip(*waiting, strict=True))
+                    index, waiting = Index(x, ids, rows), []
+                for low in range(0, run.num_rows, BATCH):
+                    some = run.slice(low, BATCH)
+                    own, asked = some.column("row").to_numpy(), some.column("vec_id").to_numpy()
+                    out: tuple[list, list, list, list] = ([], [], [], [])
+                    for i, ids, scores in index.search(_matrix(some.column("vector").to_pylist(), width), own, k):
+                        for column, values in zip(out, ([own[i]] * len(ids), [asked[i]] * len(ids), ids.tolist(), scores), strict=True):
+                            column.extend(values)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["row", "query_id", "vec_id", "score"])
+
+    return tidy(search)
+
+
+def top_k(index: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
+    """index and queries (row, vec_id, vector) to query_id, rank, vec_id, score: the k best of all index rows for each query row.
+
+    A query's own row is no candidate for it; another row of its id is. Equal scores rank by vec_id, rows equal in both in
+    any order. A score beyond 64 bits counts as the nearest of LEAST and MOST. A query without candidates gives no rows, one with fewer than k gives all; an empty table on either side
+    gives none. Vectors of different lengths are as if they ended in zeros. Other columns are ignored.
     """
-    n_index, n_query = (max(1, -(-df.count() // size)) for df, size in ((index, index_block), (queries, query_block)))
-    block = lambda n, name: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(name)
-    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    left = index.select("vec_id", "vector", block(n_index, "ib"), every(n_query, "qb"))
-    right = queries.select("vec_id", "vector", block(n_query, "qb"), every(n_index, "ib"))
-    found = left.groupBy("ib", "qb").cogroup(right.groupBy("ib", "qb")).applyInArrow(searcher(k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    n, width = index.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    blocks = max(1, -(-n * max(1, width or 1) // block))
+    left = index.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("ib"), F.lit(0).alias("kind"), "row", "vec_id", "vector")
+    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("ib"), F.lit(1).alias("kind"), "row", "vec_id", "vector")
+    sorted_rows = left.unionByName(right).repartition(blocks, "ib").sortWithinPartitions("ib", "kind")
+    found = sorted_rows.mapInArrow(searcher(k, max(1, width or 1)), "row long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -148,11 +187,11 @@ def op1_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS score
-  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
-), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+  SELECT a.n, a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.n <> b.n
+), r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 5
 """
