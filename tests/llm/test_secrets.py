@@ -71,3 +71,13 @@ def test_redaction(spark):
 
 def test_empty(spark):
     assert scan(spark, []) == []
+
+
+def test_columns_of_internal_names_and_long_texts(spark):
+    rows = [(1, "secret=0123456789abcdef0123", "a", "en"), (None, "x " * 300_000 + "f" * 20, "a", "en"), (None, "x " * 300_000 + "f" * 20, "a", "en")]
+    df = frame(spark, rows).withColumns({"__key": F.lit("k"), "__spans": F.lit("s"), "key": F.lit(1), "owner": F.lit("o"), "digest": F.lit(2)})
+    out = s.redacted(df, F.col("source"), F.col("lang"))
+    assert out.columns == df.columns
+    got = out.collect()
+    assert sorted(r.text[-8:] for r in got) == ["[SECRET]"] * 3 and {(r["__key"], r["__spans"], r.key, r.owner, r.digest) for r in got} == {("k", "s", 1, "o", 2)}
+    assert s.redacted(df.limit(0), F.col("source"), F.col("lang")).count() == 0

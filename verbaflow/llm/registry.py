@@ -9,7 +9,6 @@ QUERIES = {
     "op4_sentencepiece": sentencepiece_codec.op4_sentencepiece,
     "op5_url_filters": url_filters.op5_url_filters,
     "op6_secret_scans": secrets.op6_secret_scans,
-    "op6_secret_verdicts": secrets.op6_secret_verdicts,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_decontamination": decontamination.op9_decontamination,

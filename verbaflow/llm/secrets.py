@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import discard, materialise, table, unused
 
 #: Kinds in the order that breaks ties, with their patterns, the group whose length counts, and its least length.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -28,6 +28,8 @@ OWNERS = 2
 #: The same for repositories.
 REPOSITORIES = 4
 MASK = "[SECRET]"
+#: Spans that are broadcast to the documents, at most (they have no texts, so a bounded size); beyond, the join shuffles.
+FEW_SPANS = 100_000
 SPAN = "array<struct<start: int, rank: int, kind: string, end: int, value: string>>"
 
 
@@ -50,12 +52,11 @@ def matches(text: Column, kind: str, pattern: str, least: int, group: int = 0, a
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
 
 
-def with_base(docs: DataFrame) -> DataFrame:
-    """Adds __base (all base spans, sorted) and __mixed (further candidates); a null text is an empty one."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = F.array_sort(F.concat(matches(text, "assign", ASSIGN, 12, 2), matches(text, "access", ACCESS, 18), matches(text, "hex", HEX, 16)))
+def candidates(text: Column) -> Column:
+    """All base spans and, of kind live, the further candidates; a null text is an empty one."""
+    text = F.coalesce(text, F.lit(""))
     mixed = F.filter(matches(text, "live", MIXED, 20), lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[a-z]") & m["value"].rlike("[A-Z]"))
-    return docs.withColumns({"__base": base, "__mixed": mixed})
+    return F.concat(matches(text, "assign", ASSIGN, 12, 2), matches(text, "access", ACCESS, 18), matches(text, "hex", HEX, 16), mixed)
 
 
 def written(spans: Column) -> Column:
@@ -67,24 +68,37 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("digest").agg(F.count_distinct("owner").alias("n_owners"), F.count_distinct("repository").alias("n_repositories"))
 
 
-def scanned(docs: DataFrame, owner: Column, repository: Column, owners: int = OWNERS, repositories: int = REPOSITORIES) -> DataFrame:
-    """docs with __base (base spans) and __live (live spans beside them), joined by the row's own key.
+def scanned(docs: DataFrame, owner: Column, repository: Column, into: str) -> DataFrame:
+    """docs with a further column, called `into`: all candidates of the text in order, each with n_owners and n_repositories
+    of its value.
 
-    Every span bears n_owners and n_repositories of its value. The candidates are written once, so that texts are searched
-    once. Rows that are equal in doc_id and text share one key and so one result; a null doc_id is a key like any other.
-    A null owner or repository counts as one more of them.
+    The candidates are written once, so that texts are searched once, and come back by the row's own digest. Rows that are
+    equal in doc_id and text share one digest and so one result; a null doc_id is an id like any other. A null owner or
+    repository counts as one more of them.
     """
     text = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
     key = F.unhex(F.sha2(F.concat(text, F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))).cast("binary"), 256))
-    found = with_base(docs).withColumns({"__key": key, "__all": F.concat("__base", "__mixed")})
-    held = found.where(F.size("__all") > 0).select("__key", F.coalesce(owner, F.lit("\x00")).alias("owner"), F.coalesce(repository, F.lit("\x00")).alias("repository"), F.explode("__all").alias("m"))
-    held = materialise(held.withColumn("digest", F.sha2(F.col("m.value").cast("binary"), 256)), "secret-candidates")
+    found = docs.select(key.alias("key"), F.coalesce(owner, F.lit("\x00")).alias("owner"), F.coalesce(repository, F.lit("\x00")).alias("repository"), candidates(F.col("text")).alias("every"))
+    held = found.where(F.size("every") > 0).select("key", "owner", "repository", F.explode("every").alias("m"))
+    held = materialise(held.withColumns({"digest": F.unhex(F.sha2(F.col("m.value").cast("binary"), 256)), "m": F.col("m").dropFields("value")}), "secret-candidates")
     counts = materialise(ownership(held), "secret-ownership")  # plain tables on both sides, so that a hot value is split
-    spans = held.join(counts, "digest").select("__key", F.struct("m.*", "n_owners", "n_repositories").alias("m")).groupBy("__key").agg(F.array_sort(F.collect_set("m")).alias("__spans"))
-    few = lambda s: (s["kind"] == "live") & (s["n_owners"] <= owners) & (s["n_repositories"] <= repositories)
-    rows = docs.withColumn("__key", key).join(spans, "__key", "left")
-    told = F.coalesce("__spans", F.array().cast(spans.schema["__spans"].dataType))
-    return rows.withColumns({"__base": F.filter(told, lambda s: s["kind"] != "live"), "__live": F.filter(told, few)}).drop("__key", "__spans")
+    told = held.join(counts, "digest").select("key", F.struct("m.*", "n_owners", "n_repositories").alias("m"))
+    spans = materialise(told.groupBy("key").agg(F.array_sort(F.collect_set("m")).alias("spans")), "secret-spans")
+    few = held.count() <= FEW_SPANS
+    discard(held, counts)
+    own = unused(docs, "__key")
+    spans = spans.select(F.col("key").alias(own), F.col("spans").alias(into))
+    rows = docs.withColumn(own, key).join(F.broadcast(spans) if few else spans, own, "left")
+    return rows.withColumn(into, F.coalesce(F.col(into), F.array().cast(spans.schema[into].dataType))).drop(own)
+
+
+def base_of(spans: Column) -> Column:
+    return F.filter(spans, lambda s: s["kind"] != "live")
+
+
+def live_of(spans: Column, owners: int, repositories: int) -> Column:
+    """The further candidates whose values few hold."""
+    return F.filter(spans, lambda s: (s["kind"] == "live") & (s["n_owners"] <= owners) & (s["n_repositories"] <= repositories))
 
 
 def secret_spans(docs: DataFrame, owner: Column, repository: Column, owners: int = OWNERS, repositories: int = REPOSITORIES) -> DataFrame:
@@ -93,24 +107,31 @@ def secret_spans(docs: DataFrame, owner: Column, repository: Column, owners: int
     (live where both are within the limits, else copied).
 
     A null text is scanned as an empty one: no spans, and the digest of the empty string. Repeated rows are kept, an
-    empty table gives no rows, other columns are ignored. A live token that lies inside a base span isn't told twice.
+    empty table gives no rows, other columns are ignored. A live token that lies inside a base span isn't told twice. A
+    very long text is searched whole.
     """
-    rows = scanned(docs.select("doc_id", "text", owner.alias("__owner"), repository.alias("__repository")), F.col("__owner"), F.col("__repository"), owners, repositories)
-    count = lambda kind: F.size(F.filter("__base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    fresh = F.filter("__live", lambda m: ~F.exists("__base", lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"])))
-    spans = F.array_sort(F.concat("__base", fresh))
+    rows = scanned(docs.select("doc_id", "text", owner.alias("__owner"), repository.alias("__repository")), F.col("__owner"), F.col("__repository"), "__spans")
+    rows = rows.select("doc_id", base_of(F.col("__spans")).alias("base"), live_of(F.col("__spans"), owners, repositories).alias("live"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    fresh = F.filter("live", lambda m: ~F.exists("base", lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"])))
+    spans = F.array_sort(F.concat("base", fresh))
     each = lambda f, name: F.array_join(F.transform(spans, f), ",").alias(name)
     verdict = lambda s: F.when((s["n_owners"] <= owners) & (s["n_repositories"] <= repositories), "live").otherwise("copied")
     return rows.select(
-        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(written(F.col("__base")).cast("binary"), 256).alias("base_sha256"), written(spans).alias("spans"),
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(spans).alias("spans"),
         each(lambda s: s["n_owners"].cast("string"), "n_owners"), each(lambda s: s["n_repositories"].cast("string"), "n_repositories"), each(verdict, "verdicts"),
     )
 
 
 def redacted(docs: DataFrame, owner: Column, repository: Column, owners: int = OWNERS, repositories: int = REPOSITORIES, mask: str = MASK) -> DataFrame:
-    """docs with every span of text replaced by mask (overlapping spans by one); n_chars, where there is one, follows."""
-    rows = scanned(docs, owner, repository, owners, repositories)
-    spans = F.array_sort(F.concat("__base", "__live"))
+    """docs with every span of text replaced by mask (overlapping spans by one); n_chars, where there is one, follows.
+
+    Null and empty texts, and ones without spans, stay as they are; repeated rows and null ids are kept, an empty table
+    gives no rows, and other columns pass through, whatever they are called.
+    """
+    into = unused(docs, "__spans")
+    rows = scanned(docs, owner, repository, into)
+    spans = F.array_sort(F.concat(base_of(F.col(into)), live_of(F.col(into), owners, repositories)))
 
     def cut(state: Column, span: Column) -> Column:
         new = span["start"] >= state["at"]
@@ -125,17 +146,12 @@ def redacted(docs: DataFrame, owner: Column, repository: Column, owners: int = O
     return out.select(*docs.columns)
 
 
-def op6_secret_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table names no repository: a source is an owner, its documents of one language are a repository."""
     docs = table(spark, sf_dir, "documents")
     return secret_spans(docs, F.col("source"), F.concat_ws("/", "source", "lang"))
 
 
-def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns of OP6_SQL; op6_secret_verdicts has the ownership of each span beside them."""
-    return op6_secret_verdicts(spark, sf_dir).drop("n_owners", "n_repositories", "verdicts")
-
-
 _KEYWORD = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
 _ASSIGN_SQL = _KEYWORD + """["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 
@@ -152,11 +168,16 @@ spans AS (SELECT n, kind, val, list_sum(list_transform(g[1 : i + 1], lambda x: l
           WHERE length(val) >= CASE kind WHEN 'assign' THEN 12 WHEN 'access' THEN 18 WHEN 'hex' THEN 16 ELSE 20 END),
 base AS (SELECT * FROM spans WHERE kind <> 'live'),
 mixed AS (SELECT * FROM spans WHERE kind = 'live' AND regexp_matches(val, '[0-9]') AND regexp_matches(val, '[a-z]') AND regexp_matches(val, '[A-Z]')),
-few AS (SELECT val FROM mixed JOIN d USING (n) GROUP BY val HAVING count(DISTINCT coalesce(source, chr(0))) <= {OWNERS} AND count(DISTINCT concat_ws('/', source, lang)) <= {REPOSITORIES}),
-live AS (SELECT * FROM mixed WHERE val IN (SELECT val FROM few) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.n = mixed.n AND b.first <= mixed.first AND mixed.first + mixed.size <= b.first + b.size)),
-every AS (SELECT *, CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 WHEN 'hex' THEN 2 ELSE 3 END AS place FROM (SELECT * FROM base UNION ALL SELECT * FROM live)),
+owned AS (SELECT val, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT concat_ws('/', source, lang)) AS repositories
+          FROM (SELECT * FROM base UNION ALL SELECT * FROM mixed) JOIN d USING (n) GROUP BY val),
+live AS (SELECT mixed.* FROM mixed JOIN owned USING (val) WHERE owners <= {OWNERS} AND repositories <= {REPOSITORIES}
+         AND NOT EXISTS (SELECT 1 FROM base b WHERE b.n = mixed.n AND b.first <= mixed.first AND mixed.first + mixed.size <= b.first + b.size)),
+every AS (SELECT *, CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 WHEN 'hex' THEN 2 ELSE 3 END AS place FROM (SELECT * FROM base UNION ALL SELECT n, kind, val, first, size FROM live) JOIN owned USING (val)),
 told AS (SELECT n, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c, count(*) FILTER (kind = 'hex') AS h,
-           string_agg(kind || ':' || first || ':' || (first + size), ',' ORDER BY first, place) FILTER (kind <> 'live') AS own, string_agg(kind || ':' || first || ':' || (first + size), ',' ORDER BY first, place) AS all_spans
+           string_agg(kind || ':' || first || ':' || (first + size), ',' ORDER BY first, place) FILTER (kind <> 'live') AS own, string_agg(kind || ':' || first || ':' || (first + size), ',' ORDER BY first, place) AS all_spans,
+           string_agg(CAST(owners AS VARCHAR), ',' ORDER BY first, place) AS o, string_agg(CAST(repositories AS VARCHAR), ',' ORDER BY first, place) AS r,
+           string_agg(CASE WHEN owners <= {OWNERS} AND repositories <= {REPOSITORIES} THEN 'live' ELSE 'copied' END, ',' ORDER BY first, place) AS v
          FROM every GROUP BY n)
-SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(own, '')) AS base_sha256, coalesce(all_spans, '') AS spans FROM d LEFT JOIN told USING (n)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(own, '')) AS base_sha256, coalesce(all_spans, '') AS spans,
+       coalesce(o, '') AS n_owners, coalesce(r, '') AS n_repositories, coalesce(v, '') AS verdicts FROM d LEFT JOIN told USING (n)
 """
