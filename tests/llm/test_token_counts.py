@@ -9,8 +9,8 @@ TEXTS = ["", "Hello, world!", "  two   spaces\n\n\t", "a<|endoftext|>b <|endofte
 
 
 @pytest.fixture(scope="module")
-def files():
-    return t.tokenizer_files()
+def definition():
+    return t.definition_of()
 
 
 def library(texts):
@@ -18,26 +18,26 @@ def library(texts):
     return [len(e) for e in tokenizer.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
-def test_as_the_library(files):
-    assert t.Counter(*files)(TEXTS) == library(TEXTS)
-    assert t.Counter(files[0], None, None)(TEXTS) == library(TEXTS)
+def test_as_the_library(definition):
+    long = ["word " * 400_000, "y" * 100_000]
+    assert t.Counter(definition)(TEXTS + long) == library(TEXTS + long)
 
 
-def test_cache(spark, files):
+def test_cache(spark, definition):
     rows = [(i, x, "x", 1) for i, x in enumerate(TEXTS)] + [(100, None, "x", 1), (None, TEXTS[1], "x", 1), (1, TEXTS[1], "x", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string, content_digest int")
     cache = shared_dir(spark, "test-cache")
     key = lambda r: (r[0] is None, r[0] or 0)
     want = sorted(((i, len((x or "").encode()), n, n > t.LIMIT) for (i, x, *_), n in zip(rows, library([r[1] for r in rows]), strict=True)), key=key)
-    got = sorted(map(tuple, t.count_tokens(df, cache, files).collect()), key=key)
+    got = sorted(map(tuple, t.count_tokens(df, cache, definition).collect()), key=key)
     assert got == want
     stored = spark.read.parquet(cache).count()
     assert stored == len(set(x or "" for _, x, *_ in rows))  # null is the empty text
-    assert sorted(map(tuple, t.count_tokens(df, cache, files).collect()), key=key) == want
+    assert sorted(map(tuple, t.count_tokens(df, cache, definition).collect()), key=key) == want
     assert spark.read.parquet(cache).count() == stored  # nothing was encoded again
     more = spark.createDataFrame([(7, "something new")], "doc_id long, text string")
-    assert t.count_tokens(more, cache, files).count() == 1 and spark.read.parquet(cache).count() == stored + 1
+    assert t.count_tokens(more, cache, definition).count() == 1 and spark.read.parquet(cache).count() == stored + 1
 
 
-def test_empty(spark, files):
-    assert t.count_tokens(spark.createDataFrame([], "doc_id long, text string"), shared_dir(spark, "test-cache"), files).count() == 0
+def test_empty(spark, definition):
+    assert t.count_tokens(spark.createDataFrame([], "doc_id long, text string"), shared_dir(spark, "test-cache"), definition).count() == 0

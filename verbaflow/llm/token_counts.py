@@ -8,9 +8,8 @@ third of the table reaches the encoder as a few rows.
 
 from __future__ import annotations
 
-import base64
 import hashlib
-import re
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,50 +17,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, shared_dir, table
+from .common import by_bytes, discard, materialise, shared_dir, table, tidy
 
-TOKENIZER, RANKS, LIMIT = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", 1024
+TOKENIZER, LIMIT = "byte_bpe_50k.json", 1024
 CACHE = T.StructType([T.StructField("content_digest", T.BinaryType()), T.StructField("tokenizer_digest", T.StringType()), T.StructField("n_tokens", T.LongType())])
-#: Letters and digits up to here have kept their Unicode classes since long before either library's tables.
-SETTLED = re.compile("[^\u0000-ɏ]")
 
 
 class Counter:
-    """Counts tokens as the tokenizers library does for the given .json file.
+    """Counts tokens as the tokenizers library does for the given definition: no truncation, no padding, no tokens added."""
 
-    A twin of the vocabulary as byte ranks makes counting faster: the same merges over the same word pattern. It counts
-    the texts of settled characters, split at the special strings; all other texts go through the library itself.
-    """
-
-    def __init__(self, definition: bytes, ranks: bytes | None, pattern: str | None):
+    def __init__(self, definition: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_str(definition.decode())
-        self.exact.no_truncation()
-        self.exact.no_padding()
-        self.fast = None
-        if ranks:
-            import tiktoken
-
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-            self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-            special = [re.escape(t.content) for t in self.exact.get_added_tokens_decoder().values()]
-            self.special = re.compile("|".join(sorted(special, key=len, reverse=True)) or r"(?!)")
+        self.tokenizer = Tokenizer.from_str(definition.decode())
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
 
     def __call__(self, texts: list[str]) -> list[int]:
-        out: list[int] = [0] * len(texts)
-        rest = []
-        for i, text in enumerate(texts):
-            if self.fast is None or SETTLED.search(text):
-                rest.append(i)
-            else:
-                parts = self.special.split(text)
-                out[i] = len(parts) - 1 + sum(len(self.fast.encode_ordinary(p)) for p in parts)
-        for at in range(0, len(rest), 64):
-            some = rest[at : at + 64]
-            for i, e in zip(some, self.exact.encode_batch([texts[i] for i in some], add_special_tokens=False), strict=True):
-                out[i] = len(e)
-        return out
+        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,30 +49,25 @@ def first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield batch.filter(pa.array(new, pa.bool_()))
 
 
-def encoder(definition: bytes, ranks: bytes | None, pattern: str | None):
+def encoder(definition: bytes):
     version = hashlib.sha256(definition).hexdigest()
-    shared: dict = {}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "counter" not in shared:
-            shared["counter"] = Counter(definition, ranks, pattern)
+        counter = Counter(definition)
         for batch in first_of_each(batches):
-            counts = shared["counter"](batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())], names=CACHE.names)
+            for some in by_bytes(batch, 1):
+                counts = counter(some.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())], names=CACHE.names)
 
     return encode
 
 
-def tokenizer_files(name: str = TOKENIZER, ranks: str | None = RANKS) -> tuple[bytes, bytes | None, str | None]:
-    """The public tokenizer's definition and its twin of ranks, read once on the driver and sent with the tasks."""
+def definition_of(name: str = TOKENIZER) -> bytes:
+    """The public tokenizer's file, read once on the driver and sent with the tasks."""
     import public_tokenizers
 
     with open(public_tokenizers.path(name), "rb") as f:
-        definition = f.read()
-    if not ranks:
-        return definition, None, None
-    with open(public_tokenizers.path(ranks), "rb") as f:
-        return definition, f.read(), public_tokenizers.PATTERN
+        return f.read()
 
 
 def cached(spark: SparkSession, cache: str, version: str) -> DataFrame | None:
@@ -109,24 +78,24 @@ def cached(spark: SparkSession, cache: str, version: str) -> DataFrame | None:
     return spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer_digest") == version)
 
 
-def count_tokens(docs: DataFrame, cache: str, files: tuple[bytes, bytes | None, str | None], limit: int = LIMIT, normalise=lambda text: text) -> DataFrame:
+def count_tokens(docs: DataFrame, cache: str, definition: bytes, limit: int = LIMIT, normalise=lambda text: text) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_bytes, n_tokens, over_limit; the cache gains what it lacked.
 
     normalise must not change a text's count (the default leaves it as it is). A null text counts as an empty one: 0
     bytes, 0 tokens. Repeated rows and null ids stay rows of their own; an empty table gives no rows; a cache with
-    a count stored twice (two writers at once) gives each row once; other columns are ignored.
+    a count stored twice (two writers at once) gives each row once; other columns are ignored. A very long text is
+    encoded whole, in one piece.
     """
     spark = docs.sparkSession
-    definition, ranks, pattern = files
     version = hashlib.sha256(definition).hexdigest()
     text = F.coalesce(F.col("text"), F.lit(""))
     digest: Column = F.unhex(F.sha2(normalise(text).cast("binary"), 256))
     stored = cached(spark, cache, version)
-    distinct = docs.select(digest.alias("content_digest"), normalise(text).alias("text")).mapInArrow(first_of_each, "content_digest binary, text string")
+    distinct = docs.select(digest.alias("content_digest"), normalise(text).alias("text")).mapInArrow(tidy(first_of_each), "content_digest binary, text string")
     if stored is not None:
         distinct = distinct.join(stored.select("content_digest").distinct(), "content_digest", "left_anti")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fresh = distinct.repartition(parts, "content_digest").mapInArrow(encoder(definition, ranks, pattern), CACHE)
+    fresh = distinct.repartition(parts, "content_digest").mapInArrow(tidy(encoder(definition)), CACHE)
     fresh.write.mode("append").parquet(cache)
     # on its own, so that the join below reads plain exchanges, whose hot digests Spark can split
     counts = materialise(cached(spark, cache, version).groupBy("content_digest").agg(F.min("n_tokens").alias("n_tokens")), "token-counts")
@@ -136,4 +105,7 @@ def count_tokens(docs: DataFrame, cache: str, files: tuple[bytes, bytes | None,
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every run starts from an empty cache, so that it counts all texts itself."""
-    return count_tokens(table(spark, sf_dir, "documents"), shared_dir(spark, "token-cache"), tokenizer_files())
+    cache = shared_dir(spark, "token-cache")
+    out = count_tokens(table(spark, sf_dir, "documents"), cache, definition_of())
+    discard(spark.read.schema(CACHE).parquet(cache))  # the result has a copy of the counts
+    return out
