@@ -36,3 +36,9 @@ def test_against_plain_rules(spark, ranges):
 def test_empty(spark):
     assert judged(spark, [], u.RULES) == {}
     assert judged(spark, ["http://a.com/"], []) == {0: ("a.com", "/", None, "allow")}
+
+
+def test_null_ids_and_repeated_rows(spark):
+    pages = spark.createDataFrame([(None, "http://example.com/en/a"), (None, "http://example.com/en/a"), (1, None), (1, None), (1, "http://a.net/es/")], "page_id long, url string")
+    out = sorted((r.page_id or 0, r.host, r.rule or "", r.verdict) for r in u.filtered(pages, spark.createDataFrame(u.RULES, "verdict string, host string, path string")).collect())
+    assert out == [(0, "example.com", "example.com/en/", "block")] * 2 + [(1, "", "", "allow")] * 2 + [(1, "a.net", "net/es/", "block")]

@@ -3,20 +3,21 @@
 A host is written with its labels reversed, each ended by END, so that a rule's host and all its subdomains are one
 interval of keys: com.END.example.END. covers every key that starts so. URLs and rules are cut into ranges at
 quantiles of the URLs' keys; a rule goes to each range its interval meets, and inside a range one sorted sweep keeps a
-stack of the rules whose intervals are open at the current URL. Equal keys may span many ranges: their URLs are dealt
+stack of the rules whose intervals are open at the current URL: for each open host a table of its path prefixes, which are
+intervals of paths. A URL's path is looked up in it by the lengths that prefixes have there, the longest first, so that
+the work follows the number of different lengths, not of rules. Equal keys may span many ranges: their URLs are dealt
 over those by a hash, and the rules go to all of them.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
 END, LAST = "\x01", "\U0010ffff"
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -24,6 +25,8 @@ RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 DEFAULT = "allow"
 #: URL keys that are drawn for the cuts: so many for each range.
 DRAWN = 16
+#: Cuts that are looked through at once for a key's range.
+STEP = 64
 
 
 def host_of(url: Column) -> Column:
@@ -40,13 +43,28 @@ def key_of(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), END), F.lit(END))
 
 
-def fits(host: str, path: str, rule_host: str, rule_path: str) -> bool:
-    return (host == rule_host or host.endswith("." + rule_host)) and path.startswith(rule_path)
+class Paths:
+    """The rules of one host: path prefixes, each with its greatest verdict, and their lengths, the longest first."""
+
+    def __init__(self, host: str):
+        self.host, self.verdicts, self.lengths = host, {}, []
+
+    def add(self, path: str, verdict: str) -> None:
+        self.verdicts[path] = max(verdict, self.verdicts.get(path, ""))
+        if len(path) not in self.lengths:
+            self.lengths = sorted([*self.lengths, len(path)], reverse=True)
+
+    def longest(self, path: str) -> tuple | None:
+        """The longest rule whose path begins this one: what ranks it, its text and its verdict."""
+        for n in self.lengths:
+            if n <= len(path) and (verdict := self.verdicts.get(path[:n])) is not None:
+                return len(self.host) + n, len(self.host), self.host + path[:n], verdict
+        return None
 
 
 def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (part, key, kind): rules (kind 0) come before the URLs (kind 1) with the same key."""
-    part, stack = None, []  # the stack: (prefix, [(path, host, verdict)]), outermost first
+    part, stack = None, []  # the stack: (key, Paths) of open hosts, outermost first
     for batch in batches:
         cols = batch.to_pydict()
         out: dict[str, list] = {"page_id": [], "host": [], "path": [], "rule": [], "verdict": []}
@@ -57,28 +75,23 @@ def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 stack.pop()
             if kind == 0:
                 if not stack or stack[-1][0] != key:
-                    stack.append((key, []))
-                stack[-1][1].append((path, host, verdict))
+                    stack.append((key, Paths(host)))
+                stack[-1][1].add(path, verdict)
                 continue
-            best = max(((len(h) + len(q), len(h), h + q, v) for _, rules in stack for q, h, v in rules if fits(host, path, h, q)), default=(0, 0, None, None))
+            best = max((found for _, paths in stack if (found := paths.longest(path))), default=(0, 0, None, None))
             for c, x in zip(out, (page, host, path, best[2], best[3]), strict=True):
                 out[c].append(x)
         yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("page_id", pa.int64()), *((c, pa.string()) for c in list(out)[1:])]))
 
 
-def dealt(cuts: list[bytes]):
-    """Adds to (key, salt) the range of a URL: equal cuts leave a run of ranges, of which the salt takes one."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = []
-            for key, salt in zip(batch.column("key").to_pylist(), batch.column("salt").to_pylist(), strict=True):
-                key = key.encode()
-                low, high = bisect_left(cuts, key), bisect_right(cuts, key)
-                parts.append(low + salt % (high - low + 1))
-            yield batch.append_column("part", pa.array(parts, pa.int32()))
-
-    return deal
+def below(key: Column, cuts: list[str], equal: bool = False) -> Column:
+    """How many of the sorted cuts are less than key, or equal to it: found in every STEP-th cut, then in the STEP after that."""
+    if not cuts:
+        return F.lit(0)
+    array = lambda some: F.array(*map(F.lit, some))
+    count = lambda some: F.size(F.filter(some, lambda c: c <= key if equal else c < key))
+    block = count(array(cuts[::STEP]))
+    return F.when(block == 0, 0).otherwise(STEP * (block - 1) + count(F.slice(array(cuts), F.greatest(STEP * (block - 1) + 1, F.lit(1)), F.lit(STEP))))
 
 
 def filtered(urls: DataFrame, rules: DataFrame, default: str = DEFAULT, ranges: int | None = None) -> DataFrame:
@@ -98,17 +111,17 @@ def filtered(urls: DataFrame, rules: DataFrame, default: str = DEFAULT, ranges:
     share = DRAWN * ranges / max(1, urls.count())
     keys = sorted(r.key.encode() for r in (page.select("key").sample(share, seed=1) if share < 1 else page.select("key")).collect())
     cuts = [keys[i * len(keys) // ranges] for i in range(1, ranges)] if keys else []
-    found = page.mapInArrow(dealt(cuts), "page_id long, host string, path string, key string, salt int, part int")
+    cuts = [c.decode() for c in cuts]
+    # the range of a URL: equal cuts leave a run of ranges, of which the salt takes one
+    low, high = below(F.col("key"), cuts), below(F.col("key"), cuts, True)
+    found = page.withColumn("part", low + F.pmod("salt", high - low + 1).cast("int")).drop("salt")
     kept = rules.where("verdict IS NOT NULL AND host <> '' AND path IS NOT NULL").select("verdict", "host", "path").distinct()
-    bounds = F.array(*(F.lit(c.decode()) for c in cuts)) if cuts else F.array().cast("array<string>")
-    spread = kept.withColumn("key", key_of(F.col("host"))).withColumn("bounds", bounds)
-    low = F.size(F.filter("bounds", lambda c: c < F.col("key")))
-    high = F.size(F.filter("bounds", lambda c: c <= F.concat("key", F.lit(LAST))))
-    spread = spread.withColumn("part", F.explode(F.sequence(low, high)))
+    spread = kept.withColumn("key", key_of(F.col("host")))
+    spread = spread.withColumn("part", F.explode(F.sequence(below(F.col("key"), cuts), below(F.concat("key", F.lit(LAST)), cuts, True))))
     both = found.select("part", "key", F.lit(1).alias("kind"), "page_id", "host", "path", F.lit(None).cast("string").alias("verdict"))
     both = both.unionByName(spread.select("part", "key", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("page_id"), "host", "path", "verdict"))
     swept = both.repartition(ranges, "part").sortWithinPartitions("part", "key", "kind", "host", "path")
-    out = swept.mapInArrow(sweep, "page_id long, host string, path string, rule string, verdict string")
+    out = swept.mapInArrow(tidy(sweep), "page_id long, host string, path string, rule string, verdict string")
     return out.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
 
