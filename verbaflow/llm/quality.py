@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drawn, table
+from .common import by_bytes, drawn, table, tidy
 
 #: Labelled rows that the model is fitted on, at most: those whose ids' hashes are least.
 SAMPLE = 20_000
@@ -175,11 +175,12 @@ def measured(docs: DataFrame, carry: list[str]) -> DataFrame:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features_of(t) for t in batch.column(len(carry)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(rows, pa.list_(pa.float64()))], names=[*carry, "x"])
+            for some in by_bytes(batch, len(carry)):
+                rows = [features_of(t) for t in some.column(len(carry)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*some.columns[: len(carry)], pa.array(rows, pa.list_(pa.float64()))], names=[*carry, "x"])
 
     kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry]
-    return docs.select(*carry, F.col("text").cast("binary").alias("text")).mapInArrow(measure, ", ".join([*kinds, "x array<double>"]))
+    return docs.select(*carry, F.col("text").cast("binary").alias("text")).mapInArrow(tidy(measure), ", ".join([*kinds, "x array<double>"]))
 
 
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -200,12 +201,13 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features_of(t) for t in batch.column(2).to_pylist()], float).reshape(batch.num_rows, len(FEATURES))
-            s = model.score(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            for some in by_bytes(batch, 2):
+                x = np.array([features_of(t) for t in some.column(2).to_pylist()], float).reshape(some.num_rows, len(FEATURES))
+                s = model.score(x)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(score), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
