@@ -56,17 +56,20 @@ def test_lemma_of_a_remote_analyzer(spark):
     assert [r[0] for r in df.select(records.lemma_without_source(F.col("x"))).collect()] == ["go", "a|b", "plain"]
 
 
-@pytest.mark.parametrize(("word", "roman"), KANA_WORDS)
-def test_romanize(word, roman):
-    assert kana.romanized(word) == roman
+def test_romanize(spark):
+    df = spark.createDataFrame(KANA_WORDS, "kana string, roman string")
+    assert [tuple(r) for r in df.select("kana", kana.romanize(F.col("kana"))).collect()] == KANA_WORDS
 
 
 def test_romanize_column(spark):
-    df = spark.createDataFrame([("フジ",), ("「ア」。",), (None,), ("",)], "k string")
-    assert [r[0] for r in df.select(kana.romanize(F.col("k"))).collect()] == ["fuji", "``a''.", None, ""]
-    assert df.select(kana.romanize(F.col("k"), hepburn=False)).first()[0] == "huzi"
+    df = spark.createDataFrame([("フジ",), ("「ア」。",), (None,), ("",), ("exact abc",), ("ン",), ("カ x ッ",)], "k string")
+    assert [r[0] for r in df.select(kana.romanize(F.col("k"))).collect()] == ["fuji", "``a''.", None, "", "act abc", "n", "ka x t"]
+    assert df.select(kana.romanize(F.col("k"), respell=None)).first()[0] == "huzi"
+    assert df.select(kana.romanize(F.col("k"), respell=F.upper)).collect()[4][0] == "EXACT ABC"
     assert df.select(kana.respell_hepburn(F.lit("tya"))).first()[0] == "cha"
     assert df.select(kana.roman_punctuation(F.lit("ア・イ？"))).first()[0] == "ア.イ?"
+    plan = df.select(kana.romanize(F.col("k")))._jdf.queryExecution().toString()
+    assert "Python" not in plan
 
 
 def test_kana_table(spark):

@@ -17,8 +17,9 @@ def one_list(spark, value, column):
     return spark.createDataFrame([(value,)], "x array<string>").select(column(F.col("x")).alias("y")).first().y
 
 
+# Golden sentences and titles: results for these must stay as they are.
 TIME = "Time is an illusion. Lunchtime, doubly so."
-DEEP = '"Very deep," said Arthur, "you should send that in to the Reader\'s Digest. They\'ve got a page for people like you."'
+BAKER = '"Quite right," said Ada, "they can print that in next week\'s Gazette. They\'ve some room for letters from people here."'
 
 
 def test_tokenize(spark):
@@ -29,7 +30,7 @@ def test_tokenize(spark):
     assert one(spark, None, tokenize) is None
 
 
-@pytest.mark.parametrize("given_text", [TIME, DEEP])
+@pytest.mark.parametrize("given_text", [TIME, BAKER])
 def test_round_trip(spark, given_text):
     assert one(spark, given_text, lambda c: text.untokenize(tokenize(c))) == given_text
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LINE = r"^(\d+) (\d+(?:\.\d+)?) (\S+)\s*$"
@@ -15,33 +17,53 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
     return parse_list(spark.read.text(path))
 
 
-def parse_list(lines: DataFrame) -> DataFrame:
+def parse_list(lines: DataFrame, *keep: str) -> DataFrame:
+    """(*keep, rank, freq, word) of lines(value) that are entries of a list."""
     rows = lines.where(F.col("value").rlike(LINE))
     part = lambda n: F.regexp_extract("value", LINE, n)
-    return rows.select(part(1).cast("int").alias("rank"), part(2).cast("decimal(12,2)").alias("freq"), part(3).alias("word"))
+    return rows.select(*keep, part(1).cast("int").alias("rank"), part(2).cast("decimal(12,2)").alias("freq"), part(3).alias("word"))
+
+
+def ranked(counts: DataFrame, key: str) -> DataFrame:
+    """counts(key, word, n) with rank: the place of a word in its key's list, the most frequent first, then by word.
 
+    Words are numbered inside parts that follow each other in that order: an eighth of a doubling of n, and where that is
+    one n, a beginning of words. Only the parts of a key, whose number the alphabet bounds, meet in one task.
+    """
+    level = F.floor(F.log2("n") * 8).cast("int").alias("level")
+    head = F.when(F.col("n") < 16, F.left("word", F.lit(3))).otherwise("").alias("head")
+    rows = counts.select("*", level, head)
+    sizes = rows.groupBy(key, "level", "head").agg(F.count(F.lit(1)).alias("size"))
+    ahead = Window.partitionBy(key).orderBy(F.col("level").desc(), "head").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(key, "level", "head", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("before"))
+    inside = Window.partitionBy(key, "level", "head").orderBy(F.col("n").desc(), "word")
+    placed = rows.withColumn("rank", F.row_number().over(inside)).join(before, [key, "level", "head"])
+    return placed.withColumn("rank", F.col("rank") + F.col("before")).drop("level", "head", "before")
 
-def renormalized(words: DataFrame, normalize) -> DataFrame:
-    """(word, freq) after normalize, a function of the word column; words that become equal add up."""
-    return words.select(normalize(F.col("word")).alias("word"), "freq").groupBy("word").agg(F.sum("freq").alias("freq"))
+
+def renormalized(words: DataFrame, normalize, *keys: str) -> DataFrame:
+    """(*keys, word, freq) after normalize, a function of the word column; words of a list that become equal add up."""
+    return words.select(*keys, normalize(F.col("word")).alias("word"), "freq").groupBy(*keys, "word").agg(F.sum("freq").alias("freq"))
+
+
+def merged_lists(rows: DataFrame, key: str, mass: Column | float = MASS) -> DataFrame:
+    """(word, freq) of all the lists in rows(key, word, freq), each scaled to its mass first."""
+    mass = mass if isinstance(mass, Column) else F.lit(mass)
+    freq = F.col("freq").cast("double")
+    totals = rows.groupBy(key).agg(F.sum(freq).alias("total"))
+    return rows.join(F.broadcast(totals), key).select("word", (freq * mass / F.col("total")).alias("freq")).groupBy("word").agg(F.sum("freq").alias("freq"))
 
 
 def merged(lists: list[tuple[DataFrame, float]]) -> DataFrame:
     """(word, freq) of several lists, each scaled to its mass first."""
-    scaled = []
-    for words, mass in lists:
-        total = words.agg(F.sum(F.col("freq").cast("double")).alias("total"))
-        scaled.append(words.join(F.broadcast(total)).select("word", (F.col("freq").cast("double") * mass / F.col("total")).alias("freq")))
-    out = scaled[0]
-    for more in scaled[1:]:
-        out = out.unionByName(more)
-    return out.groupBy("word").agg(F.sum("freq").alias("freq"))
-
-
-def average(words: DataFrame) -> DataFrame:
-    """One row: total, n and mean of the frequencies."""
+    rows = [words.select(F.lit(k).alias("list"), F.lit(float(mass)).alias("mass"), "word", "freq") for k, (words, mass) in enumerate(lists)]
+    return merged_lists(functools.reduce(DataFrame.unionByName, rows), "list", F.col("mass"))
+
+
+def average(words: DataFrame, *keys: str) -> DataFrame:
+    """One row, or one for each list: total, n and mean of the frequencies."""
     freq = F.col("freq").cast("double")
-    return words.agg(F.sum(freq).alias("total"), F.count(freq).alias("n"), F.avg(freq).alias("mean"))
+    return words.groupBy(*keys).agg(F.sum(freq).alias("total"), F.count(freq).alias("n"), F.avg(freq).alias("mean"))
 
 
 def logarithmic(freq: Column) -> Column:
@@ -58,6 +80,7 @@ def save_logarithmic(words: DataFrame, path: str) -> None:
     save(words.select("word", logarithmic(F.col("freq")).alias("freq")), path)
 
 
-def word_frequency(words: DataFrame, frequencies: DataFrame, default: float = 0) -> DataFrame:
-    """words(word) with freq from the list, or default."""
-    return words.join(frequencies.select("word", F.col("freq").cast("double").alias("freq")), "word", "left").withColumn("freq", F.coalesce("freq", F.lit(float(default))))
+def word_frequency(words: DataFrame, frequencies: DataFrame, default: float = 0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """words(*keys, word) with freq from the list (of the same keys), or default."""
+    on = [*keys, "word"]
+    return words.join(frequencies.select(*on, F.col("freq").cast("double").alias("freq")), on, "left").withColumn("freq", F.coalesce("freq", F.lit(float(default))))

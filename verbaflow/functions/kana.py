@@ -1,15 +1,14 @@
 """Kana: a table of syllables from the characters' Unicode names, and their spelling in Latin letters.
 
-Romanization is a fold from left to right whose rules rewrite the piece before, so it runs as a Pandas function; the
-table, the respelling and the punctuation are native.
+Romanization is a fold from left to right in the JVM. A piece stays open while a later character may rewrite it; when the
+next piece begins it is respelled and closed.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,12 +47,6 @@ def kana_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(c, *kana_info(c)) for c in chars], "ch string, roman string, cls int")
 
 
-def hepburn_spelled(piece: str) -> str:
-    while piece[:2] in HEPBURN:
-        piece = HEPBURN[piece[:2]] + piece[2:]
-    return piece
-
-
 def respell_hepburn(piece: Column) -> Column:
     """The native form: no spelling begins with another's key, so one step is enough."""
     pairs = F.create_map(*(F.lit(x) for kv in HEPBURN.items() for x in kv))
@@ -67,34 +60,49 @@ def roman_punctuation(text: Column) -> Column:
     return text
 
 
-def romanized(kana: str, respell=hepburn_spelled) -> str:
-    """The Latin spelling of a string of kana; other characters stay or become Latin signs. respell=None keeps the
-    plain syllables."""
+def _sounds(text: Column) -> Column:
+    """array<struct<sound, kind>> of a text's characters."""
+    known = {chr(c): kana_info(chr(c)) for low, high in BLOCKS for c in range(low, high + 1) if unicodedata.name(chr(c), "")} | {c: (r, NOT_KANA) for c, r in ROMAN_PUNCTUATION.items()}
+    one = lambda sound, kind: F.struct(sound.alias("sound"), kind.alias("kind"))
+    table = F.create_map(*(x for c, (sound, kind) in known.items() for x in (F.lit(c), one(F.lit(sound), F.lit(kind)))))
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.transform(chars, lambda c: F.coalesce(F.try_element_at(table, c), one(c, F.lit(NOT_KANA))))
+
+
+def _open_piece(piece: Column, before: Column, sound: Column, kind: Column, respell: Callable[[Column], Column]) -> tuple[Column, Column]:
+    """What the next sound makes of the open piece, and whether it is part of that piece and begins none of its own."""
+    first, last, but_last = F.left(sound, F.lit(1)), F.right(piece, F.lit(1)), lambda x: F.left(x, F.length(x) - 1)
+    parted = (before == NN) & first.rlike(r"\p{L}") & ((kind != KANA) | first.isin(*"aeinouy"))
+    piece = F.when(parted, F.concat(piece, F.lit("'"))).otherwise(piece)
+    long = (kind == PROLONG) & before.isin(KANA, SMALL_Y, SMALL)
+    glide = (kind == SMALL_Y) & (before == KANA) & (last == "i")
+    doubled = F.when(first.isin(*"aeiouy"), "t-").otherwise(first)
+    new = (
+        F.when(long, F.concat(but_last(piece), respell(F.concat(F.right(piece, F.lit(1)), F.lit("_")))))
+        .when(glide, F.concat(but_last(piece), F.substr(sound, F.lit(2))))
+        .when((kind == KANA) & (before == SMALL_TSU), doubled)
+        .when((kind == KANA) & (before == NN), but_last(respell(F.concat(piece, first))))
+        .otherwise(piece)
+    )
+    return new, long | glide
+
+
+def romanize(kana: Column, respell: Callable[[Column], Column] | None = respell_hepburn) -> Column:
+    """The Latin spelling of a column of kana; other characters stay or become Latin signs, null gives null.
+
+    respell: what is made of the spelling of each piece; None keeps the plain syllables.
+    """
+    short = respell in (None, respell_hepburn)  # these leave single characters as they are
     respell = respell or (lambda piece: piece)
-    out: list[str] = []
-    before = NOT_KANA
-    for sound, kind in map(kana_info, kana):
-        if before == NN and unicodedata.category(sound[0])[0] == "L" and (kind != KANA or sound[0] in "aeinouy"):
-            out[-1] += "'"
-        if kind == PROLONG and before in (KANA, SMALL_Y, SMALL):
-            out[-1] = out[-1][:-1] + respell(out[-1][-1] + "_")
-        elif kind == SMALL_Y and before == KANA and out[-1].endswith("i"):
-            out[-1] = out[-1][:-1] + sound[1:]
-        else:
-            if kind == KANA and before == SMALL_TSU:
-                out[-1] = "t-" if sound[0] in "aeiouy" else sound[0]
-            elif kind == KANA and before == NN:
-                out[-1] = respell(out[-1] + sound[0])[:-1]
-            out.append(sound)
-        before = kind
-    return re.sub("[aeiou]x([aeiou])", r"\1", "".join(map(respell, out)))
-
-
-def romanize(kana: Column, hepburn: bool = True) -> Column:
-    """The Latin spelling of a column of kana; null gives null."""
-
-    @F.pandas_udf("string")
-    def spell(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: romanized(t, hepburn_spelled if hepburn else None), na_action="ignore")
-
-    return spell(kana)
+
+    def step(state: Column, x: Column) -> Column:
+        piece, within = _open_piece(state["piece"], state["before"], x["sound"], x["kind"], respell)
+        closed = F.when(within, state["closed"]).otherwise(F.concat(state["closed"], respell(piece)))
+        return F.struct(closed.alias("closed"), F.when(within, piece).otherwise(x["sound"]).alias("piece"), x["kind"].alias("before"))
+
+    start = F.struct(F.lit("").alias("closed"), F.lit("").alias("piece"), F.lit(NOT_KANA).alias("before"))
+    spelled = F.aggregate(_sounds(kana), start, step, lambda s: F.concat(s["closed"], respell(s["piece"])))
+    strange = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in BLOCKS) + "".join(ROMAN_PUNCTUATION)
+    # a text without any kana is spelled already
+    text = F.when(kana.rlike(f"[{strange}]"), spelled).otherwise(kana) if short else spelled
+    return F.regexp_replace(text, "[aeiou]x([aeiou])", "$1")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Control characters other than tab, line feed and form feed, and private use beyond U+100000.
 UNSAFE = r"[\x00-\x08\x0B\x0E-\x1F\x7F\x{100000}-\x{10FFFF}]"
+# Results depend on these patterns and classes as they stand.
 #: Read backwards, a segment of a joined-up title: see un_camel_case.
 SEGMENT = r"([A-Z]+|[^A-Z0-9 _]+[A-Z _]|[^A-Z0-9 _]*[0-9.]+|[ _]+|[^A-Z0-9]*[^A-Z0-9_ ]+)"
 #: Unicode categories after which a text may be cut. Opening punctuation is left out, so that it stays with what it opens.
@@ -33,12 +34,18 @@ def _replaced(text: Column, *changes: tuple[str, str]) -> Column:
     return text
 
 
+# What becomes of joined tokens, in this order: replacements, patterns, replacements.
+QUOTES = (("`` ", '"'), (" ''", '"'), (". . .", "..."), (" ( ", " ("), (" ) ", ") "))
+MARKS = ((r""" ([.,:;?!%]+)([ '"`])""", "$1$2"), (r"(?d) ([.,:;?!%]+)$", "$1"))
+CONTRACTIONS = ((" '", "'"), (" n't", "n't"), ("can not", "cannot"), (" ` ", " '"))
+
+
 def untokenize(tokens: Column) -> Column:
     """Joins tokens with the spaces and quotes a reader expects."""
-    text = _replaced(F.array_join(tokens, " "), ("`` ", '"'), (" ''", '"'), (". . .", "..."), (" ( ", " ("), (" ) ", ") "))
-    text = F.regexp_replace(text, r""" ([.,:;?!%]+)([ '"`])""", "$1$2")
-    text = F.regexp_replace(text, r"(?d) ([.,:;?!%]+)$", "$1")
-    return stripped(_replaced(text, (" '", "'"), (" n't", "n't"), ("can not", "cannot"), (" ` ", " '")))
+    text = _replaced(F.array_join(tokens, " "), *QUOTES)
+    for pattern, new in MARKS:
+        text = F.regexp_replace(text, pattern, new)
+    return stripped(_replaced(text, *CONTRACTIONS))
 
 
 def un_camel_case(text: Column) -> Column:

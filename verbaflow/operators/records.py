@@ -23,8 +23,6 @@ STOPWORD_ROOTS = (
 )
 #: The root of negation, which is never a stop word.
 NEGATION = "ない"
-#: Languages that a FreeLing analyzer is set up for, by code.
-LANGUAGES = {"en": "english", "es": "spanish", "it": "italian", "pt": "portuguese", "ru": "russian", "cy": "welsh"}
 
 
 def mecab_input(text: Column) -> Column:

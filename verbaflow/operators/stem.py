@@ -1,6 +1,7 @@
 """English stems: candidates from detachment rules, a semi-join to the lexicon, and the least bad of them.
 
-Stems are found once for each distinct (word, part of speech), so the work follows the vocabulary, not the text.
+Stems are found once for each distinct (word, part of speech), so the work follows the vocabulary, not the text. How the
+stems meet the lexicon and the tokens is left to Spark, which broadcasts a side whose size it knows to be small.
 """
 
 from __future__ import annotations
@@ -12,10 +13,8 @@ from ..functions.lexicon import AMBIGUOUS_EXCEPTIONS, DETACHMENTS, EXCEPTIONS, P
 from ..functions.text import topic_parts, untokenize
 from ..functions.tokenize import tokenize
 
-#: Rounds of detachment; each but the first runs only where no earlier one found a lemma.
-ROUNDS = 3
-#: Most rows of a stem table that is broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Words that a detachment rule applies to end so.
+DETACHABLE = "(" + "|".join(sorted({old for _, old, _ in DETACHMENTS})) + ")$"
 
 
 def word_badness(word: Column) -> Column:
@@ -56,15 +55,20 @@ def _detached(form: Column, pos: Column) -> Column:
 
 
 def candidates(words: DataFrame) -> DataFrame:
-    """words(word, pos) to word, pos, p, p_at, round, at, form: what may be a lemma of word as part of speech p."""
+    """words(word, pos) to word, pos, p, p_at, round, at, form: what may be a lemma of word as part of speech p.
+
+    A round detaches endings from what the round before it made, until nothing is left to detach; no rule makes a form
+    longer, and the one that makes it no shorter leaves nothing to detach, so rounds are as many as letters at most.
+    """
     letters = F.filter(F.split(F.coalesce("pos", F.lit(POS)), ""), lambda c: c != "")
     rows = words.select("word", "pos", F.posexplode(letters).alias("p_at", "p"))
 
     def again(state: Column, step: Column) -> Column:
         forms = F.flatten(F.transform(F.element_at(state, -1), lambda f: _detached(f, F.col("p"))))
-        return F.concat(state, F.array(forms))
+        return F.when((F.size(state) == step) & (F.size(forms) > 0), F.concat(state, F.array(forms))).otherwise(state)
 
-    made = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.array(F.array("word")), again)
+    itself = F.array(F.array("word"))
+    made = F.when(F.col("word").rlike(DETACHABLE), F.aggregate(F.sequence(F.lit(1), F.length("word")), itself, again)).otherwise(itself)
     rows = rows.select("word", "pos", "p", "p_at", F.posexplode(made).alias("round", "forms"))
     return rows.select("word", "pos", "p", "p_at", F.greatest(F.col("round"), F.lit(1)).alias("round"), ((F.col("round") > 0).cast("int")).alias("own"), F.posexplode("forms").alias("at", "form"))
 
@@ -78,13 +82,13 @@ def best_stems(words: DataFrame, lexicon: Lexicon) -> DataFrame:
     odd = lexicon.exceptions.select(F.col("form").alias("word"), F.col("pos").alias("p"), F.col("lemma").alias("odd"))
     # the rules are work for the CPU: a given number of partitions isn't merged for being small in bytes
     parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    made = candidates(words.distinct().repartition(parts, "word")).join(F.broadcast(odd), ["word", "p"], "left")
+    made = candidates(words.distinct().repartition(parts, "word")).join(odd, ["word", "p"], "left")
     one = F.struct("round", "own", "at", "form")
     itself = F.col("own") == 0
     irregular = F.struct(F.lit(1).alias("round"), F.lit(1).alias("own"), F.lit(0).alias("at"), F.col("odd").alias("form"))
     kept = F.when(F.col("odd").isNull(), F.array(one)).when(itself, F.array(one, irregular))
     pool = made.select("word", "pos", "p", "p_at", F.explode(kept).alias("c")).select("word", "pos", "p", "p_at", "c.*")
-    known = pool.join(small_enough(lexicon.lemmas.select("form", F.col("pos").alias("p")).distinct()), ["form", "p"], "left_semi")
+    known = pool.join(lexicon.lemmas.select("form", F.col("pos").alias("p")), ["form", "p"], "left_semi")
     badness = word_badness(F.col("form")).alias("badness")
     each = known.groupBy("word", "pos", "p").agg(F.min(F.struct("round", badness, "p_at", "own", "at", "form")).alias("best"))
     return each.groupBy("word", "pos").agg(F.min(F.struct("best.badness", "best.p_at", "best.own", "best.at", "best.form")).alias("best")).select("word", "pos", F.col("best.form").alias("stem"))
@@ -99,11 +103,6 @@ def stems(words: DataFrame, lexicon: Lexicon) -> DataFrame:
     return out.select("word", "tag", F.coalesce("fixed", "stem", "low").alias("stem"))
 
 
-def small_enough(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if it has no more than BROADCAST_ROWS rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def good_lemma(lemma: Column) -> Column:
     """Not empty, no stop word, and a letter or digit first."""
     return (F.coalesce(lemma, F.lit("")) != "") & ~lemma.isin(*STOPWORDS) & lemma.rlike(r"^[\p{L}\p{N}]")
@@ -114,7 +113,7 @@ def stemmed_tokens(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", tagge
     rows = docs.select(key, F.posexplode(tokenize(F.col("text"))).alias("pos", "token"))
     rows = rows.withColumn("tag", tagger(F.col("token")) if tagger else F.lit(None).cast("string"))
     table = stems(rows.select(F.col("token").alias("word"), "tag"), lexicon).select(F.col("word").alias("s_word"), F.col("tag").alias("s_tag"), "stem")
-    return rows.join(small_enough(table), (rows.token == F.col("s_word")) & rows.tag.eqNullSafe(F.col("s_tag"))).select(key, "pos", "token", "tag", "stem")
+    return rows.join(table, (rows.token == F.col("s_word")) & rows.tag.eqNullSafe(F.col("s_tag"))).select(key, "pos", "token", "tag", "stem")
 
 
 def normalize_list(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id") -> DataFrame:

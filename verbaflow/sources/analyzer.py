@@ -1,13 +1,17 @@
 """External analyzers: a process that reads lines and writes records, one for each task, started when first needed.
 
 A connector sends a text's lines, reads lines until the protocol's end mark, and hands them on as an array for
-operators.records to parse. A process that dies is started again, a bounded number of times; after that the task fails
-and Spark tries it elsewhere.
+operators.records to parse. A process that dies, or doesn't answer in time, is started again, a bounded number of times;
+after that the task fails and Spark tries it elsewhere.
 """
 
 from __future__ import annotations
 
+import contextlib
+import os
 import subprocess
+import tempfile
+import threading
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -18,69 +22,97 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import string_pieces
-from ..operators.records import LANGUAGES, freeling_input, mecab_input
+from ..operators.records import freeling_input, lemma_without_source, mecab_input
+from . import freeling as configuration
 
 RESTARTS = 3
+#: Seconds that an analyzer may take to answer one line.
+PATIENCE = 60.0
 
 
 class ProcessError(OSError):
     """The analyzer can't be started, or ended before it answered."""
 
 
+class MeCabError(ProcessError):
+    """The same of MeCab."""
+
+
+class FreeLingError(ProcessError):
+    """The same of FreeLing."""
+
+
 @dataclass(frozen=True)
 class Protocol:
-    """command: argument list; end: the line that ends an answer; hint: what to say if it can't be started."""
+    """command: argument list; end: the line that ends an answer; hint: what to say if it can't be started; error: what is
+    raised; files: (name, content) that the process needs, written to a folder of its own, which {dir} in the command names;
+    patience: seconds to wait for the answer to a line."""
 
     command: tuple[str, ...]
     end: str
     hint: str = ""
+    error: type[ProcessError] = ProcessError
+    files: tuple[tuple[str, str], ...] = ()
+    patience: float = PATIENCE
 
 
 def mecab(command: tuple[str, ...] = ("mecab",)) -> Protocol:
-    return Protocol(command, "EOS", "is MeCab installed?")
+    return Protocol(command, "EOS", "is MeCab installed?", MeCabError)
 
 
-def freeling(lang: str, config_dir: str, command: tuple[str, ...] = ("analyze",)) -> Protocol:
-    if lang not in LANGUAGES:
+def freeling(lang: str, config_dir: str | None = None, command: tuple[str, ...] = ("analyze",)) -> Protocol:
+    """With the configuration files in config_dir, or with this library's own."""
+    files = () if config_dir else configuration.files(lang)
+    names = (f"{config_dir or '{dir}'}/{lang}.cfg", "--fsplit", f"{config_dir or '{dir}'}/generic_splitter.dat")
+    if lang not in configuration.LANGUAGES:
         raise ValueError(f"no configuration for language {lang!r}")
-    return Protocol((*command, "-f", f"{config_dir}/{lang}.cfg", "--fsplit", f"{config_dir}/generic_splitter.dat"), "", "is FreeLing installed?")
+    return Protocol((*command, "-f", *names), "", "is FreeLing installed?", FreeLingError, files)
 
 
 class Process:
-    """One running analyzer; it starts with the first request and again after it has died."""
+    """One running analyzer; it starts with the first request and again after it has died or was too slow."""
 
     def __init__(self, protocol: Protocol, restarts: int = RESTARTS):
-        self.protocol, self.restarts, self.process = protocol, restarts, None
+        self.protocol, self.restarts, self.process, self.folder = protocol, restarts, None, None
 
     def _start(self) -> subprocess.Popen:
+        if self.protocol.files and self.folder is None:
+            self.folder = tempfile.TemporaryDirectory()  # of this process only
+            for name, content in self.protocol.files:
+                with open(os.path.join(self.folder.name, name), "w", encoding="utf-8") as f:
+                    f.write(content)
+        command = [c.replace("{dir}", self.folder.name) if self.folder else c for c in self.protocol.command]
         try:
-            return subprocess.Popen(self.protocol.command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, close_fds=True)
+            return subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, close_fds=True)
         except OSError as e:
-            raise ProcessError(f"can't start {self.protocol.command[0]}: {e}; {self.protocol.hint}") from e
+            raise self.protocol.error(f"can't start {command[0]}: {e}; {self.protocol.hint}") from e
 
     def close(self) -> None:
         if self.process:
-            self.process.stdin.close()
-            self.process.stdout.close()
-            self.process.terminate()
-            self.process.wait()
-            self.process = None
+            process, self.process = self.process, None
+            with contextlib.suppress(OSError):
+                process.stdin.close()
+            process.stdout.close()
+            process.kill()
+            process.wait()
 
     def _ask(self, line: str) -> list[str]:
         self.process = self.process or self._start()
+        clock = threading.Timer(self.protocol.patience, self.process.kill)
+        clock.start()
         try:
             self.process.stdin.write(line.encode() + b"\n")
             self.process.stdin.flush()
+            out = []
+            while answer := self.process.stdout.readline():
+                if (answer := answer.decode().rstrip("\n")) == self.protocol.end:
+                    return out
+                out.append(answer)
         except OSError as e:
-            raise ProcessError("the analyzer has ended") from e
-        out = []
-        while True:
-            answer = self.process.stdout.readline()
-            if not answer:
-                raise ProcessError("reached the end of output")
-            if (answer := answer.decode().rstrip("\n")) == self.protocol.end:
-                return out
-            out.append(answer)
+            raise self.protocol.error("the analyzer has ended") from e
+        finally:
+            clock.cancel()
+        raise self.protocol.error("reached the end of output, or waited too long for it")
 
     def ask(self, lines: list[str]) -> list[str]:
         """The answers to all lines of a text, one after the other; a restart begins the text anew."""
@@ -106,6 +138,8 @@ def analyzed(docs: DataFrame, protocol: Protocol, lines_column: str, into: str =
                 yield batch
         finally:
             process.close()
+            if process.folder:
+                process.folder.cleanup()
 
     return docs.mapInPandas(run, schema)
 
@@ -133,3 +167,17 @@ def with_retries(call: Callable, errors: tuple = (OSError,), tries: int = 5, wai
                 time.sleep(wait * 2**n)
 
     return again
+
+
+def remote_lemmas(docs: DataFrame, call: Callable[[str], list[str]], text: str = "text", into: str = "lemmas", tries: int = 5, wait: float = 1.0) -> DataFrame:
+    """docs with a further column: the lemmas that call, a remote analyzer's client, gives for text, each without its source
+    and with spaces between. A call that fails is tried again; a null text isn't sent."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.StringType()))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask = with_retries(call, tries=tries, wait=wait)
+        for batch in batches:
+            batch[into] = [None if x is None else ask(x) for x in batch[text]]
+            yield batch
+
+    return docs.mapInPandas(run, schema).withColumn(into, F.array_join(F.transform(into, lemma_without_source), " "))

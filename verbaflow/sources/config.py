@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 SETTING = r"^\s*(\w+)\s*=\s*(.*?)\s*$"
 
 
-def settings(lines: DataFrame) -> DataFrame:
-    """(key, value) of the lines that set something; comments and blank lines set nothing."""
+def settings(lines: DataFrame, *keep: str) -> DataFrame:
+    """(*keep, key, value) of the lines(value) that set something; comments and blank lines set nothing."""
     rows = lines.where(F.col("value").rlike(SETTING) & ~F.col("value").startswith("#"))
-    return rows.select(F.regexp_extract("value", SETTING, 1).alias("key"), F.regexp_extract("value", SETTING, 2).alias("value"))
+    return rows.select(*keep, F.regexp_extract("value", SETTING, 1).alias("key"), F.regexp_extract("value", SETTING, 2).alias("value"))
 
 
 def read_settings(spark: SparkSession, path: str) -> DataFrame:

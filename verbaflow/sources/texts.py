@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+#: Bytes of a table, as Spark estimates them, up to which it is dealt over all cores.
+SMALL = 256 << 20
+
 
 def read_texts(spark: SparkSession, path: str, kind: str = "parquet", column: str = "text", **options) -> DataFrame:
     """A table of texts; the named column is called text, all others keep their names."""
@@ -14,9 +17,10 @@ def read_texts(spark: SparkSession, path: str, kind: str = "parquet", column: st
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt over all cores if it comes from fewer files than there are cores; else as it is, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    """df dealt over all cores if it is small; else as it is, without a shuffle. A small table may be one unsplittable
+    block of a file, which one core would work through; beyond SMALL the scan itself has enough parts."""
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if small else df
 
 
 def stream_texts(spark: SparkSession, path: str, schema: T.StructType, kind: str = "parquet", files_at_once: int = 16) -> DataFrame:
