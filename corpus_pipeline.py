@@ -1,6 +1,10 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read again as the next one's input.
 
-Rows of documents pass from stage to stage with their own columns; the last stage adds the encoded text.
+Rows of documents pass from stage to stage with their own columns, whatever those are called; the last stage adds ids
+and n_pieces, the encoded text, in place of columns of these names. Null and empty texts pass all stages and have no
+pieces. Of repeated rows one stays; rows without an id go as near copies only of a row with one. Very long texts are worked
+on whole. An empty table of documents gives no rows; without labels nothing counts as toxic, without benchmark items
+nothing is cut.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from verbaflow.llm.common import materialise, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose expected severity is below the limit; the model learns from the labelled ones among them."""
+    """Documents whose expected severity is below the limit; the model learns from a sample of the labelled ones among them."""
     return toxicity.accepted(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
 
 
@@ -23,7 +27,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out of texts; documents that are little else go."""
+    """Benchmark passages are cut out of texts, until none is left; documents that are little else go."""
     return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
