@@ -17,7 +17,8 @@ from ..functions.lexicon import AMBIGUOUS_EXCEPTIONS, DETACHMENTS, EXCEPTIONS, P
 from ..functions.tokenize import tokenize, tokenize_sql
 from ..operators import records, stem
 from ..sources import analyzer, config, freeling
-from ..sources.texts import spread
+from ..sources.texts import spread, stream_texts
+from ..streaming import texts as streaming
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -522,3 +523,26 @@ def freeling_process(spark: SparkSession, sf_dir: str) -> DataFrame:
 def remote_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lemmas of a remote analyzer's stand-in, each of which names its source."""
     return analyzer.remote_lemmas(_turns(spark, sf_dir), lambda t: [f"{w.lower()}|a|SOURCE" for w in t.split()]).select("doc_id", "lemmas")
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    path = f"{sf_dir}/{name}.parquet"
+    # as a pattern, since a table may be one file or a folder of them
+    return stream_texts(spark, f"{path[:-1]}[t]", spark.read.parquet(path).schema)
+
+
+@registered(f"SELECT doc_id, CAST(unnest(range(len(toks))) AS INTEGER) AS pos, unnest(toks) AS token FROM ({_TURNS})")
+def stream_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of conversations that come as a stream, written exactly once."""
+    turns = _stream(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.posexplode(tokenize(F.col("text"))).alias("pos", "token"))
+    return streaming.written(turns, "stream-tokens")
+
+
+@registered("""
+WITH w AS (SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, lower(event_type) AS word, count(*) AS n FROM events GROUP BY ALL)
+SELECT start, start + INTERVAL '5 minutes' AS "end", word, n FROM w WHERE start + INTERVAL '5 minutes' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)""")
+def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word counts of an event stream in windows of five minutes: those that the watermark has closed."""
+    events = _stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("text"))
+    counts = streaming.windowed_counts(events, F.col("ts"))
+    return streaming.written(counts.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")}), "stream-counts")

@@ -3,7 +3,10 @@ needs state is counting, which is done by event-time window with a watermark."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,3 +22,18 @@ def windowed_counts(stream: DataFrame, time: Column, late: str = "10 minutes", w
 def write_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Writes all that the source has by now as Parquet, exactly once for a checkpoint, and ends."""
     return stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below spark.checkpoint.dir; where that is unset, a temporary one if all of Spark is in this process."""
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not base and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir names no folder; set it to one that the driver and all executors share")
+    return f"{(base or 'file://' + tempfile.gettempdir()).rstrip('/')}/verbaflow/{label}-{uuid.uuid4().hex}"
+
+
+def written(stream: DataFrame, label: str) -> DataFrame:
+    """What the source has by now, through write_available into a new shared folder, as a table."""
+    path = shared_folder(stream.sparkSession, label)
+    write_available(stream, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
