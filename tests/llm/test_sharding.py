@@ -1,6 +1,8 @@
+import os
 import zlib
 from bisect import bisect_left
 
+import pytest
 from pyspark.sql import functions as F
 
 from verbaflow.llm import sharding as s
@@ -87,3 +89,12 @@ def test_little_moves_when_a_shard_is_added(spark):
 def test_empty(spark):
     assert s.sharded(frame(spark, [])).collect() == []
     assert [r.shard in range(40) for r in s.sharded(frame(spark, [(1, "x", "q", 1)])).collect()] == [True]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the shared tables aren't here")
+def test_the_query_on_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    out = s.op3_consistent_hash_sharding(spark, "/root/testdata/sf0.01").collect()
+    loads, most = check_slots(out), max(r["size"] for r in out)
+    assert sorted((r.doc_id, r["size"], r.text_crc32) for r in out) == sorted((r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in docs)
+    assert max(loads) < sum(loads) / s.SHARDS * (1 + s.SLACK) + most

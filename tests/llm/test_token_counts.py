@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from tokenizers import Tokenizer
 
@@ -41,3 +43,10 @@ def test_cache(spark, definition):
 
 def test_empty(spark, definition):
     assert t.count_tokens(spark.createDataFrame([], "doc_id long, text string"), shared_dir(spark, "test-cache"), definition).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the shared tables aren't here")
+def test_the_query_as_the_library(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    want = sorted((r.doc_id, len((r.text or "").encode()), n, n > 1024) for r, n in zip(docs, library([r.text for r in docs]), strict=True))
+    assert sorted(map(tuple, t.op2_token_counts(spark, "/root/testdata/sf0.001").collect())) == want
