@@ -142,7 +142,7 @@ def redacted(docs: DataFrame, owner: Column, repository: Column, owners: int = O
     text = F.when(F.size(spans) > 0, done).otherwise(F.col("text"))
     out = rows.withColumn("text", text)  # on its own: beside it, an expression might be given the new text
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
     return out.select(*docs.columns)
 
 

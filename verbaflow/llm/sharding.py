@@ -88,7 +88,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, slack:
     shard where it begins, which then holds more than its share. An empty table gives no rows. Columns other than doc_id
     and text are ignored.
 
-    What moves: from 40 shards to 41, about 6 % of the rows of documents (2.4 % must); with one row more, below 1 %.
+    What moves, of 10,000 documents: from 40 shards to 41, 8 % (2.4 % must); with one row more, 1 %.
     """
     crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0).cast("long"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_OVERHEAD
