@@ -74,6 +74,28 @@ def test_cutting(spark):
     assert 1 not in out and (out[2].text, out[3].text, out[4].text) == ("clean é text", None, "")
 
 
+def test_a_cut_that_makes_a_new_passage(spark):
+    one, two = "a1 a2 a3 a4 a5 a6 a7 a8 a9 a10", "b1 b2 b3 b4 b5 b6 b7 b8 b9 b10"
+    docs, items = frames(spark, [(1, one), (2, two)], [f"w1 w2 w3 w4 w5 w6 w7 w8 {two[:14]} {one} {two[15:]} w9"])
+    (row,) = d.decontaminated(docs, items).collect()
+    assert row.text.split() == [f"w{i}" for i in range(1, 10)]
+
+
+@pytest.mark.parametrize("block", [10**6, 12])
+def test_long_texts_null_ids_and_repeated_rows(spark, monkeypatch, block):
+    monkeypatch.setattr(d, "PIECE", 64)
+    items, docs = case(9)
+    long = " ".join(docs * 3)
+    rows = [(None, long, "q"), (None, long, "q"), (2, "x" * 500 + " " + items[2][1], "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words string")
+    bench = frames(spark, items, [])[1]
+    out = [tuple(r) for r in d.contamination(df, bench, block_words=block).collect()]
+    assert sorted(out, key=str) == sorted([(i, *plain(t, items)) for i, t, _ in rows], key=str)
+    kept = d.decontaminated(df, bench, coverage=2, block_words=block)
+    assert kept.columns == df.columns and kept.count() == 3
+    assert not any(r.contaminated for r in d.contamination(kept, bench).collect())
+
+
 def test_automaton_holds_all_substrings():
     rnd = random.Random(7)
     items = [(i, [bytes([rnd.choice(b"ab")]) for _ in range(30)]) for i in range(4)]

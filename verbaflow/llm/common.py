@@ -100,8 +100,17 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: What bounds a batch that Spark hands to a Python function, its own value for that, and ours: the JVM and the worker hold
+#: a batch several times over.
+BATCH_BYTES, DEFAULT_BYTES, FEW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b"
+
+
 def tidy(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """function over batches, which leaves no memory behind in a worker that is used again."""
+    """function over batches, which leaves no memory behind in a worker that is used again. Batches become FEW_BYTES from
+    now on, unless the session has set a bound of its own."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(BATCH_BYTES, None) == DEFAULT_BYTES:
+        spark.conf.set(BATCH_BYTES, FEW_BYTES)
 
     def run(batches: Iterator) -> Iterator:
         try:

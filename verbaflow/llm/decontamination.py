@@ -4,6 +4,8 @@ The automaton is built over the words of all benchmark items. A document's words
 length of the longest match that ends at each word. Where that length reaches the window, the last words are a window
 of some item; where the match ends in a whole item that is shorter than the window, so are that item's words. Items
 are kept in blocks of bounded size, one automaton each, so that no task holds more than one block's automaton at a time.
+Texts are matched one after the other, a long one piece by piece with the automaton's state carried on, so that a task
+holds the words of one piece only.
 """
 
 from __future__ import annotations
@@ -11,13 +13,13 @@ from __future__ import annotations
 import hashlib
 import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import AT_ONCE, by_bytes, table, tidy
 
 WINDOW = 10
 #: Words of benchmark items in one automaton.
@@ -26,12 +28,28 @@ BLOCK_WORDS = 200_000
 COVERAGE = 0.8
 #: On UTF-8 bytes in ASCII lower case; every byte of a character beyond ASCII belongs to a word.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+GAP = re.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]")
+#: Bytes of a text whose words are held at once, about.
+PIECE = 1 << 19
+#: Bytes of texts that wait for the next block's automaton, where there are several blocks.
+HELD = 32 << 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return WORD.findall(text.lower()) if text else []
 
 
+def pieces_of(text: bytes | None) -> Iterator[list[bytes]]:
+    """The words of a text, piece by piece; no word is cut."""
+    low = (text or b"").lower()
+    at = 0
+    while at < len(low):
+        gap = GAP.search(low, at + PIECE) if at + PIECE < len(low) else None
+        end = gap.start() if gap else len(low)
+        yield WORD.findall(low, at, end)
+        at = end
+
+
 class Automaton:
     """Generalised suffix automaton of word sequences; items: [(item id, words)]."""
 
@@ -103,30 +121,36 @@ class Automaton:
             out[s] = s if s in self.whole else out[self.link[s]]
         return out
 
-    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-        """The hit ranges of words, in order of their ends, and the items whose windows occur."""
+    def hits(self, pieces: Iterable[list[bytes]]) -> tuple[int, list[tuple[int, int]], set[int]]:
+        """Of a text's words, in pieces: their number, the hit ranges in order of their ends, and the items whose windows occur."""
         found: list[tuple[int, int]] = []
         items: set[int] = set()
         known = self.vocabulary
-        at, n = 0, len(words)
-        for_run = [w in known for w in words]
-        while at < n:
-            try:
-                at = for_run.index(True, at)
-            except ValueError:
-                break
-            try:
-                end = for_run.index(False, at)
-            except ValueError:
-                end = n
-            if end - at >= self.least:
-                self._run(words, at, end, found, items)
-            at = end
-        return found, items
-
-    def _run(self, words: list[bytes], at: int, end: int, found: list, items: set[int]) -> None:
+        before, carry = 0, (0, 0)
+        for words in pieces:
+            at, n = 0, len(words)
+            flags = [w in known for w in words]
+            while at < n:
+                if not flags[at]:
+                    carry = (0, 0)
+                    try:
+                        at = flags.index(True, at)
+                    except ValueError:
+                        break
+                try:
+                    end = flags.index(False, at)
+                except ValueError:
+                    end = n
+                if end == n or carry[1] + end - at >= self.least:
+                    carry = self._run(words, at, end, before, carry, found, items)
+                at = end
+            before += n
+        return before, found, items
+
+    def _run(self, words: list[bytes], at: int, end: int, before: int, carry: tuple[int, int], found: list, items: set[int]) -> tuple[int, int]:
+        """Matches words[at:end], of which `before` words precede the first, from a state and its matched length to the next."""
         nxt, link, length, window = self.next, self.link, self.len, self.window
-        state, matched = 0, 0
+        state, matched = carry
         for i in range(at, end):
             word = words[i]
             while state and word not in nxt[state]:
@@ -135,17 +159,19 @@ class Automaton:
             if word in nxt[state]:
                 state = nxt[state][word]
                 matched += 1
+            here = before + i + 1
             if matched >= window:
-                found.append((i + 1 - window, i + 1))
+                found.append((here - window, here))
                 items |= self.items[self._at_window(state)]
             # a state's shorter matches end the items that its link path ends; its own longest may exceed the match
             short = self.short_link[state]
             while short:
                 size, ids = self.whole[short]
                 if size <= matched:
-                    found.append((i + 1 - size, i + 1))
+                    found.append((here - size, here))
                     items |= ids
                 short = self.short_link[link[short]]
+        return state, matched
 
 
 def blocks_of(spark: SparkSession, benchmark: DataFrame, window: int, block_words: int) -> list:
@@ -187,20 +213,37 @@ def matcher(blocks: list, window: int):
             kept["k"], kept["it"] = k, Automaton(pickle.loads(blocks[k].value), window)
         return kept["it"]
 
-    def match(texts: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set[int]]]:
-        """For each list of words: its merged hit ranges and its items."""
-        out: list = [([], set()) for _ in texts]
+    def match(texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, int]], set[int]]]:
+        """Of each text: the number of its words, its merged hit ranges and its items."""
+        out: list = [[0, [], set()] for _ in texts]
+        if not blocks:
+            return [(sum(map(len, pieces_of(t))), [], set()) for t in texts]
         for k in range(len(blocks)):
             a = automaton(k)
-            for (ranges, items), words in zip(out, texts, strict=True):
-                more, ids = a.hits(words)
-                ranges.extend(more)
-                items |= ids
-        return [(merged(r), i) for r, i in out]
+            for one, text in zip(out, texts, strict=True):
+                one[0], more, ids = a.hits(pieces_of(text))
+                one[1] = merged(one[1] + more) if more else one[1]
+                one[2] |= ids
+        return [tuple(one) for one in out]
 
     return match
 
 
+def gathered(batches: Iterator[pa.RecordBatch], blocks: list) -> Iterator[pa.RecordBatch]:
+    """batches as they are for one block; for several, HELD bytes of them together, so that automata are seldom made anew."""
+    if len(blocks) <= 1:
+        yield from batches
+        return
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        kept.append(batch)
+        if sum(b.nbytes for b in kept) >= HELD:
+            yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+            kept = []
+    if kept:
+        yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -209,55 +252,71 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     count as one in n_items, as in OP9_SQL, but items_sha256 has no id of theirs. Repeated rows and null ids
     are kept. An empty table on either side gives no rows, or rows without hits. Other columns are ignored.
     """
-    match = matcher(blocks_of(docs.sparkSession, benchmark, window, block_words), window)
+    blocks = blocks_of(docs.sparkSession, benchmark, window, block_words)
+    match, most = matcher(blocks, window), HELD if len(blocks) > 1 else AT_ONCE
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [words_of(t) for t in batch.column(1).to_pylist()]
-            found = match(texts)
-            n_hit = [sum(b - a for a, b in ranges) for ranges, _ in found]
-            digests = [hashlib.sha256(",".join(sorted(str(i) for i in items if i is not None)).encode()).hexdigest() for _, items in found]
-            cols = [[len(t) for t in texts], n_hit, [len(i) for _, i in found]]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in cols), pa.array(digests, pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_())],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
+        for batch in gathered(batches, blocks):
+            for some in by_bytes(batch, 1, most):
+                found = match(some.column(1).to_pylist())
+                n_hit = [sum(b - a for a, b in ranges) for _, ranges, _ in found]
+                digests = [hashlib.sha256(",".join(sorted(str(i) for i in items if i is not None)).encode()).hexdigest() for _, _, items in found]
+                cols = [[n for n, _, _ in found], n_hit, [len(i) for _, _, i in found]]
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), *(pa.array(c, pa.int64()) for c in cols), pa.array(digests, pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_())],
+                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+                )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(count, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return rows.mapInArrow(tidy(count), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def cleaned_text(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
-    """The text without the bytes from the first to the last word of each range."""
-    spots = [m.span() for m in WORD.finditer(text.lower())]
-    out, at = [], 0
-    for a, b in ranges:
-        out.append(text[at : spots[a][0]])
-        at = spots[b - 1][1]
+    """The text without the bytes from the first to the last word of each of the merged ranges."""
+    out, at, left = [], 0, iter(ranges)
+    first, last = next(left)
+    for n, m in enumerate(WORD.finditer(text.lower())):
+        if n == first:
+            out.append(text[at : m.start()])
+        if n == last - 1:
+            at = m.end()
+            first, last = next(left, (-1, -1))
+            if first < 0:
+                break
     return b"".join([*out, text[at:]])
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with hit spans cut out of text; documents whose hit words are `coverage` or more of all words go.
 
-    All columns are kept as they are, but for text and, where there is one, n_chars, which follows the text. Documents
-    without hits, null and empty texts among them, are unchanged.
+    Where a cut brings words together that make a window again, that is cut too, until the text has no hit. All columns
+    are kept as they are, but for text and, where there is one, n_chars, which follows the text. Documents without hits,
+    null and empty texts among them, are unchanged. Null ids and repeated rows are kept.
     """
-    match = matcher(blocks_of(docs.sparkSession, benchmark, window, block_words), window)
+    blocks = blocks_of(docs.sparkSession, benchmark, window, block_words)
+    match, most = matcher(blocks, window), HELD if len(blocks) > 1 else AT_ONCE
     at = docs.columns.index("text")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = batch.column(at).cast(pa.binary()).to_pylist()
-            texts = [words_of(t) for t in raw]
-            found = match(texts)
-            new = [cleaned_text(t, r) if r else t for t, (r, _) in zip(raw, found, strict=True)]
-            keep = [not r or sum(b - a for a, b in r) < coverage * len(w) for w, (r, _) in zip(texts, found, strict=True)]
-            column = pa.array(new, pa.binary()).cast(batch.schema.field(at).type)
-            yield batch.set_column(at, batch.schema.field(at), column).filter(pa.array(keep, pa.bool_()))
-
-    out = docs.mapInArrow(clean, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+        for batch in gathered(batches, blocks):
+            for some in by_bytes(batch, at, most):
+                texts = some.column(at).cast(pa.binary()).to_pylist()
+                found = match(texts)
+                keep = [not r or sum(b - a for a, b in r) < coverage * n for n, r, _ in found]
+                hit = [k for k, (_, r, _) in enumerate(found) if r and keep[k]]
+                if not hit:
+                    yield some.filter(pa.array(keep, pa.bool_()))
+                    continue
+                left = {k: found[k][1] for k in hit}
+                while left:
+                    for k, ranges in left.items():
+                        texts[k] = cleaned_text(texts[k], ranges)
+                    left = {k: r for k, (_, r, _) in zip(left, match([texts[k] for k in left]), strict=True) if r}
+                column = pa.array(texts, pa.binary()).cast(some.schema.field(at).type)
+                yield some.set_column(at, some.schema.field(at), column).filter(pa.array(keep, pa.bool_()))
+
+    out = docs.mapInArrow(tidy(clean), docs.schema)
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars")) if "n_chars" in docs.columns else out
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
