@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from verbaflow.llm import quality, toxicity
 
+shared = pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the shared tables aren't here")
 BAD = ["scumbag", "idiotic", "worthless"]
 
 
@@ -51,9 +53,60 @@ def test_thresholds_are_ordered_and_slope_is_right():
     rng = np.random.default_rng(0)
     x = rng.normal(size=800)
     grade = np.digitize(x * 2 + rng.logistic(size=800), [-1.0, 1.5])
-    model = toxicity._regress(np.arange(800), np.zeros(800, int), x, grade, {"f": 0})
-    assert model.weights[0] == pytest.approx(2, abs=0.4)
-    assert model.thresholds == pytest.approx([-1.0, 1.5], abs=0.4)
+    weights, thresholds = toxicity._regress(np.arange(800), np.zeros(800, int), x, grade, 1, 2)
+    assert weights[0] == pytest.approx(2, abs=0.4)
+    assert thresholds == pytest.approx([-1.0, 1.5], abs=0.4)
+
+
+def test_likelihood_against_a_plain_one():
+    rng = np.random.default_rng(5)
+    eta, cuts = rng.normal(size=40), np.array([-0.3, 0.4, 2.0])
+    logistic = lambda z: 1 / (1 + np.exp(-z))
+    for grade in range(4):
+        below = [logistic(cuts[grade] - e) if grade < 3 else 1.0 for e in eta]
+        under = [logistic(cuts[grade - 1] - e) if grade else 0.0 for e in eta]
+        assert toxicity.likelihood(eta, np.full(40, grade), cuts) == pytest.approx(np.subtract(below, under))
+
+
+def test_steps_climb_to_the_best_likelihood():
+    rng = np.random.default_rng(6)
+    r, c, v = np.repeat(np.arange(300), 2), np.tile([0, 1], 300), rng.random(600)
+    grade = rng.integers(0, 3, 300)
+    w, t = toxicity._regress(r, c, v, grade, 2, 2)
+
+    def penalised(w, t):
+        eta = np.array([v[2 * i] * w[0] + v[2 * i + 1] * w[1] for i in range(300)])
+        return np.log(toxicity.likelihood(eta, grade, t)).mean() - toxicity.RIDGE * (w**2).sum() / 2 / np.sqrt(300)
+
+    best = penalised(w, t)
+    for d in (np.array([0.05, 0]), np.array([0, 0.05])):
+        assert best >= max(penalised(w + d, t), penalised(w - d, t), penalised(w, t + d), penalised(w, t - d)) - 1e-6
+
+
+def test_severity_against_a_plain_sum():
+    model = toxicity.Model({"bad": 0, "badl-": 1, "b\u00f6se": 2}, np.array([1.0, 0.5, -2.0]), np.array([1.0, 3.0]))
+    said = ["Bad bad, badly!", "b\u00f6se BADLANDS", "none", None]
+    eta = [np.log(3) + 0.5 * np.log(2), 0.5 * np.log(2) - 2 * np.log(2), 0, 0]
+    want = [sum(1 / (1 + np.exp(t - e)) for t in (1.0, 3.0)) for e in eta]
+    assert model.severity(said, {}) == pytest.approx(want)
+
+
+@shared
+def test_toxicity_on_the_labels(spark):
+    """Fitted on half of the given labels, the model tells the other half."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2
+    model = toxicity.trained(docs, labels.where(half == 0))
+    rows = toxicity.judged(docs, model).join(labels.where(half == 1), "doc_id").collect()
+    assert np.mean([r.rejected == bool(r.toxic) for r in rows]) > 0.95
+    assert np.mean([r.rejected for r in rows if not r.toxic]) < 0.01
+
+
+def test_a_column_of_the_internal_name(spark):
+    docs, labels = tables(spark, texts(100, 7))
+    docs = docs.withColumn("__severity", F.lit("mine"))
+    kept = toxicity.accepted(docs, toxicity.trained(docs, labels))
+    assert kept.columns == docs.columns and {r["__severity"] for r in kept.collect()} == {"mine"}
 
 
 def test_toxicity_of_odd_texts(spark):
@@ -92,6 +145,25 @@ def test_additive_lookup():
     assert ((model.score(x) > 0.5) == (y == 1)).mean() > 0.9
 
 
+def test_scores_against_a_plain_sum():
+    rng = np.random.default_rng(8)
+    x = rng.random((200, 3))
+    model = quality.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float))
+    for row, score in zip(x.tolist(), model.score(x), strict=True):
+        bin_of = lambda cuts, value: sum(value >= c for c in cuts)
+        z = model.base + sum(t[bin_of(c, v)] for c, t, v in zip(model.cuts, model.tables, row, strict=True))
+        z += sum(t[bin_of(a, row[i]), bin_of(b, row[j])] for i, j, a, b, t in model.pairs)
+        assert score == pytest.approx(1 / (1 + np.exp(-min(max(z, -30), 30))))
+
+
+@shared
+def test_quality_on_the_labels(spark):
+    """Of the given labels, the held-out ones are told."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.scored(docs, quality.trained(docs, labels)).where("held_out").join(labels, "doc_id").collect()
+    assert len(rows) > 50 and np.mean([r.predicted == r.quality for r in rows]) > 0.95
+
+
 def test_quality_of_odd_texts(spark):
     docs, labels = tables(spark, texts(200, 5))
     model = quality.trained(docs, labels)

@@ -1,6 +1,8 @@
 import os
+import random
 
 import pytest
+import sentencepiece
 
 import corpus_pipeline
 from verbaflow.llm import decontamination, jaccard_join, secrets, sentencepiece_codec
@@ -43,3 +45,47 @@ def test_stage_of_empty_and_odd_rows(spark):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd.limit(0), DIR).count() == 0, name
         assert stage(spark, odd, DIR).count() in (2, 3), name
+
+
+def fixture(spark, path):
+    """Documents with one planted case for each stage, and what each must come to."""
+    rnd = random.Random(21)
+    words = ["".join(rnd.choice("aeioulnrstmdp") for _ in range(rnd.randrange(3, 9))) for _ in range(500)]
+    prose = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    clean = {i: prose(90) for i in range(60)}
+    passage = " ".join(f"item{k}" for k in range(14))
+    want = dict(clean)
+    rows = dict(clean)
+    for i in range(100, 140):
+        rows[i] = prose(30) + " " + " ".join(rnd.choice(["scumbag", "idiotic", "worthless"]) for _ in range(4)) + " " + prose(30)
+    rows[200], rows[201] = clean[3] + " more", clean[3]
+    rows[7], want[7] = f"{clean[7]} {passage.upper()}! {clean[8][:200]}", f"{clean[7]} ! {clean[8][:200]}"
+    rows[300] = f"{passage} of test"
+    rows[9], want[9] = f"{clean[9]} password=abcdefghijkl0 end", f"{clean[9]} [SECRET] end"
+    rows[10], want[10] = f"{clean[10]}\n  ▁spaced\ttext é", f"{clean[10]}\n  ▁spaced\ttext é"
+    docs = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in rows.items()] + [(400, None, "en", "s0", 0), (401, "", None, None, 0)]
+    want |= {400: None, 401: ""}
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(100 <= i < 200)) for i in rows], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return want
+
+
+def test_planted_cases_against_what_they_must_come_to(spark, tmp_path):
+    want = fixture(spark, f"{tmp_path}")
+    rows = corpus_pipeline.run(spark, f"{tmp_path}").collect()
+    assert {r.doc_id: r.text for r in rows} == want and len(rows) == len(want)
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.model_path())
+    assert [r.doc_id for r in rows if r.ids != library.encode(r.text or "") or r.n_chars != len(r.text or "")] == []
+
+
+def test_columns_of_other_names_pass_and_empty_tables_do_nothing(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, None, "k", 1, "s", 0.5), (1, "one text that stays", "k", 1, "s", 0.5), (2, "w " * 100_000 + "end", "k", 1, "s", 0.5), (None, "by none", "k", 1, "s", 0.5)]
+    docs = spark.createDataFrame([(i, t, "en", "a", *more) for i, t, *more in rows], "doc_id long, text string, lang string, source string, __key string, comp int, __spans string, __severity double")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, f"{tmp_path}")
+        assert out.columns[: len(docs.columns)] == docs.columns, name
+        got = sorted(((r.doc_id or 0, r.text or "", r["__key"], r.comp, r["__spans"], r["__severity"]) for r in out.collect()), key=str)
+        assert got == sorted(((i or 0, t or "", *more) for i, t, *more in rows), key=str), name
