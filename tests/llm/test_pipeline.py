@@ -39,12 +39,10 @@ def test_run(spark):
         assert pieces.decode(r.ids) == (r.text or "").replace("▁", " ") and r.n_pieces == len(r.ids)
 
 
-def test_stage_of_empty_and_odd_rows(spark):
-    docs = table(spark, DIR, "documents")
-    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0)], docs.schema)
+def test_empty_documents(spark):
+    docs = table(spark, DIR, "documents").limit(0)
     for name, stage in corpus_pipeline.STAGES:
-        assert stage(spark, odd.limit(0), DIR).count() == 0, name
-        assert stage(spark, odd, DIR).count() in (2, 3), name
+        assert stage(spark, docs, DIR).count() == 0, name
 
 
 def fixture(spark, path):
@@ -82,7 +80,7 @@ def test_planted_cases_against_what_they_must_come_to(spark, tmp_path):
 def test_columns_of_other_names_pass_and_empty_tables_do_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    rows = [(None, None, "k", 1, "s", 0.5), (1, "one text that stays", "k", 1, "s", 0.5), (2, "w " * 100_000 + "end", "k", 1, "s", 0.5), (None, "by none", "k", 1, "s", 0.5)]
+    rows = [(None, None, "k", 1, "s", 0.5), (3, "", "k", 1, "s", 0.5), (3, "", "k", 1, "s", 0.5), (1, "one text that stays", "k", 1, "s", 0.5), (2, "w " * 100_000 + "end", "k", 1, "s", 0.5), (None, "by none", "k", 1, "s", 0.5)]
     docs = spark.createDataFrame([(i, t, "en", "a", *more) for i, t, *more in rows], "doc_id long, text string, lang string, source string, __key string, comp int, __spans string, __severity double")
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, f"{tmp_path}")
