@@ -1,3 +1,5 @@
+import hashlib
+import os
 import random
 
 import numpy as np
@@ -22,14 +24,21 @@ def library():
 
 def test_merge_as_the_library(pieces, library):
     rnd = random.Random(1)
-    encoder = c.Encoder(pieces, {w: c.packed(pieces.merged(w)) for w in ("▁a", "▁", "b", "▁▁", "▁the", "▁.", "▁▁a")})
+    encoder = c.Encoder(pieces, {c.named(w): c.packed(pieces.merged(w)) for w in ("▁a", "▁", "b", "▁▁", "▁the", "▁.", "▁▁a")}, c.Merger(pieces))
     texts = ODD + ["".join(rnd.choice("  abcdeth\n.é▁-=*0梦\x00𝒳\t/") for _ in range(rnd.randrange(60))) for _ in range(400)]
-    for x in texts:
-        ids = np.frombuffer(encoder(x), np.int32).tolist()
+    for x, packed in zip(texts, encoder(texts), strict=True):
+        ids = np.frombuffer(packed, np.int32).tolist()
         assert ids == library.encode(x) and pieces.decode(ids) == library.decode(ids)
     for word in ["▁" + "anana" * 6, "▁▁▁▁▁", "=" * 30]:
         assert pieces._merged_long(word) == pieces.merged(word)
-    assert encoder(None) == b""
+    assert encoder([None, ""]) == [b"", b""]
+
+
+def test_merging_side_by_side(pieces):
+    rnd = random.Random(9)
+    words = {"▁" * rnd.randrange(3) + "".join(rnd.choice("abcdeestaoinhr.é梦-A") for _ in range(rnd.randrange(1, 20))) for _ in range(3000)} - {""}
+    got = c.Merger(pieces).merged(list(words))
+    assert got.keys() == words and all(np.frombuffer(ids, "<i4").tolist() == pieces.merged(w) for w, ids in got.items())
 
 
 def test_lattice_fold_as_the_library(spark, pieces, library):
@@ -78,3 +87,19 @@ def test_round_trip(spark, pieces, library, frequent):
 def test_empty(spark, pieces):
     assert c.encoded(frame(spark, []), pieces).collect() == []
     assert c.word_counts(spark.createDataFrame([(1, "a b a")], "doc_id long, text string")).where(F.col("word") == "▁a").first().n == 2
+
+
+def test_null_ids_repeated_rows_and_clashing_columns(spark, pieces, library):
+    rows = spark.createDataFrame([(None, "a b", "x"), (None, "a b", "x"), (2, None, None)], "doc_id long, text string, decoded string")
+    out = c.decoded(c.encoded(rows, pieces), pieces)
+    assert out.columns == ["doc_id", "text", "ids", "n_pieces", "decoded"]
+    assert sorted((r.doc_id or 0, r.ids, r.decoded) for r in out.collect()) == [(0, library.encode("a b"), "a b")] * 2 + [(2, [], "")]
+    assert sorted((r.doc_id or 0, r.n_pieces) for r in c.coded(rows, pieces).collect()) == [(0, 2), (0, 2), (2, 0)]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the shared tables aren't here")
+def test_the_query_as_the_library(spark, library):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    ids = [np.array(library.encode(r.text or ""), "<i4") for r in docs]
+    want = sorted((r.doc_id, len(i), hashlib.sha256(i.tobytes()).hexdigest(), True) for r, i in zip(docs, ids, strict=True))
+    assert sorted(map(tuple, c.op4_sentencepiece(spark, "/root/testdata/sf0.001").collect())) == want

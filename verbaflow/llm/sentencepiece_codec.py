@@ -5,8 +5,8 @@ of bounded length are exploded and equi-joined to the piece table, the edges are
 higher-order functions walks them. For a unigram model that is the Viterbi fold, which finds the path of greatest
 total score; a BPE model defines its result by merges instead (the best-scored adjacent pair first, of equals the
 leftmost), so its fold removes one cut at a time. The words' codes are broadcast, their number being bounded, and
-texts are put together from them; words beyond them go through the same fold in the worker, so the result does not
-depend on the bound.
+texts are put together from them; words beyond them go through the same fold in the worker, many words at once, so the
+result does not depend on the bound.
 """
 
 from __future__ import annotations
@@ -20,22 +20,25 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, table
+from .common import by_bytes, discard, materialise, table, tidy
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Words in the broadcast table, and the longest word in it; words that a worker remembers besides.
-FREQUENT, LONGEST, REMEMBERED = 200_000, 40, 200_000
+FREQUENT, LONGEST, REMEMBERED = 200_000, 40, 300_000
 #: Longest word whose pairs are looked through one by one.
 SHORT = 64
-#: Pieces never hold a space mark after another character, so no piece spans two of these words.
-WORD = f"{SPACE}*[^{SPACE}]+|{SPACE}+"
+#: Pieces never hold a space mark after another character, so no piece spans two of these words; where no piece holds a
+#: line break, none spans two lines.
+WORD, LINED = f"{SPACE}*[^{SPACE}]+|{SPACE}+", f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+"
 EDGE = "array<struct<start: int, end: int, id: int, score: double>>"
 UNKNOWN_PENALTY = 10.0
+#: Words that are merged side by side.
+TOGETHER = 8192
 
 
 @dataclass
@@ -130,14 +133,91 @@ class Pieces:
         return text.replace(SPACE, " ").removeprefix(" ")
 
 
-def escaped(text: Column) -> Column:
-    """Null and empty texts have no words; any other one begins with a space mark."""
-    return F.when(F.length(text) > 0, F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE)))).otherwise(F.lit(""))
+class Merger:
+    """The merge fold of many words side by side. Symbols are numbered: pieces, and characters that pieces hold."""
+
+    def __init__(self, pieces: Pieces):
+        symbols = {p: k for k, p in enumerate(dict.fromkeys([*pieces.ids, *(c for p in pieces.ids for c in p)]))}
+        self.pieces, self.n = pieces, len(symbols)
+        self.code = np.array([pieces.ids.get(p, -1) for p in symbols], np.int32)  # -1: a character that is no piece
+        self.of_char = np.arange(0x110000, dtype=np.int32) + self.n  # no part of any piece
+        for p, k in symbols.items():
+            if len(p) == 1:
+                self.of_char[ord(p)] = k
+        self.chars = {k: p for p, k in symbols.items() if p not in pieces.ids}
+        pairs = {}
+        for p, score in pieces.scores.items():
+            for i in range(1, len(p)):
+                left, right = symbols.get(p[:i]), symbols.get(p[i:])
+                if left is not None and right is not None:
+                    pairs[left * self.n + right] = (score, symbols[p])
+        self.keys = np.array(sorted(pairs), np.int64)
+        # the last of each is for no pair
+        self.made = np.array([*(pairs[k][1] for k in self.keys.tolist()), -1], np.int32)
+        scores = np.array([pairs[k][0] for k in self.keys.tolist()])
+        self.rank = np.append(np.unique(scores, return_inverse=True)[1], -1).astype(np.int32) if len(scores) else np.array([-1], np.int32)
+
+    def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The numbers of pairs of symbols, -1 where they don't merge."""
+        if not len(self.keys):
+            return np.full(left.shape, -1)
+        key = left.astype(np.int64) * self.n + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0) & (right < self.n), at, -1)
+
+    def merged(self, words: list[str]) -> dict[str, bytes]:
+        """The packed ids of words of at most SHORT characters."""
+        out: dict[str, bytes] = {}
+        words = sorted(words, key=len)
+        for low in range(0, len(words), TOGETHER):
+            out |= self._together(words[low : low + TOGETHER])
+        return out
+
+    def _together(self, words: list[str]) -> dict[str, bytes]:
+        size = np.array([len(w) for w in words])
+        width = int(size.max()) + 1
+        symbols = np.full((len(words), width), -1, np.int32)
+        symbols[np.arange(width)[None, :] < size[:, None]] = self.of_char[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        done = symbols.copy()
+        pair = self._pair(symbols[:, :-1], symbols[:, 1:])
+        left, columns = np.arange(len(words)), np.arange(width)
+        while len(left):
+            rank = self.rank[pair]
+            best = rank.argmax(1)  # of equals the leftmost
+            row = np.arange(len(left))
+            more = rank[row, best] >= 0
+            done[left[~more]] = symbols[~more]
+            left, symbols, pair, best = left[more], symbols[more], pair[more], best[more]
+            row = np.arange(len(left))
+            symbols[row, best] = self.made[pair[row, best]]
+            after = np.minimum(columns + (columns > best[:, None]), width - 1)  # the symbol after the merged one goes
+            symbols = np.take_along_axis(symbols, after, 1)
+            symbols[:, -1] = -1
+            pair = np.take_along_axis(pair, after[:, :-1].clip(max=width - 2), 1)
+            pair[:, -1] = -1
+            pair[row, best] = self._pair(symbols[row, best], symbols[row, best + 1])
+            back = best > 0
+            pair[row[back], best[back] - 1] = self._pair(symbols[row[back], best[back] - 1], symbols[row[back], best[back]])
+            size[left] -= 1
+        kept = columns[None, :] < size[:, None]
+        known = (done >= 0) & (done < self.n)
+        codes = np.where(known, self.code[np.where(known, done, 0)], -1).astype("<i4")
+        whole = ((codes >= 0) | ~kept).all(1)
+        raw, step = codes.tobytes(), 4 * width
+        out = {w: raw[k * step : k * step + 4 * n] for k, (w, n) in enumerate(zip(words, size.tolist(), strict=True))}
+        for k in np.flatnonzero(~whole).tolist():
+            ids: list[int] = []
+            for symbol, code in zip(done[k, : size[k]].tolist(), codes[k].tolist(), strict=False):
+                ids += [code] if code >= 0 else self.pieces.codes(chr(symbol - self.n) if symbol >= self.n else self.chars[symbol])
+            out[words[k]] = packed(ids)
+        return out
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    words = F.regexp_extract_all(escaped(F.col("text")), F.lit(f"({WORD})"), F.lit(1))
-    return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """How often words stand after a space, with a space mark in front, and at the beginning of a line but the first, without."""
+    cut = F.split(F.replace("text", F.lit("\n"), F.lit(" \n")), " ")
+    words = docs.select(F.explode(cut).alias("w")).where("length(w) > 0 AND w <> '\\n'").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return words.select(F.when(F.col("w").startswith("\n"), F.substring("w", 2, 1 << 30)).otherwise(F.concat(F.lit(SPACE), "w")).alias("word"), "n")
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
@@ -209,7 +289,9 @@ def frequent_words(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
 def frequent_codes(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -> dict[str, bytes]:
     """The codes of the frequent words, by word."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = word_codes(frequent_words(docs, frequent).repartition(parts, "word"), pieces).toArrow()
+    words = frequent_words(docs, frequent)
+    rows = word_codes(words.repartition(parts, "word"), pieces).toArrow()
+    discard(words)
     return {w: packed(ids) for w, ids in zip(rows["word"].to_pylist(), rows["ids"].to_pylist(), strict=True)}
 
 
@@ -218,47 +300,58 @@ def packed(ids: list[int]) -> bytes:
     return np.array(ids, "<i4").tobytes()
 
 
+#: A line break, named.
+BREAK = SPACE + "\n"
+
+
 class Encoder:
-    """Texts to packed ids. A word's codes are looked up, rarer words are merged once and remembered for a while."""
-
-    def __init__(self, pieces: Pieces, known: dict[str, bytes]):
-        self.pieces, self.more = pieces, {}
-        self.known = {w.removeprefix(SPACE) if w[1:2] != SPACE and w[:1] == SPACE else SPACE + w: ids for w, ids in known.items()}
-        self.words = re.compile(WORD).findall
-
-    def _rare(self, word: str) -> bytes:
-        ids = self.more.get(word)
-        if ids is None:
-            ids = packed(self.pieces.merged(word))
-            if len(word) <= LONGEST:
-                if len(self.more) >= REMEMBERED:
-                    self.more.clear()
-                self.more[word] = ids
-        return ids
-
-    def __call__(self, text: str | None) -> bytes:
+    """Texts to packed ids. A word's codes are looked up; rarer words of some texts are merged together, once, and remembered
+    for a while. Words are named without their space mark if they begin with one only, else with one more."""
+
+    def __init__(self, pieces: Pieces, known: dict[str, bytes], merger: Merger):
+        """known: the codes of named words."""
+        self.pieces, self.merger, self.known, self.codes = pieces, merger, known, dict(known)
+        self.lined = not any("\n" in p for p in pieces.ids)
+
+    def _words(self, text: str | None) -> list[str]:
+        """The named words of a text, in order."""
         if not text:
-            return b""
+            return []
         if SPACE not in text:
-            words = text.split(" ")
-            if "" not in words:  # each word has one space mark in front, which the keys leave out
-                found = list(map(self.known.get, words))
-                if None in found:
-                    found = [self._rare(SPACE + w) if ids is None else ids for w, ids in zip(words, found, strict=True)]
-                return b"".join(found)
-        return b"".join(map(self._rare, self.words(SPACE + text.replace(" ", SPACE))))
+            lines = [line.split(" ") for line in text.split("\n")] if self.lined else [text.split(" ")]
+            if not any("" in words for words in lines):
+                out = lines[0]
+                for words in lines[1:]:
+                    out.append(BREAK)
+                    out.append(SPACE + words[0])
+                    out += words[1:]
+                return out
+        return list(map(named, re.findall(LINED if self.lined else WORD, SPACE + text.replace(" ", SPACE))))
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.codes) > len(self.known) + REMEMBERED:
+            self.codes = dict(self.known)
+        codes = self.codes
+        split = [self._words(t) for t in texts]
+        missing = {w for words in split for w in words if w not in codes}
+        whole = {w: w[1:] if w[:1] == SPACE else SPACE + w for w in missing}
+        fold = self.merger.merged([x for x in whole.values() if len(x) <= SHORT])
+        for w, x in whole.items():
+            codes[w] = fold[x] if x in fold else packed(self.pieces.merged(x))
+        out = [b"".join(map(codes.__getitem__, words)) for words in split]
+        for w in missing:
+            if len(w) > LONGEST:
+                del codes[w]
+        return out
 
 
-def _encoder(docs: DataFrame, pieces: Pieces, frequent: int):
-    sent = docs.sparkSession.sparkContext.broadcast((pieces, frequent_codes(docs, pieces, frequent)))
-    made: dict = {}
+def named(word: str) -> str:
+    return word[1:] if word[:1] == SPACE and word[1:2] != SPACE else SPACE + word
 
-    def get() -> Encoder:
-        if not made:
-            made["it"] = Encoder(*sent.value)
-        return made["it"]
 
-    return get
+def _encoder(docs: DataFrame, pieces: Pieces, frequent: int):
+    sent = docs.sparkSession.sparkContext.broadcast((pieces, {named(w): ids for w, ids in frequent_codes(docs, pieces, frequent).items()}, Merger(pieces)))
+    return lambda: Encoder(*sent.value)
 
 
 def encoded(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -> DataFrame:
@@ -266,7 +359,7 @@ def encoded(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -> DataFr
 
     A null or empty text has no ids. Repeated rows and null ids are kept, an empty table gives no rows; all columns pass
     through, but for ones named ids or n_pieces, which are replaced. A text holding the space mark itself is
-    encoded as with a space in its place.
+    encoded as with a space in its place. A very long text is encoded whole.
     """
     docs = docs.drop("ids", "n_pieces")
     get, at = _encoder(docs, pieces, frequent), docs.columns.index("text")
@@ -274,47 +367,53 @@ def encoded(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -> DataFr
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = get()
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                some = batch.slice(low, 500)
-                ids = [encoder(t) for t in some.column(at).to_pylist()]
+            for some in by_bytes(batch, at):
+                ids = encoder(some.column(at).to_pylist())
                 sizes = np.fromiter((len(i) // 4 for i in ids), np.int32, len(ids))
                 flat = np.frombuffer(b"".join(ids), "<i4")
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*some.columns, lists, pa.array(sizes)], names=[*some.schema.names, "ids", "n_pieces"])
 
-    return docs.mapInArrow(encode, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.IntegerType())]))
+    return docs.mapInArrow(tidy(encode), T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.IntegerType())]))
 
 
 def decoded(rows: DataFrame, pieces: Pieces) -> DataFrame:
-    """rows(..., ids) with a further column decoded; null ids give null."""
+    """rows(..., ids) with a further column decoded, which replaces one of that name; null ids give null. Repeated rows are
+    kept, an empty table gives no rows."""
+    rows = rows.drop("decoded")
     sent, at = rows.sparkSession.sparkContext.broadcast(pieces), rows.columns.index("ids")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if i is None else sent.value.decode(i) for i in batch.column(at).to_pylist()]
-            yield batch.append_column("decoded", pa.array(texts, pa.string()))
+            for low in range(0, batch.num_rows, 500):
+                some = batch.slice(low, 500)
+                texts = [None if i is None else sent.value.decode(i) for i in some.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string())], names=[*some.schema.names, "decoded"])
 
-    return rows.mapInArrow(decode, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
+    return rows.mapInArrow(tidy(decode), T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def coded(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_pieces, ids_sha256 (of the ids as 32-bit integers, least byte first) and restored: whether decoding
-    gives the text again (null: the empty one), the space mark standing for a space."""
+    gives the text again (null: the empty one), the space mark standing for a space.
+
+    Repeated rows and null ids are kept, an empty table gives no rows, other columns are ignored, and a very long text is
+    encoded whole.
+    """
     get = _encoder(docs, pieces, frequent)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = get()
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for text in batch.column(1):
-                text = text.as_py()
-                ids = encoder(text)
-                for column, x in zip(out, (len(ids) // 4, hashlib.sha256(ids).hexdigest(), encoder.pieces.decode(np.frombuffer(ids, "<i4")) == (text or "").replace(SPACE, " ")), strict=True):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.bool_())], names=["doc_id", "n_pieces", "ids_sha256", "restored"])
+            for some in by_bytes(batch, 1):
+                texts = some.column(1).to_pylist()
+                ids = encoder(texts)
+                same = [encoder.pieces.decode(np.frombuffer(i, "<i4")) == (t or "").replace(SPACE, " ") for i, t in zip(ids, texts, strict=True)]
+                cols = [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([some.column(0), *cols], names=["doc_id", "n_pieces", "ids_sha256", "restored"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(code, "doc_id long, n_pieces long, ids_sha256 string, restored boolean")
+    return rows.mapInArrow(tidy(code), "doc_id long, n_pieces long, ids_sha256 string, restored boolean")
 
 
 def model_path(name: str = MODEL) -> str:
