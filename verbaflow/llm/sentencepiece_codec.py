@@ -350,8 +350,18 @@ def named(word: str) -> str:
 
 
 def _encoder(docs: DataFrame, pieces: Pieces, frequent: int):
-    sent = docs.sparkSession.sparkContext.broadcast((pieces, {named(w): ids for w, ids in frequent_codes(docs, pieces, frequent).items()}, Merger(pieces)))
-    return lambda: Encoder(*sent.value)
+    """What makes an Encoder in a worker. Broadcasts hold plain values only: unlike functions, their classes don't travel."""
+    folds = {name: value for name, value in vars(Merger(pieces)).items() if name != "pieces"}
+    codes = {named(w): ids for w, ids in frequent_codes(docs, pieces, frequent).items()}
+    sent = docs.sparkSession.sparkContext.broadcast((vars(pieces), codes, folds))
+
+    def get() -> Encoder:
+        own, known, folds = sent.value
+        own, merger = Pieces(**own), Merger.__new__(Merger)
+        merger.__dict__.update(folds, pieces=own)
+        return Encoder(own, known, merger)
+
+    return get
 
 
 def encoded(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -> DataFrame:
@@ -381,13 +391,14 @@ def decoded(rows: DataFrame, pieces: Pieces) -> DataFrame:
     """rows(..., ids) with a further column decoded, which replaces one of that name; null ids give null. Repeated rows are
     kept, an empty table gives no rows."""
     rows = rows.drop("decoded")
-    sent, at = rows.sparkSession.sparkContext.broadcast(pieces), rows.columns.index("ids")
+    sent, at = rows.sparkSession.sparkContext.broadcast(vars(pieces)), rows.columns.index("ids")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Pieces(**sent.value)
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 some = batch.slice(low, 500)
-                texts = [None if i is None else sent.value.decode(i) for i in some.column(at).to_pylist()]
+                texts = [None if i is None else own.decode(i) for i in some.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string())], names=[*some.schema.names, "decoded"])
 
     return rows.mapInArrow(tidy(decode), T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
