@@ -1,6 +1,6 @@
 """The registered queries of this package and their DuckDB SQL."""
 
-from . import decontamination, jaccard_join, quality, secrets, sentencepiece_codec, sharding, token_counts, topk_search, toxicity, url_filters
+from . import decontamination, jaccard_join, quality, secrets, sentencepiece_codec, sharding, token_counts, topk_search, toxicity, url_filters, vector_codes, whitening
 
 QUERIES = {
     "op1_exact_topk_search": topk_search.op1_exact_topk_search,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
+    "op11_embedding_whitening": whitening.op11_embedding_whitening,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 ORACLE_SQL = {
     "op1_exact_topk_search": topk_search.OP1_SQL,
@@ -20,4 +22,5 @@ ORACLE_SQL = {
     "op6_secret_scans": secrets.OP6_SQL,
     "op9_decontamination": decontamination.OP9_SQL,
     "op10_ngram_jaccard_join": jaccard_join.OP10_SQL,
+    "op13_vector_codes": vector_codes.OP13_SQL,
 }
