@@ -172,3 +172,17 @@ def test_quality_of_odd_texts(spark):
     assert len(rows) == 6 and all(0 <= r.score <= 1 for r in rows) and {r.held_out for r in rows if r.doc_id is None} == {False}
     assert quality.scored(odd.limit(0), model).collect() == []
     assert {r.score for r in quality.scored(docs, quality.trained(docs, labels.limit(0))).collect()} == {0.5}
+
+
+def test_many_texts_of_one_labelled_id_are_one(spark, monkeypatch):
+    """What reaches the driver follows the sample, whatever repeats: one text of each id, the one of least hash."""
+    docs = spark.createDataFrame([(8, f"words number {i} stand here") for i in range(3000)] + [(9, "worthless scumbag")] * 3000, "doc_id long, text string")
+    labels = spark.createDataFrame([(8, 1, 0), (9, 0, 1)], "doc_id long, quality int, toxic int")
+    sizes = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: sizes.append((x.shape[0], sorted(y.tolist()))))
+    quality.trained(docs, labels, sample=5)
+    fitted = []
+    monkeypatch.setattr(toxicity, "fit", lambda vectors, *_: fitted.append(vectors))
+    toxicity.trained(docs, labels, sample=5)
+    assert sizes == [(2, [0.0, 1.0])]
+    assert len(fitted[0].toxic) == 2

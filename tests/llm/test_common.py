@@ -1,5 +1,6 @@
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from verbaflow.llm import common
 
@@ -25,16 +26,28 @@ def test_names_that_are_free(spark):
     assert (common.unused(df, "__key"), common.unused(df, "__key2"), common.unused(df, "x")) == ("___key", "___key2", "x")
 
 
-def test_batches_are_bounded_unless_the_session_says_otherwise(spark):
-    before = spark.conf.get(common.BATCH_BYTES)
-    try:
-        spark.conf.set(common.BATCH_BYTES, common.DEFAULT_BYTES)
-        assert list(common.tidy(iter)([1, 2])) == [1, 2] and spark.conf.get(common.BATCH_BYTES) == common.FEW_BYTES
-        spark.conf.set(common.BATCH_BYTES, "1m")
-        common.tidy(iter)
-        assert spark.conf.get(common.BATCH_BYTES) == str(1 << 20) + "b" or spark.conf.get(common.BATCH_BYTES) == "1m"
-    finally:
-        spark.conf.set(common.BATCH_BYTES, before)
+def batch_rows(df):
+    """How many rows a Python function gets at once."""
+    return df.mapInArrow(lambda batches: (pa.record_batch([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long")
+
+
+def test_batches_are_bounded_in_a_session_that_never_set_the_key(spark):
+    fresh = spark.newSession()
+    assert fresh.conf.get(common.BATCH_BYTES) == common.DEFAULT_BYTES
+    rows = fresh.range(0, 24, 1, 1).select(F.repeat(F.lit("x"), F.lit(1 << 20)).alias("text"))
+    assert max(r.n for r in batch_rows(rows).collect()) > 8
+    assert max(r.n for r in common.materialise(batch_rows(rows), "test").collect()) <= 5
+    assert fresh.conf.get(common.BATCH_BYTES) == common.DEFAULT_BYTES  # as it was
+    common.bound_batches(fresh)
+    assert max(r.n for r in batch_rows(rows).collect()) <= 5
+
+
+def test_a_sessions_own_bound_stays(spark):
+    own = spark.newSession()
+    own.conf.set(common.BATCH_BYTES, "1m")
+    common.bound_batches(own)
+    with common.few_bytes(own):
+        assert own.conf.get(common.BATCH_BYTES) in ("1m", "1048576b")
 
 
 def test_materialised_tables_can_be_removed(spark):

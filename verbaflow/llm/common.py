@@ -41,9 +41,10 @@ def _alone(master: str, made: list[str] = []) -> str:  # noqa: B006  one folder
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Cuts lineage: writes df as Parquet in the shared folder and reads it back."""
+    """Cuts lineage: writes df as Parquet in the shared folder and reads it back. Python functions get batches of FEW_BYTES."""
     path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    with few_bytes(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -100,18 +101,32 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-#: What bounds a batch that Spark hands to a Python function, its own value for that, and ours: the JVM and the worker hold
-#: a batch several times over.
+#: What bounds a batch that Spark hands to a Python function, and our value where the session has Spark's own: the JVM and the
+#: worker hold a batch several times over.
 BATCH_BYTES, DEFAULT_BYTES, FEW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b"
 
 
-def tidy(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """function over batches, which leaves no memory behind in a worker that is used again. Batches become FEW_BYTES from
-    now on, unless the session has set a bound of its own."""
-    spark = SparkSession.getActiveSession()
-    if spark is not None and spark.conf.get(BATCH_BYTES, None) == DEFAULT_BYTES:
+def bound_batches(spark: SparkSession) -> None:
+    """For applications: batches of the session are FEW_BYTES from now on, if it has Spark's default."""
+    if spark.conf.get(BATCH_BYTES) == DEFAULT_BYTES:
         spark.conf.set(BATCH_BYTES, FEW_BYTES)
 
+
+@contextlib.contextmanager
+def few_bytes(spark: SparkSession) -> Iterator[None]:
+    """Batches are FEW_BYTES while this lasts; then the session is as it was."""
+    before = spark.conf.get(BATCH_BYTES)
+    bound_batches(spark)
+    try:
+        yield
+    finally:
+        if spark.conf.get(BATCH_BYTES) != before:
+            spark.conf.set(BATCH_BYTES, before)
+
+
+def tidy(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """function over batches, which leaves no memory behind in a worker that is used again."""
+
     def run(batches: Iterator) -> Iterator:
         try:
             yield from function(batches)

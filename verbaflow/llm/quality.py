@@ -184,10 +184,13 @@ def measured(docs: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fitted on at most `sample` labelled documents that aren't held out; of several labels of one id the greatest counts."""
+    """Fitted on at most `sample` labelled documents that aren't held out; of several labels of one id the greatest counts, of
+    several texts of one id the one of least hash."""
     usable = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out(F.col("doc_id")))
     some = drawn(usable.groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", sample)
-    rows = measured(docs.join(F.broadcast(some), "doc_id").select("quality", "text", "doc_id"), ["quality", "doc_id"]).orderBy("doc_id", "x").select("quality", "x").toPandas()
+    texts = docs.join(F.broadcast(some), "doc_id").select("quality", "text", "doc_id", F.xxhash64("text").alias("at"))
+    one = measured(texts, ["quality", "doc_id", "at"]).groupBy("doc_id").agg(F.min(F.struct("at", "x", "quality")).alias("one"))
+    rows = one.orderBy("doc_id").select("one.quality", "one.x").toPandas()  # at most `sample`
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES))
     return fit(x, rows["quality"].to_numpy(float))
 

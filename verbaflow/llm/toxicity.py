@@ -185,10 +185,13 @@ def _marking(counts: DataFrame, toxic: int, texts: int) -> list[str]:
 
 
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Of several labels of one id the greatest counts; labels without a text, and null ones, are left out."""
+    """Of several labels of one id the greatest counts, of several texts of one id the one of least hash, equal texts once;
+    labels without a text, and null ones, are left out. So at most `sample` texts are fitted on, whatever repeats."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("__toxic"))
     ids = F.broadcast(drawn(known, "doc_id", sample))
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(ids, "doc_id").select(F.xxhash64("text").alias("at"), F.col("__toxic").alias("toxic"), "text")
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(ids, "doc_id").select("doc_id", F.xxhash64("text").alias("at"), F.col("__toxic").alias("toxic"), "text")
+    least = rows.groupBy("doc_id").agg(F.min("at").alias("at"))  # at most `sample` rows
+    rows = rows.join(F.broadcast(least), ["doc_id", "at"], "left_semi").select("at", "toxic", "text")
     bags = rows.mapInArrow(tidy(_bags), "at long, toxic int, words array<string>, n array<int>")
     once = bags.groupBy("at").agg(F.max(F.struct("toxic", "words", "n")).alias("x"))
     some = materialise(once.select("at", F.pmod("at", F.lit(2)).cast("int").alias("fold"), "x.*"), "toxicity-sample")
