@@ -4,7 +4,8 @@ Rows of documents pass from stage to stage with their own columns, whatever thos
 and n_pieces, the encoded text, in place of columns of these names. Null and empty texts pass all stages and have no
 pieces. Of repeated rows one stays; rows without an id go as near copies only of a row with one. Very long texts are worked
 on whole. An empty table of documents gives no rows; without labels nothing counts as toxic, without benchmark items
-nothing is cut.
+nothing is cut. The pipeline is an application: each stage bounds the bytes of the session's Arrow batches, if they are at
+Spark's default.
 """
 
 from __future__ import annotations
@@ -13,31 +14,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbaflow.llm import decontamination, jaccard_join, secrets, sentencepiece_codec, toxicity
-from verbaflow.llm.common import materialise, table
+from verbaflow.llm.common import bound_batches, materialise, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose expected severity is below the limit; the model learns from a sample of the labelled ones among them."""
+    bound_batches(spark)
     return toxicity.accepted(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least id; groups without any id and texts without words stay."""
+    bound_batches(spark)
     return jaccard_join.deduplicated(docs)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out of texts, until none is left; documents that are little else go."""
+    bound_batches(spark)
     return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the texts; every document stays."""
+    bound_batches(spark)
     return secrets.redacted(docs, F.col("source"), F.concat_ws("/", "source", "lang"))
 
 
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with ids, the pieces of their texts, and n_pieces."""
+    bound_batches(spark)
     return sentencepiece_codec.encoded(docs, sentencepiece_codec.Pieces.load(sentencepiece_codec.model_path()))
 
 
