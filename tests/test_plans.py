@@ -21,5 +21,11 @@ def test_nothing_is_numbered_in_one_task(spark, name):
     assert "SinglePartition" not in said
 
 
+@pytest.mark.parametrize(("name", "most"), [("records_norm", 2), ("records_tag_stem", 2), ("phrases_2", 2), ("is_stop_text", 3), ("records_mecab", 5)])
+def test_lines_are_split_once(spark, name, most):
+    """One split makes tokens, one the fields of a line; of MeCab lines one each for the two separators."""
+    assert plan(spark, name).count("split(") <= most
+
+
 def test_every_query_has_its_sql():
     assert registry.QUERIES.keys() == registry.ORACLE_SQL.keys()

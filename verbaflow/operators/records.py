@@ -6,6 +6,8 @@ every operator here is a column expression without a shuffle and works on stream
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,17 +37,29 @@ def freeling_input(text: Column) -> Column:
     return F.filter(F.split(stripped(render_safe(text)), "\n"), lambda line: stripped(line) != "")
 
 
+def _once(value: Column, made: Callable[[Column], Column]) -> Column:
+    """made(value), with the value computed once however often it is used: lambdas get no common subexpressions."""
+    return F.element_at(F.transform(F.array(value), made), 1)
+
+
+def _mecab_parts(lines: Column) -> Column:
+    """Of each line the surface and the list of features, split once."""
+    halves = F.transform(lines, lambda line: F.split(line, "\t"))
+    return F.transform(halves, lambda h: F.struct(F.get(h, F.lit(0)).alias("surface"), F.split(F.get(h, F.lit(1)), ",").alias("info")))
+
+
+def _mecab_fields(parts: Column) -> Column:
+    field = {name: F.get(parts["info"], F.lit(i)) for i, name in enumerate(MECAB_FIELDS)}
+    field["root"] = F.when((parts["surface"] == "ん") & (field["conjugation"] == "不変化型"), NEGATION).otherwise(field["root"])
+    return F.struct(parts["surface"].alias("surface"), *(field[n].alias(n) for n in MECAB_FIELDS))
+
+
 def mecab_record(line: Column) -> Column:
     """struct of the surface and nine features of a line `surface<TAB>features`; missing features are null.
 
     The contracted negative ん gets the root of the full one.
     """
-    parts = F.split(line, "\t")
-    info = F.split(F.get(parts, F.lit(1)), ",")
-    field = {name: F.get(info, F.lit(i)) for i, name in enumerate(MECAB_FIELDS)}
-    surface = F.get(parts, F.lit(0))
-    field["root"] = F.when((surface == "ん") & (field["conjugation"] == "不変化型"), NEGATION).otherwise(field["root"])
-    return F.struct(surface.alias("surface"), *(field[n].alias(n) for n in MECAB_FIELDS))
+    return F.element_at(F.transform(_mecab_parts(F.array(line)), _mecab_fields), 1)
 
 
 def mecab_root(record: Column) -> Column:
@@ -69,31 +83,35 @@ def _record(surface: Column, root: Column, tag: Column, stop: Column, reading: C
 def from_mecab(lines: Column, stopwords: bool = True) -> Column:
     """Records of the lines of one text; tags of stop words begin with ~."""
 
-    def one(line: Column) -> Column:
-        r = mecab_record(line)
-        stop = mecab_stop(r, stopwords)
-        return _record(r["surface"], mecab_root(r), F.when(stop, F.concat(F.lit("~"), r["pos"])).otherwise(r["pos"]), stop, r["reading"], r["pronunciation"])
+    def told(r: Column) -> Column:
+        return F.struct(r.alias("r"), mecab_root(r).alias("root"), mecab_stop(r, stopwords).alias("stop"))
 
-    return F.transform(lines, one)
+    def one(t: Column) -> Column:
+        r = t["r"]
+        return _record(r["surface"], t["root"], F.when(t["stop"], F.concat(F.lit("~"), r["pos"])).otherwise(r["pos"]), t["stop"], r["reading"], r["pronunciation"])
+
+    return F.transform(F.transform(F.transform(_mecab_parts(lines), _mecab_fields), told), one)
+
+
+def _freeling_fields(parts: Column) -> Column:
+    return F.struct(F.get(parts, F.lit(0)).alias("form"), F.get(parts, F.lit(1)).alias("lemma"), F.get(parts, F.lit(2)).alias("tag"), F.get(parts, F.lit(3)).try_cast("double").alias("prob"))
 
 
 def freeling_record(line: Column) -> Column:
     """struct<form, lemma, tag, prob> of a line of space-separated fields."""
-    parts = F.split(line, " ")
-    return F.struct(F.get(parts, F.lit(0)).alias("form"), F.get(parts, F.lit(1)).alias("lemma"), F.get(parts, F.lit(2)).alias("tag"), F.get(parts, F.lit(3)).try_cast("double").alias("prob"))
+    return _once(F.split(line, " "), _freeling_fields)
 
 
 def from_freeling(lines: Column, lang: Column) -> Column:
     """Records of the lines of one text. Lemmas are in lower case; tags are whole for English, else their first letter;
     determiners are the stop words."""
+    none = F.lit(None).cast("string")
 
-    def one(line: Column) -> Column:
-        r = freeling_record(line)
-        tag = F.when(lang == "en", r["tag"]).otherwise(F.left(r["tag"], F.lit(1)))
-        none = F.lit(None).cast("string")
-        return _record(r["form"], F.lower(r["lemma"]), tag, r["tag"].startswith("D"), none, none)
+    def one(parts: Column) -> Column:
+        form, lemma, tag = (F.get(parts, F.lit(i)) for i in range(3))
+        return _record(form, F.lower(lemma), F.when(lang == "en", tag).otherwise(F.left(tag, F.lit(1))), tag.startswith("D"), none, none)
 
-    return F.transform(lines, one)
+    return F.transform(F.transform(lines, lambda line: F.split(line, " ")), one)
 
 
 def tokens(records: Column) -> Column:
@@ -117,8 +135,12 @@ def content(records: Column) -> Column:
 
 def normalized_list(records: Column) -> Column:
     """The roots of all but stop words, or, if there is nothing else, all tokens."""
-    found = content(records)
-    return F.when(F.size(found) > 0, F.transform(found, lambda r: F.coalesce(r["root"], r["surface"]))).otherwise(tokens(records))
+
+    def made(records: Column) -> Column:
+        roots = F.transform(content(records), lambda r: F.coalesce(r["root"], r["surface"]))
+        return _once(roots, lambda found: F.when(F.size(found) > 0, found).otherwise(tokens(records)))
+
+    return _once(records, made)
 
 
 def normalized(records: Column) -> Column:
@@ -133,7 +155,7 @@ def all_stop(records: Column) -> Column:
 def phrases(records: Column) -> Column:
     """array<struct<term, phrase>>: each content record's root and surface, and after it the pair with the next content
     record: both roots, and the surfaces from one to the other without spaces."""
-    return F.element_at(F.transform(F.array(records), _phrases), 1)  # so that records are made once, not for each element
+    return _once(records, _phrases)
 
 
 def _phrases(records: Column) -> Column:
@@ -151,7 +173,7 @@ def _phrases(records: Column) -> Column:
         pair = F.struct(F.concat(r["root"], F.lit(" "), s["root"]).alias("term"), F.array_join(F.transform(span, lambda x: x["surface"]), "").alias("phrase"))
         return F.when(j.isNull(), F.array(single)).otherwise(F.array(single, pair))
 
-    return F.element_at(F.transform(F.array(at), paired), 1)
+    return _once(at, paired)
 
 
 def kana_of(records: Column) -> Column:
