@@ -5,6 +5,9 @@ Sentence ends become a mark of their own first, because a period is a token only
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,9 +40,18 @@ def _template(text: str, sign: str) -> str:
     return text
 
 
-def tokenize(text: Column) -> Column:
-    """array<string>; an empty text has no tokens, a null one gives null."""
-    for pattern, new in RULES:
+def rules(abbreviations: Sequence[str] = ()) -> list[tuple[str, str]]:
+    """RULES, in which the periods of the given words (in lower case, without the last period) end no sentence."""
+    if not abbreviations:
+        return RULES
+    known = "|".join(sorted((re.escape(a) for a in abbreviations), key=lambda a: (-len(a), a)))
+    return [*RULES[:2], (rf"""(?i)(^|[\s\x01"'(\[])({known})\.\x01""", "{1}{2}. "), *RULES[2:]]
+
+
+def tokenize(text: Column, abbreviations: Sequence[str] = ()) -> Column:
+    """array<string>; an empty text has no tokens, a null one gives null. abbreviations: few words that a caller knows, or
+    the best of operators.sentences.abbreviations; they are part of a pattern."""
+    for pattern, new in rules(abbreviations):
         text = F.regexp_replace(text, pattern, _template(new, "$"))
     return F.filter(F.split(text, " "), lambda t: t != "")
 
