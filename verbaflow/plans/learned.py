@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lexicon import Lexicon
+from ..operators import hmm
 from ..operators import sentences as sents
-from .registry import _table, registered
+from .registry import _BASELINE, _POS, _TURNS, _stem_ctes, _table, _turns, _values, registered
 
 _BLANK = "[\\t-\\r ]"
 #: SQL: the words of all documents with what stands before them, and their counts.
@@ -63,3 +65,58 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences of every document, by the abbreviations of its language."""
     rows = sents.sentences(_documents(spark, sf_dir), "doc_id")
     return rows.select("doc_id", F.posexplode("sentences").alias("pos", "sentence"))
+
+
+_K = len(hmm.TAGS)
+_SHAPE = "CASE WHEN regexp_matches(token, '^[\\p{N}.,]*\\p{N}[\\p{N}.,]*$') THEN 'number' WHEN NOT regexp_matches(token, '[\\p{L}\\p{N}]') THEN 'mark' WHEN regexp_matches(token, '^\\p{Lu}') THEN 'capital' " + " ".join(f"WHEN ends_with(lower(token), '{e}') THEN '-{e}'" for e in hmm.ENDINGS) + " ELSE 'other' END"
+#: SQL: the words of the turns with their symbols, and the scores of the model that counts under the plain tagger make.
+_MODEL = f"""
+turns AS ({_TURNS}), tags(tag, k) AS (VALUES {_values([(t, i) for i, t in enumerate(hmm.TAGS)])}),
+flat AS MATERIALIZED (SELECT doc_id, pos, token, pos // {hmm.MOST_TOKENS} AS part, pos % {hmm.MOST_TOKENS} AS i FROM (SELECT doc_id, unnest(toks) AS token, unnest(range(len(toks))) AS pos FROM turns)),
+frequent AS MATERIALIZED (SELECT lower(token) AS low FROM flat GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT {hmm.FREQUENT}),
+said AS MATERIALIZED (
+  SELECT f.doc_id, f.part, f.i, f.pos, f.token, CASE WHEN q.low IS NOT NULL THEN '=' || q.low ELSE {_SHAPE} END AS symbol, coalesce(t.k, {hmm.TAGS.index(hmm.OTHER_TAG)}) AS k
+  FROM (SELECT *, {_BASELINE} AS plain FROM flat) f LEFT JOIN frequent q ON q.low = lower(f.token) LEFT JOIN tags t ON t.tag = f.plain
+),
+syms AS (SELECT '=' || low AS symbol FROM frequent UNION ALL SELECT * FROM (VALUES {_values([(x,) for x in hmm.SHAPES])})),
+n1 AS (SELECT k, count(*) AS n FROM said WHERE i = 0 GROUP BY k),
+n2 AS (SELECT a, b, count(*) AS n FROM (SELECT k AS b, lag(k) OVER (PARTITION BY doc_id, part ORDER BY i) AS a FROM said) WHERE a IS NOT NULL GROUP BY a, b),
+n3 AS (SELECT k, symbol, count(*) AS n FROM said GROUP BY k, symbol),
+starts AS MATERIALIZED (SELECT t.k, CAST(floor(1000 * ln((coalesce(n, 0) + 1) / ((SELECT sum(n) FROM n1) + {_K})) + 0.5) AS INTEGER) AS s FROM tags t LEFT JOIN n1 USING (k)),
+moves AS MATERIALIZED (SELECT x.k AS a, y.k AS b, CAST(floor(1000 * ln((coalesce(n, 0) + 1) / (coalesce(sum(n) OVER (PARTITION BY x.k), 0) + {_K})) + 0.5) AS INTEGER) AS s FROM tags x CROSS JOIN tags y LEFT JOIN n2 ON n2.a = x.k AND n2.b = y.k),
+emits AS MATERIALIZED (SELECT t.k, y.symbol, CAST(floor(1000 * ln((coalesce(n, 0) + 1) / (coalesce(sum(n) OVER (PARTITION BY t.k), 0) + (SELECT count(*) FROM syms))) + 0.5) AS INTEGER) AS s FROM tags t CROSS JOIN syms y LEFT JOIN n3 ON n3.k = t.k AND n3.symbol = y.symbol),
+paths AS (
+  SELECT o.doc_id, o.part, 0 AS i, t.k, t.s + e.s AS score, [t.k] AS path FROM said o JOIN starts t ON o.i = 0 JOIN emits e ON e.k = t.k AND e.symbol = o.symbol
+  UNION ALL
+  SELECT p.doc_id, p.part, p.i + 1, m.b, max(p.score + m.s) + any_value(e.s), list_append(arg_max(p.path, (p.score + m.s) * {_K} - p.k), m.b)
+  FROM paths p JOIN said o ON o.doc_id = p.doc_id AND o.part = p.part AND o.i = p.i + 1 JOIN moves m ON m.a = p.k JOIN emits e ON e.k = m.b AND e.symbol = o.symbol GROUP BY p.doc_id, p.part, p.i, m.b
+),
+ends AS (SELECT doc_id, part, max(i) AS i FROM paths GROUP BY doc_id, part),
+walks AS (SELECT p.doc_id, p.part, arg_max(p.path, p.score * {_K} - p.k) AS path FROM paths p JOIN ends e ON e.doc_id = p.doc_id AND e.part = p.part AND e.i = p.i GROUP BY p.doc_id, p.part),
+decoded AS MATERIALIZED (SELECT o.doc_id, o.pos, o.token, t.tag FROM said o JOIN walks b ON b.doc_id = o.doc_id AND b.part = o.part JOIN tags t ON t.k = b.path[o.i + 1])"""
+
+
+def _counted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, hmm.Hmm]:
+    rows = hmm.sequences(_turns(spark, sf_dir))
+    return rows, hmm.counted(rows, hmm.frequent_words(rows.select(F.explode("tokens").alias("token"))))
+
+
+@registered(f"""
+WITH RECURSIVE {_MODEL}, spoken AS (SELECT *, {_POS.format(tag="tag")} AS sort FROM (SELECT *, lower(token) AS low FROM decoded)), {_stem_ctes("SELECT low, sort AS pos FROM spoken")}
+SELECT f.doc_id, CAST(f.pos AS INTEGER) AS pos, s.stem, f.tag, f.token FROM spoken f JOIN stemmed s ON s.low = f.low AND s.pos IS NOT DISTINCT FROM f.sort""")
+def tag_hmm_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations tagged by the hidden Markov model of the counts under the plain tagger, with stems."""
+    _, model = _counted(spark, sf_dir)
+    return hmm.tag_and_stem(_turns(spark, sf_dir), model, Lexicon.seed(spark))
+
+
+#: Rounds of expectation-maximisation of the registered query.
+ROUNDS = 4
+
+
+@registered()
+def tag_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after ROUNDS rounds of expectation-maximisation over all conversations: iterative, so without SQL."""
+    rows, model = _counted(spark, sf_dir)
+    model, _ = hmm.fitted(hmm.symbol_ids(rows, model.frequent), model, ROUNDS)
+    return hmm.tag_and_stem(_turns(spark, sf_dir), model, Lexicon.seed(spark))
