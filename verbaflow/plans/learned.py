@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lexicon import Lexicon
-from ..operators import hmm
+from ..functions.lexicon import DETACHMENTS, Lexicon
+from ..operators import hmm, induction, stem
 from ..operators import sentences as sents
-from .registry import _BASELINE, _POS, _TURNS, _stem_ctes, _table, _turns, _values, registered
+from .registry import _BASELINE, _POS, _TURNS, TOKENS, _stem_ctes, _table, _turns, _values, _words, registered
 
 _BLANK = "[\\t-\\r ]"
 #: SQL: the words of all documents with what stands before them, and their counts.
@@ -120,3 +120,51 @@ def tag_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, model = _counted(spark, sf_dir)
     model, _ = hmm.fitted(hmm.symbol_ids(rows, model.frequent), model, ROUNDS)
     return hmm.tag_and_stem(_turns(spark, sf_dir), model, Lexicon.seed(spark))
+
+
+#: SQL: the words of each language, their splits, signatures and lemmas.
+_LEXICON = f"""
+types AS MATERIALIZED (SELECT DISTINCT lang, lower(token) AS word FROM (SELECT lang, unnest(toks) AS token FROM ({TOKENS})) WHERE regexp_matches(lower(token), '^\\p{{L}}+$')),
+cuts AS MATERIALIZED (SELECT lang, left(word, length(word) - k) AS stem, right(word, k) AS suffix FROM (SELECT lang, word, unnest(range(least({induction.MOST_SUFFIX}, length(word) - {induction.LEAST_STEM}) + 1)) AS k FROM types)),
+common AS (SELECT lang, suffix FROM (SELECT lang, suffix, count(*) AS n FROM cuts WHERE suffix <> '' GROUP BY lang, suffix) JOIN (SELECT lang, count(*) AS size FROM types GROUP BY lang) USING (lang) WHERE n >= size * CAST({induction.LEAST_SHARE} AS DOUBLE)),
+signed AS MATERIALIZED (
+  SELECT lang, stem, array_to_string(list_sort(list(DISTINCT CASE WHEN suffix = '' THEN '{induction.NONE}' ELSE suffix END)), '.') AS signature
+  FROM cuts c WHERE suffix = '' OR EXISTS (SELECT 1 FROM common m WHERE m.lang = c.lang AND m.suffix = c.suffix) GROUP BY lang, stem HAVING count(*) > 1
+),
+able AS (SELECT lang, signature, count(*) AS n_stems FROM signed GROUP BY lang, signature HAVING count(*) >= {induction.LEAST_STEMS}),
+good AS (SELECT s.lang, s.stem FROM signed s SEMI JOIN able a USING (lang, signature)),
+detach(p, old, new) AS (VALUES {_values(DETACHMENTS)}),
+ways AS (SELECT t.lang, d.p AS pos, d.old, left(t.word, length(t.word) - length(d.old)) AS stem, left(t.word, length(t.word) - length(d.old)) || d.new AS form FROM types t JOIN detach d ON ends_with(t.word, d.old)),
+induced AS MATERIALIZED (
+  SELECT w.lang, w.form, w.pos, count(DISTINCT w.old) AS n_forms FROM ways w SEMI JOIN good g USING (lang, stem) SEMI JOIN (SELECT lang, word AS form FROM types) x USING (lang, form)
+  GROUP BY w.lang, w.form, w.pos HAVING count(DISTINCT w.old) >= CASE w.pos {" ".join(f"WHEN '{p}' THEN {n}" for p, n in induction.LEAST_FORMS.items())} END
+)"""
+
+
+def _types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return induction.word_types(_words(spark, sf_dir, "lang"))
+
+
+@registered(f"WITH {_LEXICON} SELECT lang, signature, n_stems FROM able")
+def suffix_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The productive sets of endings of each language, and how many stems have them."""
+    return induction.productive(induction.signatures(_types(spark, sf_dir)))
+
+
+@registered(f"WITH {_LEXICON} SELECT lang, form, pos, n_forms FROM induced")
+def lexicon_induced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the documents of a language show to be lemmas."""
+    return induction.induced(_types(spark, sf_dir))
+
+
+_ENGLISH = "SELECT form, pos AS p FROM induced WHERE lang = 'en'"
+
+
+@registered(f"""
+WITH RECURSIVE {_LEXICON}, {_stem_ctes(f"SELECT low, {_POS.format(tag='CAST(NULL AS VARCHAR)')} AS pos FROM (SELECT DISTINCT word AS low FROM types)", more=_ENGLISH)}
+SELECT low AS word, stem FROM stemmed""")
+def stem_words_induced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stem of every word, by the lemmas that the English documents show beside those of the seed."""
+    types = _types(spark, sf_dir)
+    lexicon = induction.lexicon(induction.induced(types).where("lang = 'en'"), Lexicon.seed(spark))
+    return stem.stems(types.select("word").distinct().withColumn("tag", F.lit(None).cast("string")), lexicon).select("word", "stem")

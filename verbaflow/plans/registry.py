@@ -170,10 +170,11 @@ _POS = """CASE WHEN (({tag}) IS NULL AND ends_with(low, 'ing')) OR ends_with(low
 _NO_TAG = "CAST(NULL AS VARCHAR)"
 
 
-def _stem_ctes(words: str) -> str:
-    """SQL: CTEs that end in stemmed(low, pos, stem), for a query of words (low, pos); they stand after WITH RECURSIVE."""
+def _stem_ctes(words: str, more: str = "SELECT NULL, NULL WHERE false") -> str:
+    """SQL: CTEs that end in stemmed(low, pos, stem), for a query of words (low, pos); they stand after WITH RECURSIVE. more: a
+    query of lemmas (form, p) beside those of the seed."""
     return f"""
-words AS MATERIALIZED (SELECT DISTINCT low, pos FROM ({words})), lemmas(form, p) AS (VALUES {_values(_LEMMAS)}), odd(low, p, form) AS (VALUES {_values(SEED_EXCEPTIONS)}),
+words AS MATERIALIZED (SELECT DISTINCT low, pos FROM ({words})), lemmas(form, p) AS (SELECT * FROM (VALUES {_values(_LEMMAS)}) UNION {more}), odd(low, p, form) AS (VALUES {_values(SEED_EXCEPTIONS)}),
 rules(p, old, new) AS (VALUES {_values(DETACHMENTS)}), letters(p, p_at) AS (VALUES {_values([(p, k) for k, p in enumerate(POS)])}),
 fixed(low, stem) AS (VALUES {_values(list(EXCEPTIONS.items()))}), loose(low, stem) AS (VALUES {_values(list(AMBIGUOUS_EXCEPTIONS.items()))}),
 asked AS MATERIALIZED (SELECT w.low, w.pos, l.p, l.p_at FROM words w JOIN letters l ON contains(coalesce(w.pos, 'nvar'), l.p)),
