@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import DETACHMENTS, Lexicon
-from ..operators import hmm, induction, stem
+from ..operators import hmm, identify, induction, stem
 from ..operators import sentences as sents
 from .registry import _BASELINE, _POS, _TURNS, TOKENS, _stem_ctes, _table, _turns, _values, _words, registered
 
@@ -168,3 +168,21 @@ def stem_words_induced(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = _types(spark, sf_dir)
     lexicon = induction.lexicon(induction.induced(types).where("lang = 'en'"), Lexicon.seed(spark))
     return stem.stems(types.select("word").distinct().withColumn("tag", F.lit(None).cast("string")), lexicon).select("word", "stem")
+
+
+@registered(f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, doc_id % 4 = 2 AS held_out, string_split(' ' || trim(regexp_replace(lower(text), '[^\\p{{L}}]+', ' ', 'g'), ' ') || ' ', '') AS cs FROM documents),
+grams AS MATERIALIZED (SELECT r, lang, held_out, unnest(list_transform(range(1, len(cs) - 1), lambda i: cs[i] || cs[i + 1] || cs[i + 2])) AS gram FROM d),
+counts AS MATERIALIZED (SELECT lang, gram, count(*) AS n FROM grams WHERE NOT held_out GROUP BY lang, gram),
+kept AS MATERIALIZED (SELECT gram FROM counts GROUP BY gram ORDER BY sum(n) DESC, gram LIMIT {identify.MOST_GRAMS}),
+below AS (SELECT lang, sum(n) + (SELECT count(*) FROM kept) AS below FROM counts SEMI JOIN kept USING (gram) GROUP BY lang),
+scores AS MATERIALIZED (SELECT k.gram, b.lang, CAST(floor(1000 * ln((coalesce(c.n, 0) + 1) / CAST(b.below AS DOUBLE)) + 0.5) AS INTEGER) AS score FROM kept k CROSS JOIN below b LEFT JOIN counts c ON c.gram = k.gram AND c.lang = b.lang),
+unseen AS (SELECT lang, CAST(floor(1000 * ln(1 / CAST(below AS DOUBLE)) + 0.5) AS INTEGER) AS score FROM below),
+said AS MATERIALIZED (SELECT r, gram, count(*) AS n FROM grams GROUP BY r, gram),
+sums AS (SELECT s.r, u.lang, sum(s.n) AS n_grams, sum(s.n * coalesce(x.score, u.score)) AS score FROM said s CROSS JOIN unseen u LEFT JOIN scores x ON x.gram = s.gram AND x.lang = u.lang GROUP BY s.r, u.lang),
+best AS (SELECT r, any_value(n_grams) AS n_grams, first(lang ORDER BY score DESC, lang) AS guessed, max(score) AS score FROM sums GROUP BY r)
+SELECT d.doc_id, d.lang, d.held_out, CAST(coalesce(b.n_grams, 0) AS BIGINT) AS n_grams, b.guessed, CAST(b.score AS BIGINT) AS score FROM d LEFT JOIN best b USING (r)""")
+def identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a model of three quarters of them; the others are held out."""
+    docs = _documents(spark, sf_dir).withColumn("held_out", F.col("doc_id") % 4 == 2)
+    return identify.identified(docs, identify.trained(docs.where("NOT held_out")), "doc_id", "lang", "held_out")
