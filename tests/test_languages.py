@@ -71,3 +71,77 @@ def test_remote_lemmas(spark):
 
     rows = analyzer.remote_lemmas(frame(spark, [("en", "a b"), ("en", None)]).coalesce(1), call, wait=0.01).collect()
     assert [r.lemmas for r in rows] == ["a b", None]
+
+
+def test_one_pass_for_all_processes(spark):
+    """Seven languages scan their table once; only English, which joins stems to tokens and lists to texts, scans it again."""
+    spark.range(0).selectExpr("'es' AS lang", "'x' AS text").write.mode("overwrite").saveAsTable("language_docs")
+    docs = spark.table("language_docs")
+    scans = lambda found: languages.apply(docs, found, "normalize")._jdf.queryExecution().optimizedPlan().toString().count("Relation spark_catalog.default.language_docs")
+    every = {code: languages.by_freeling(code, _STAND_INS["freeling"]) for code in freeling.LANGUAGES} | {"ja": languages.japanese(_STAND_INS["mecab"])}
+    assert scans(every) == 1
+    assert scans(every | {"en": languages.english(Lexicon.seed(spark))}) <= 6
+
+
+NUMBERED = """
+import sys, os
+count = 0
+for line in sys.stdin:
+    count += 1
+    line = line.strip()
+    if line in sys.argv[1:] and not os.path.exists(line):
+        open(line, "w").close()
+        os._exit(1)
+    print(line + " a")
+    print(line + " b\\nEND", flush=True)
+"""
+
+
+def numbered(*crashes):
+    return analyzer.Protocol((sys.executable, "-c", NUMBERED.replace("\\\\", "\\"), *crashes), "END")
+
+
+@pytest.mark.parametrize("window", [1, 3, 64])
+def test_answers_in_order_through_crashes(tmp_path, window):
+    """Processes that end amid a window of lines on their way: no answer is lost, none comes twice."""
+    lines = [str(tmp_path / f"line{i}") for i in range(200)]
+    process = analyzer.Process(numbered(lines[5], lines[6], lines[7], lines[120]), restarts=2, window=window)
+    assert process.ask_each(lines) == [[f"{x} a", f"{x} b"] for x in lines]
+    assert process.ask([]) == []
+    process.close()
+
+
+def test_a_line_that_ends_every_process_fails():
+    script = "import sys\nfor line in sys.stdin:\n    line == 'bad\\n' and sys.exit(1)\n    print('ok\\nEND', flush=True)"
+    process = analyzer.Process(analyzer.Protocol((sys.executable, "-c", script), "END", error=analyzer.MeCabError), restarts=2)
+    assert process.ask_each(["a"] * 5) == [["ok"]] * 5
+    with pytest.raises(analyzer.MeCabError):
+        process.ask_each(["a"] * 5 + ["bad"] + ["a"] * 5)
+    process.close()
+
+
+def test_lines_on_their_way_save_time():
+    """A process that answers 20 ms after each line, however many wait: together they take less than one by one."""
+    script = """
+import sys, threading, queue, time
+q = queue.Queue()
+def answer():
+    while (x := q.get()) is not None:
+        time.sleep(max(0, x[0] + 0.02 - time.monotonic()))
+        print(x[1] + "END", flush=True)
+t = threading.Thread(target=answer); t.start()
+for line in sys.stdin:
+    q.put((time.monotonic(), line))
+q.put(None)
+"""
+    import time
+
+    took = {}
+    for window in (1, 64):
+        process = analyzer.Process(analyzer.Protocol((sys.executable, "-c", script), "END"), window=window)
+        process.ask_each(["warm"])
+        began = time.monotonic()
+        assert process.ask_each([str(i) for i in range(100)]) == [[str(i)] for i in range(100)]
+        took[window] = time.monotonic() - began
+        process.close()
+    assert took[64] < took[1] / 4

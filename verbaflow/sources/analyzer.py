@@ -1,8 +1,9 @@
 """External analyzers: a process that reads lines and writes records, one for each task, started when first needed.
 
-A connector sends a text's lines, reads lines until the protocol's end mark, and hands them on as an array for
-operators.records to parse. A process that dies, or doesn't answer in time, is started again, a bounded number of times;
-after that the task fails and Spark tries it elsewhere.
+A connector sends lines, reads what comes until the protocol's end mark, and hands the answers on as an array for
+operators.records to parse. One thread writes while another reads: up to WINDOW lines are on their way at once, and answers
+belong to lines by their order. A process that dies, or doesn't answer in time, is started again and gets the lines that it has
+not answered yet; when it ends again and again at one line, the task fails and Spark tries it elsewhere.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ import subprocess
 import tempfile
 import threading
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +29,8 @@ from . import freeling as configuration
 RESTARTS = 3
 #: Seconds that an analyzer may take to answer one line.
 PATIENCE = 60.0
+#: Lines that may be unanswered at once.
+WINDOW = 64
 
 
 class ProcessError(OSError):
@@ -72,8 +75,8 @@ def freeling(lang: str, config_dir: str | None = None, command: tuple[str, ...]
 class Process:
     """One running analyzer; it starts with the first request and again after it has died or was too slow."""
 
-    def __init__(self, protocol: Protocol, restarts: int = RESTARTS):
-        self.protocol, self.restarts, self.process, self.folder = protocol, restarts, None, None
+    def __init__(self, protocol: Protocol, restarts: int = RESTARTS, window: int = WINDOW):
+        self.protocol, self.restarts, self.window, self.process, self.folder = protocol, restarts, window, None, None
 
     def _start(self) -> subprocess.Popen:
         if self.protocol.files and self.folder is None:
@@ -96,58 +99,112 @@ class Process:
             process.kill()
             process.wait()
 
-    def _ask(self, line: str) -> list[str]:
-        self.process = self.process or self._start()
-        clock = threading.Timer(self.protocol.patience, self.process.kill)
-        clock.start()
+    def _answers(self, lines: list[str], done: list[list[str]]) -> None:
+        """Adds the answers to lines to done, one after the other."""
+        process = self.process = self.process or self._start()
+        free, over, heard = threading.Semaphore(self.window), threading.Event(), [time.monotonic()]
+
+        def write() -> None:
+            with contextlib.suppress(OSError, ValueError):  # the reader sees that the process has ended
+                for line in lines:
+                    free.acquire()
+                    if over.is_set():
+                        return
+                    process.stdin.write(line.encode() + b"\n")
+                    process.stdin.flush()
+
+        def watch() -> None:
+            while not over.wait(min(1.0, self.protocol.patience / 4)):
+                if time.monotonic() - heard[0] > self.protocol.patience:
+                    process.kill()
+
+        threads = [threading.Thread(target=f, daemon=True) for f in (write, watch)]
+        for t in threads:
+            t.start()
         try:
-            self.process.stdin.write(line.encode() + b"\n")
-            self.process.stdin.flush()
-            out = []
-            while answer := self.process.stdout.readline():
-                if (answer := answer.decode().rstrip("\n")) == self.protocol.end:
-                    return out
-                out.append(answer)
-        except OSError as e:
-            raise self.protocol.error("the analyzer has ended") from e
+            for _ in lines:
+                out: list[str] = []
+                while (answer := process.stdout.readline()) and (said := answer.decode().rstrip("\n")) != self.protocol.end:
+                    out.append(said)
+                if not answer:
+                    raise self.protocol.error("reached the end of output, or waited too long for it")
+                done.append(out)
+                heard[0] = time.monotonic()
+                free.release()
+        except (OSError, ValueError) as e:
+            process.kill()  # so that the writer ends too
+            raise e if isinstance(e, ProcessError) else self.protocol.error("the analyzer has ended") from e
         finally:
-            clock.cancel()
-        raise self.protocol.error("reached the end of output, or waited too long for it")
-
-    def ask(self, lines: list[str]) -> list[str]:
-        """The answers to all lines of a text, one after the other; a restart begins the text anew."""
-        for left in range(self.restarts, -1, -1):
+            over.set()
+            free.release()
+            for t in threads:
+                t.join()
+
+    def ask_each(self, lines: list[str]) -> list[list[str]]:
+        """The answer to each line. After a restart only lines without an answer are sent, so none is lost or answered twice; the
+        number of restarts that is left counts from the last answer on."""
+        done: list[list[str]] = []
+        left = self.restarts
+        while len(done) < len(lines):
+            before = len(done)
             try:
-                return [answer for line in lines for answer in self._ask(line)]
+                self._answers(lines[before:], done)
             except ProcessError:
                 self.close()
+                left = self.restarts if len(done) > before else left
                 if not left:
                     raise
-        return []
+                left -= 1
+        return done
+
+    def ask(self, lines: list[str]) -> list[str]:
+        """The answers to all lines of a text, one after the other."""
+        return [said for answer in self.ask_each(lines) for said in answer]
 
 
 def analyzed(docs: DataFrame, protocol: Protocol, lines_column: str, into: str = "lines", restarts: int = RESTARTS) -> DataFrame:
     """docs with a further column, array<string>: the analyzer's output for the array of lines in lines_column."""
+    return analyzed_by(docs.withColumn("__by", F.lit("")), {"": protocol}, "__by", lines_column, into, restarts).drop("__by")
+
+
+def analyzed_by(docs: DataFrame, protocols: Mapping[str, Protocol], by: str, lines_column: str, into: str = "lines", restarts: int = RESTARTS) -> DataFrame:
+    """The same with an analyzer chosen by the column `by`; rows that there is none for get null. All languages go through one pass
+    of a table: a task has a process for each that its rows ask for."""
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        process = Process(protocol, restarts)
+        processes: dict[str, Process] = {}
         try:
             for batch in batches:
-                batch[into] = [None if x is None else process.ask(list(x)) for x in batch[lines_column]]
+                said: list[list[str] | None] = [None] * len(batch)
+                rows: dict[str, list[tuple[int, list[str]]]] = {}
+                for i, (which, lines) in enumerate(zip(batch[by], batch[lines_column], strict=True)):
+                    if which in protocols and lines is not None:
+                        rows.setdefault(which, []).append((i, list(lines)))
+                for which, asked in rows.items():
+                    process = processes.setdefault(which, Process(protocols[which], restarts))
+                    answers = iter(process.ask_each([line for _, lines in asked for line in lines]))
+                    for i, lines in asked:
+                        said[i] = [x for _ in lines for x in next(answers)]
+                batch[into] = said
                 yield batch
         finally:
-            process.close()
-            if process.folder:
-                process.folder.cleanup()
+            for process in processes.values():
+                process.close()
+                if process.folder:
+                    process.folder.cleanup()
 
     return docs.mapInPandas(run, schema)
 
 
+def mecab_pieces(text: Column) -> Column:
+    """The lines that a MeCab process is given: pieces that it can take."""
+    return string_pieces(mecab_input(text))
+
+
 def analyzed_by_mecab(docs: DataFrame, protocol: Protocol | None = None, text: str = "text") -> DataFrame:
     """docs with a column lines, the output for text, which is sent in pieces that the analyzer can take."""
-    pieces = docs.withColumn("__pieces", string_pieces(mecab_input(F.col(text))))
-    return analyzed(pieces, protocol or mecab(), "__pieces").drop("__pieces")
+    return analyzed(docs.withColumn("__pieces", mecab_pieces(F.col(text))), protocol or mecab(), "__pieces").drop("__pieces")
 
 
 def analyzed_by_freeling(docs: DataFrame, protocol: Protocol, text: str = "text") -> DataFrame:
