@@ -16,7 +16,7 @@ from ..functions import frequency, kana, text
 from ..functions.lexicon import AMBIGUOUS_EXCEPTIONS, DETACHMENTS, EXCEPTIONS, POS, SEED_EXCEPTIONS, SEED_LEMMAS, Lexicon
 from ..functions.tokenize import tokenize, tokenize_sql
 from ..operators import records, stem
-from ..sources import analyzer, config, freeling
+from ..sources import analyzer, config, freeling, freqlist
 from ..sources.texts import spread, stream_texts
 from ..streaming import texts as streaming
 
@@ -547,3 +547,30 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("text"))
     counts = streaming.windowed_counts(events, F.col("ts"))
     return streaming.written(counts.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")}), "stream-counts")
+
+
+def _piece_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents as files in an order that mixes texts and places, read as a stream."""
+    cut = _table(spark, sf_dir, "documents").select("doc_id", text.string_pieces(F.col("text"), PIECE).alias("ps"))
+    rows = cut.select(F.col("doc_id").alias("key"), F.size("ps").alias("pieces"), F.posexplode("ps").alias("at", "piece"))
+    rows = rows.withColumn("time", (F.lit(1_700_000_000) + F.pmod(F.xxhash64("key", "at"), F.lit(300))).cast("timestamp"))
+    path = streaming.shared_folder(spark, "pieces")
+    rows.repartition(6, F.xxhash64("key", "at", F.lit("mixed"))).write.parquet(path)
+    return stream_texts(spark, path, rows.schema, files_at_once=2)
+
+
+@registered("SELECT doc_id AS key, text, CAST(len(pieces) AS INTEGER) AS n_pieces, true AS whole FROM (SELECT doc_id, text, regexp_extract_all(text, '(?s)(?:.{1,%d}\\z|.{0,%d}[%s]|.{%d})') AS pieces FROM documents) WHERE len(pieces) > 0" % (PIECE, PIECE - 1, _BOUNDARY, PIECE))
+def stream_reassembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of all documents, joined again from a stream of their pieces that comes in mixed order."""
+    return streaming.written(streaming.reassembled(_piece_stream(spark, sf_dir)), "reassembled")
+
+
+@registered(f"WITH {_RANKED} SELECT rank, freq, word FROM listed WHERE rank <= 5000")
+def freq_list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frequency lists of all languages, written as files of lists and read again; their first 5,000 places, which the source
+    itself picks out."""
+    freqlist.register(spark)
+    path = streaming.shared_folder(spark, "lists")
+    listed = _lists(spark, sf_dir).select("rank", "freq", "word")
+    listed.write.format("freqlist").mode("append").option("path", path.removeprefix("file://")).save()
+    return spark.read.format("freqlist").option("path", path.removeprefix("file://")).load().where("rank <= 5000")

@@ -1,14 +1,17 @@
-"""Text operators on streams. All column operators of this library are stateless and work on a stream as they are; what
-needs state is counting, which is done by event-time window with a watermark."""
+"""Text operators on streams. All column operators of this library are stateless and work on a stream as they are. What needs
+state is counting, by event-time window with a watermark, and joining the pieces of a text again, by keyed state with timers."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.tokenize import tokenize
 
@@ -19,6 +22,49 @@ def windowed_counts(stream: DataFrame, time: Column, late: str = "10 minutes", w
     return rows.groupBy(F.window("at", window).alias("w"), F.lower("token").alias("word")).agg(F.count(F.lit(1)).alias("n")).select("w.start", "w.end", "word", "n")
 
 
+REASSEMBLED = "key long, text string, n_pieces int, whole boolean"
+#: Positions and pieces that have come, and how many there are in all; -1 once the text is out.
+STATE = "at array<int>, piece array<string>, pieces int"
+
+
+def reassembled(pieces: DataFrame, late: str = "10 minutes", wait: int = 600) -> DataFrame:
+    """A stream pieces(key, at, pieces, piece, time), in any order, to key, text, n_pieces, whole: the pieces of a text numbered
+    0 to pieces - 1, joined again.
+
+    What comes more than `late` behind is dropped. A text goes out when its last piece comes. One whose pieces don't all come goes out as far as it is, in order, not
+    whole, when event time is `wait` seconds beyond its latest piece; what comes for it later begins anew. Pieces that come
+    twice count once. The state of a key is its own text.
+    """
+    return pieces.withWatermark("time", late).groupBy("key").applyInPandasWithState(_joiner(wait), REASSEMBLED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _joiner(wait: int):
+    def join(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, piece, total = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], 0)
+        have = dict(zip(at, piece, strict=True))
+        told = lambda: pd.DataFrame({"key": [key[0]], "text": ["".join(have[i] for i in sorted(have))], "n_pieces": [len(have)], "whole": [len(have) == total]})
+        if state.hasTimedOut:
+            state.remove()
+            if total >= 0:
+                yield told()
+            return
+        latest = 0.0
+        for some in parts:
+            for a, p, n, t in zip(some["at"], some["piece"], some["pieces"], some["time"], strict=True):
+                latest = max(latest, t.timestamp())
+                if total >= 0:
+                    have.setdefault(int(a), p)
+                    total = int(n)
+        until = max(int((latest + wait) * 1000), state.getCurrentWatermarkMs() + 1)
+        if total >= 0 and len(have) == total:
+            yield told()
+            have, total = {}, -1  # until the timer ends, pieces that come again are known
+        state.update((list(have), list(have.values()), total))
+        state.setTimeoutTimestamp(until)
+
+    return join
+
+
 def write_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Writes all that the source has by now as Parquet, exactly once for a checkpoint, and ends."""
     return stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
