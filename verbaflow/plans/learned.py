@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import DETACHMENTS, Lexicon
-from ..operators import hmm, identify, induction, stem
+from ..functions.tokenize import tokenize
+from ..operators import guess, hmm, identify, induction, stem
 from ..operators import sentences as sents
 from .registry import _BASELINE, _POS, _TURNS, TOKENS, _stem_ctes, _table, _turns, _values, _words, registered
 
@@ -186,3 +187,35 @@ def identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, by a model of three quarters of them; the others are held out."""
     docs = _documents(spark, sf_dir).withColumn("held_out", F.col("doc_id") % 4 == 2)
     return identify.identified(docs, identify.trained(docs.where("NOT held_out")), "doc_id", "lang", "held_out")
+
+
+def _step(k: int) -> str:
+    """SQL: the tags' probabilities by endings of up to k letters."""
+    return f"""
+p{k} AS (
+  SELECT p.word, p.k, CASE WHEN s.total IS NULL OR length(p.word) < {k} THEN p.p ELSE (coalesce(c.n, 0) / s.total + weight * p.p) / (1 + weight) END AS p
+  FROM p{k - 1} p CROSS JOIN weights LEFT JOIN totals s ON s.ending = right(p.word, {k}) AND s.size = {k} LEFT JOIN endings c ON c.ending = right(p.word, {k}) AND c.size = {k} AND c.k = p.k
+),"""
+
+
+@registered(f"""
+WITH turns AS ({_TURNS}), tags(tag, k) AS (VALUES {_values([(t, i) for i, t in enumerate(hmm.TAGS)])}),
+said AS (SELECT lower(token) AS word, tag, count(*) AS n FROM (SELECT token, {_BASELINE} AS tag FROM (SELECT unnest(toks) AS token FROM turns)) WHERE regexp_matches(token, '^\\p{{L}}+$') GROUP BY ALL),
+taught AS MATERIALIZED (SELECT word, t.k, sum(n) AS n FROM said JOIN tags t USING (tag) WHERE left(md5(word), 1) NOT IN ('0', '1', '2', '3') GROUP BY ALL),
+endings AS MATERIALIZED (SELECT right(word, size) AS ending, size, k, sum(n) AS n FROM (SELECT word, k, n, unnest(range(least({guess.LONGEST}, length(word)) + 1)) AS size FROM taught) GROUP BY ALL),
+totals AS MATERIALIZED (SELECT ending, size, sum(n) AS total FROM endings GROUP BY ending, size),
+shares AS (SELECT t.k, coalesce(e.n, 0) / (SELECT total FROM totals WHERE size = 0) AS p FROM tags t LEFT JOIN endings e ON e.size = 0 AND e.k = t.k),
+weights AS (SELECT sum((p - 1 / {_K}) * (p - 1 / {_K})) / {_K - 1} AS weight FROM shares),
+asked AS (SELECT word, first(tag ORDER BY n DESC, tag) AS actual FROM said WHERE left(md5(word), 1) IN ('0', '1', '2', '3') GROUP BY word),
+p0 AS (SELECT word, k, p FROM asked CROSS JOIN shares),{"".join(_step(k) for k in range(1, guess.LONGEST + 1))}
+best AS (SELECT word, count(*) AS n_tags, first(k ORDER BY parts DESC, k) AS k, max(parts) AS parts FROM (SELECT word, k, CAST(round(p * {guess.PARTS}) AS BIGINT) AS parts FROM p{guess.LONGEST}) WHERE parts >= {int(guess.LEAST * guess.PARTS)} GROUP BY word)
+SELECT a.word, a.actual, t.tag AS guessed, CAST(round(b.parts / 1000) AS BIGINT) AS millionths, CAST(b.n_tags AS INTEGER) AS n_tags FROM asked a JOIN best b USING (word) JOIN tags t ON t.k = b.k""")
+def guess_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tags of a quarter of the conversations' words, by the endings of the others; and the tag that they have there most often."""
+    tokens = _turns(spark, sf_dir).select(F.explode(tokenize(F.col("text"))).alias("token")).where(F.col("token").rlike(r"^\p{L}+$"))
+    said = tokens.groupBy(F.lower("token").alias("word"), stem.baseline_tag(F.col("token")).alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+    held = F.left(F.md5("word"), F.lit(1)).isin("0", "1", "2", "3")
+    actual = said.where(held).groupBy("word").agg(F.min(F.struct((-F.col("n")).alias("less"), "tag")).alias("m")).select("word", F.col("m.tag").alias("actual"))
+    rows = guess.guessed(actual, guess.learned(said.where(~held)))
+    best = F.get("guesses", F.lit(0))
+    return rows.select("word", "actual", best["tag"].alias("guessed"), F.round(best["parts"] / 1000).cast("long").alias("millionths"), F.size("guesses").alias("n_tags"))
