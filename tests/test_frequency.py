@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from verbaflow.functions import frequency
+from verbaflow.sources import analyzer
 
 
 def test_lists(spark, tmp_path):
@@ -18,3 +19,30 @@ def test_lists(spark, tmp_path):
     frequency.save(words, str(tmp_path / "out"))
     frequency.save_logarithmic(words, str(tmp_path / "log"))
     assert spark.read.csv(str(tmp_path / "log"), sep="\t").where("_c0 = 'x'").first()._c1 in ("0.0", "0")
+
+
+def test_lists_translated_with_a_memory(spark, tmp_path):
+    words = spark.createDataFrame([("en", "dogs", 2.0), ("en", "dog", 3.0), ("xx", "dogs", 5.0), ("en", "odd", 1.0)], "lang string, word string, freq double")
+    asked = []
+
+    def analyze(rows):
+        some = sorted(r.word for r in rows.collect())
+        asked.append(some)
+        return rows.sparkSession.createDataFrame([(w, "dog" if w.startswith("dog") else None) for w in some], "word string, lemma string")
+
+    want = {("en", "dog", 5.0), ("xx", "dog", 5.0), ("en", "odd", 1.0)}
+    assert {tuple(r) for r in frequency.translated(words, analyze, "lang").collect()} == want
+    memory = f"{tmp_path}/memory"
+    for _ in range(2):
+        assert {tuple(r) for r in frequency.translated(words, analyze, "lang", memory=memory).collect()} == want
+    assert asked == [["dog", "dogs", "odd"]] * 2 + [[]]
+
+
+def test_words_are_asked_at_a_bounded_rate(spark):
+    import time
+
+    words = spark.createDataFrame([(f"w{i}",) for i in range(20)], "word string")
+    began = time.monotonic()
+    rows = analyzer.asked_words(words, lambda w: [w.upper() + "|x|y"], at_once=2, per_second=10).collect()
+    assert {r.word: r.lemma for r in rows} == {f"w{i}": f"W{i}|x" for i in range(20)}
+    assert time.monotonic() - began > 1.0  # the fuller of two tasks has ten words or more, at five a second

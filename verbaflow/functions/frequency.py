@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +49,27 @@ def renormalized(words: DataFrame, normalize, *keys: str) -> DataFrame:
     return words.select(*keys, normalize(F.col("word")).alias("word"), "freq").groupBy(*keys, "word").agg(F.sum("freq").alias("freq"))
 
 
+def translated(words: DataFrame, analyze: Callable[[DataFrame], DataFrame], *keys: str, memory: str | None = None) -> DataFrame:
+    """words(*keys, word, freq) with each word's lemma in its place; words of a list that get one lemma add up.
+
+    analyze makes (word, lemma) of words(word), and is asked for each distinct word once, however many lists hold it; a word
+    without an answer, or with a null one, stays as it is. memory: a folder in which answers are kept as Parquet, so that a
+    later call asks for new words only.
+    """
+    asked = words.select("word").where("word IS NOT NULL").distinct()
+    if memory is None:
+        answers = analyze(asked)
+    else:
+        spark = words.sparkSession
+        schema = "word string, lemma string"
+        with contextlib.suppress(AnalysisException):  # nothing is kept yet
+            asked = asked.join(spark.read.schema(schema).parquet(memory), "word", "left_anti")
+        analyze(asked).select("word", "lemma").write.mode("append").parquet(memory)
+        answers = spark.read.schema(schema).parquet(memory)
+    rows = words.join(answers.select("word", "lemma"), "word", "left")
+    return rows.select(*keys, F.coalesce("lemma", "word").alias("word"), "freq").groupBy(*keys, "word").agg(F.sum("freq").alias("freq"))
+
+
 def merged_lists(rows: DataFrame, key: str, mass: Column | float = MASS) -> DataFrame:
     """(word, freq) of all the lists in rows(key, word, freq), each scaled to its mass first."""
     mass = mass if isinstance(mass, Column) else F.lit(mass)

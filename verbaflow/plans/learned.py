@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import frequency
 from ..functions.lexicon import DETACHMENTS, Lexicon
 from ..functions.tokenize import tokenize
 from ..operators import guess, hmm, identify, induction, stem
 from ..operators import sentences as sents
-from .registry import _BASELINE, _POS, _TURNS, TOKENS, _stem_ctes, _table, _turns, _values, _words, registered
+from .registry import _BASELINE, _POS, _RANKED, _TURNS, _lists, TOKENS, _stem_ctes, _table, _turns, _values, _words, registered
 
 _BLANK = "[\\t-\\r ]"
 #: SQL: the words of all documents with what stands before them, and their counts.
@@ -219,3 +220,17 @@ def guess_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = guess.guessed(actual, guess.learned(said.where(~held)))
     best = F.get("guesses", F.lit(0))
     return rows.select("word", "actual", best["tag"].alias("guessed"), F.round(best["parts"] / 1000).cast("long").alias("millionths"), F.size("guesses").alias("n_tags"))
+
+
+@registered(f"""
+WITH RECURSIVE {_LEXICON}, {_RANKED}, {_stem_ctes(f"SELECT low, {_POS.format(tag='CAST(NULL AS VARCHAR)')} AS pos FROM (SELECT DISTINCT lower(word) AS low FROM listed)", more=_ENGLISH)}
+SELECT l.lang, s.stem AS word, sum(l.freq) AS freq FROM listed l JOIN stemmed s ON s.low = lower(l.word) GROUP BY l.lang, s.stem""")
+def freq_translated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists of all languages by stems, each word of all lists together asked for once."""
+    induced = induction.induced(_types(spark, sf_dir)).where("lang = 'en'")
+    lexicon = induction.lexicon(induced, Lexicon.seed(spark))
+
+    def analyze(words: DataFrame) -> DataFrame:
+        return stem.stems(words.withColumn("tag", F.lit(None).cast("string")), lexicon).select("word", F.col("stem").alias("lemma"))
+
+    return frequency.translated(_lists(spark, sf_dir), analyze, "lang")

@@ -238,3 +238,22 @@ def remote_lemmas(docs: DataFrame, call: Callable[[str], list[str]], text: str =
             yield batch
 
     return docs.mapInPandas(run, schema).withColumn(into, F.array_join(F.transform(into, lemma_without_source), " "))
+
+
+def asked_words(words: DataFrame, call: Callable[[str], list[str]], at_once: int = 4, per_second: float = 10.0, tries: int = 5, wait: float = 1.0) -> DataFrame:
+    """words(word) to word, lemma: what call, a remote analyzer's client, says of each, its parts with spaces between and without
+    their sources. `at_once` tasks ask, which together make `per_second` calls at most."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask, pause, due = with_retries(call, tries=tries, wait=wait), at_once / per_second, time.monotonic()
+        for batch in batches:
+            said = []
+            for word in batch["word"]:
+                time.sleep(max(0.0, due - time.monotonic()))
+                due = max(due, time.monotonic()) + pause
+                said.append(ask(word))
+            batch["lemma"] = said
+            yield batch
+
+    rows = words.select("word").repartition(at_once, "word").mapInPandas(run, "word string, lemma array<string>")
+    return rows.withColumn("lemma", F.array_join(F.transform("lemma", lemma_without_source), " "))
