@@ -69,3 +69,27 @@ def test_sparse_and_dense_segments_agree():
     for segment in index.segments:
         index._add(acc, q, segment)
     assert (acc == q @ x.T).all()
+
+
+def test_long_vectors_stand_apart_and_scores_are_bounded(spark, monkeypatch):
+    """One long vector widens no other block, and many narrow ones are scored for few queries at once."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(0, 1, 3).round(2).tolist()) for i in range(300)] + [(350, rng.normal(0, 1, 5000).round(2).tolist()), (351, rng.normal(0, 1, 4500).round(2).tolist())]
+    shapes = []
+    matrix, scores = t._matrix, t.Index.search
+    sizes = []
+    monkeypatch.setattr(t, "SCORES", 1000)
+    monkeypatch.setattr(t.Index, "search", lambda self, q, own, k: (sizes.append(len(q) * len(self.ids)), scores(self, q, own, k))[1])
+    monkeypatch.setattr(t, "_matrix", lambda vs, width: (shapes.append((len(vs), width)), matrix(vs, width))[1])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = t.materialise(t.vectors(df), "test-vectors")
+    search = t.searcher(5)
+    assert sorted(map(tuple, t.top_k(index, index.where(F.col("vec_id") % t.EVERY == 0)).collect())) == brute(rows)
+    # the same in this process, where what it holds can be seen
+    import pyarrow as pa
+
+    kept = [(i, r.row, r.vec_id, r.vector) for i, r in enumerate(index.where("vec_id < 300").collect())]
+    columns = lambda kind, some: [pa.array([0] * len(some), pa.int32()), pa.array([kind] * len(some), pa.int32()), *(pa.array(c) for c in zip(*[x[1:] for x in some], strict=True))]
+    names = ["ib", "kind", "row", "vec_id", "vector"]
+    list(search(iter([pa.RecordBatch.from_arrays(columns(0, kept), names=names), pa.RecordBatch.from_arrays(columns(1, kept[:60]), names=names)])))
+    assert {w for _, w in shapes} == {3} and max(sizes) <= 1000

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import materialise, table, tidy
 
 SCALE, K, EVERY = 256, 5, 50
-#: Components of one index block; queries that are scored at once.
-BLOCK, BATCH = 1 << 19, 256
+#: Components of one index block; queries that are scored at once, and their scores.
+BLOCK, BATCH, SCORES = 1 << 19, 256, 1 << 21
 #: Segments end when a batch's possible members are this share of its block, or less.
 FEW = 1 / 64
 #: A segment is added posting by posting if it fills this share of its rows or less, else row by row.
@@ -133,25 +133,28 @@ def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(a, b - a)
 
 
-def searcher(k: int, width: int):
-    """Rows sorted by block and kind, the block's vectors (kind 0) before the queries (kind 1)."""
+def searcher(k: int):
+    """Rows sorted by block and kind, the block's vectors (kind 0) before the queries (kind 1). A matrix is as wide as its block's
+    longest vector; what a query has beyond meets nothing there."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, waiting, index = None, [], None
+        block, waiting, index, width, at_once = None, [], None, 1, BATCH
         for batch in batches:
             for run in _runs(batch) if batch.num_rows else ():
                 if run.column("ib")[0].as_py() != block:
                     block, waiting, index = run.column("ib")[0].as_py(), [], None
                 if run.column("kind")[0].as_py() == 0:
-                    waiting.append((run.column("row").to_numpy(), run.column("vec_id").to_numpy(), _matrix(run.column("vector").to_pylist(), width)))
+                    waiting.append((run.column("row").to_numpy(), run.column("vec_id").to_numpy(), run.column("vector")))
+                    width = max(width if len(waiting) > 1 else 1, *(len(v) for v in run.column("vector")))
                     continue
                 if not waiting and index is None:
                     continue  # no vector is in this block
                 if index is None:
-                    rows, ids, x = (np.concatenate(c) for c in zip(*waiting, strict=True))
-                    index, waiting = Index(x, ids, rows), []
-                for low in range(0, run.num_rows, BATCH):
-                    some = run.slice(low, BATCH)
+                    rows, ids = (np.concatenate([w[c] for w in waiting]) for c in (0, 1))
+                    index, waiting = Index(np.concatenate([_matrix(w[2].to_pylist(), width) for w in waiting]), ids, rows), []
+                    at_once = max(1, min(BATCH, SCORES // len(ids)))
+                for low in range(0, run.num_rows, at_once):
+                    some = run.slice(low, at_once)
                     own, asked = some.column("row").to_numpy(), some.column("vec_id").to_numpy()
                     out: tuple[list, list, list, list] = ([], [], [], [])
                     for i, ids, scores in index.search(_matrix(some.column("vector").to_pylist(), width), own, k):
@@ -169,12 +172,18 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK)
     any order. A score beyond 64 bits counts as the nearest of LEAST and MOST. A query without candidates gives no rows, one with fewer than k gives all; an empty table on either side
     gives none. Vectors of different lengths are as if they ended in zeros. Other columns are ignored.
     """
-    n, width = index.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
-    blocks = max(1, -(-n * max(1, width or 1) // block))
-    left = index.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("ib"), F.lit(0).alias("kind"), "row", "vec_id", "vector")
+    # blocks hold vectors of one order of length, so that no long one widens the matrix of many short ones
+    order = F.ceil(F.log2(F.greatest(F.size("vector"), F.lit(1)))).cast("int")
+    blocks, own = 0, F.lit(0)
+    for r in index.groupBy(order.alias("order")).count().orderBy("order").collect():  # at most 32 rows
+        n = -(-(r["count"] << r.order) // block)
+        own = F.when(order == r.order, blocks + F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")).otherwise(own)
+        blocks += n
+    blocks = max(1, blocks)
+    left = index.select(own.alias("ib"), F.lit(0).alias("kind"), "row", "vec_id", "vector")
     right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("ib"), F.lit(1).alias("kind"), "row", "vec_id", "vector")
     sorted_rows = left.unionByName(right).repartition(blocks, "ib").sortWithinPartitions("ib", "kind")
-    found = sorted_rows.mapInArrow(searcher(k, max(1, width or 1)), "row long, query_id long, vec_id long, score long")
+    found = sorted_rows.mapInArrow(searcher(k), "row long, query_id long, vec_id long, score long")
     best = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
