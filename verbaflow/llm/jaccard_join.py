@@ -854,34 +854,51 @@ def _own_id(clashing: frozenset[int]):
     return F.when(F.col("id").isin(*clashing), other).otherwise(F.col("id"))
 
 
-#: A byte that bytes.split() doesn't take for space.
-WORDY = r"[^\x20\x09-\x0D]"
-
-
 def deduplicated(docs: DataFrame, k: int = SHINGLE, t: tuple[int, int] = (NUMERATOR, DENOMINATOR)) -> DataFrame:
     """Of each component one row: the least by doc_id, then by the text's MD5; of rows equal in both, any one.
 
     Rows without an id go if their component has a row with one; a component of such rows only keeps them all. Texts
     without words, null ones among them, stay. An empty table gives no rows; other columns pass through, whatever they
-    are called.
+    are called. Texts are joined to the rows that go, not to those that stay, so that most texts stay where they are.
     """
     # a text's MD5 tells its component, so that a row is found again by its id and its text
-    each = _with_components(docs, k, t).where("comp IS NOT NULL").groupBy("comp", "doc_id", F.unhex("key").alias("key")).agg((F.count(F.lit(1)) > 1).alias("many"))
+    each = _with_components(docs, k, t).where("comp IS NOT NULL").groupBy("comp", "doc_id", "key").agg((F.count(F.lit(1)) > 1).alias("many"))
     each = materialise(each, "jaccard-rows")
-    own, of_id, of_key, many = (unused(docs, name) for name in ("__key", "__id", "__kept", "__many"))
-    first = each.where("doc_id IS NOT NULL").groupBy("comp").agg(F.min(F.struct("doc_id", "key", "many")).alias("first"))
-    kept = materialise(first.select(F.col("first.doc_id").alias(of_id), F.col("first.key").alias(of_key), F.col("first.many").alias(many), "comp"), "jaccard-kept")
-    gone = materialise(each.where("doc_id IS NULL").join(kept, "comp").select(F.col("key").alias(own)).distinct(), "jaccard-gone")
+    own, row_id, row_key, spot = (unused(docs, name) for name in ("__key", "__id", "__gone", "__spot"))
+    first = each.where("doc_id IS NOT NULL").groupBy("comp").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    others = each.join(first, "comp").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))))
+    gone = materialise(others.select("doc_id", "key", F.lit(False).alias("many")).unionByName(each.where("many AND doc_id IS NOT NULL").select("doc_id", "key", "many")), "jaccard-gone")
     discard(each)
-    kept = kept.drop("comp")
-    rows = docs.withColumn(own, F.unhex(F.md5(F.col("text").cast("binary"))))
-    one = lambda of: rows.join(kept.where(of), (rows["doc_id"].cast("long") == kept[of_id]) & (rows[own] == kept[of_key]), "left_semi")
-    out = one(~F.col(many))
-    if not kept.where(F.col(many)).isEmpty():
-        out = out.unionByName(one(F.col(many)).dropDuplicates(["doc_id", own]))
-    out = out.unionByName(rows.where("doc_id IS NULL").join(gone, own, "left_anti").select(out.columns))
-    wordless = rows.where("doc_id IS NOT NULL").where(F.col("text").isNull() | ~F.col("text").cast("binary").cast("string").rlike(WORDY))
-    return out.unionByName(wordless).select(*docs.columns)
+    repeated = not gone.where("many").isEmpty()
+    rows = docs.withColumn(own, F.md5(F.col("text").cast("binary")))
+    of = lambda which: gone.where(which).select(F.col("doc_id").alias(row_id), F.col("key").alias(row_key))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(row_id)) & (F.col(own) == F.col(row_key))
+    if gone.limit(FEW_IDS + 1).count() <= FEW_IDS:
+        lists, touched, rest = F.broadcast, rows, None
+    else:
+        marks, bits = _filter_of(gone.select("key"))
+        marked = rows.withColumn(spot, F.coalesce(_spot(F.col(own), bits), F.lit(-1)))
+        sent = docs.sparkSession.sparkContext.broadcast(marks)
+        touched, rest = (marked.mapInArrow(tidy(_marked(sent, marked.columns.index(spot), which)), marked.schema).drop(spot) for which in (True, False))
+        lists = lambda found: found
+    out = touched.join(lists(of("NOT many")), same, "left_anti")
+    if repeated:  # those that go anyway are in both lists
+        several = lists(of("many"))
+        out = out.join(several, same, "left_anti").unionByName(out.join(several, same, "left_semi").dropDuplicates(["doc_id", own]))
+    return (out if rest is None else out.unionByName(rest)).select(*docs.columns)
+
+
+def _marked(sent, at: int, which: bool):
+    """Rows whose spot is marked in the filter, or those whose isn't; -1 is none."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.frombuffer(sent.value, np.uint8)
+        for batch in batches:
+            spot = batch.column(at).to_numpy()
+            held = (spot >= 0) & (on[spot >> 3] >> (7 - (spot & 7)) & 1).astype(bool)
+            yield batch.filter(pa.array(held == which))
+
+    return pick
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
