@@ -165,22 +165,3 @@ def test_ids_that_clash(spark):
     s = np.arange(3, dtype=np.uint64)
     first, whole = j._identity(s, frozenset())
     assert j._identity(s, frozenset({first}))[0] == int.from_bytes(whole[8:], "little", signed=True)
-
-
-@pytest.mark.parametrize("few", [100_000, 2])
-def test_rows_that_go_are_joined(spark, monkeypatch, few):
-    """By a broadcast where they are few, else behind a filter: the same rows stay, and texts that stay aren't shuffled."""
-    monkeypatch.setattr(j, "FEW_IDS", few)
-    rnd = random.Random(8)
-    rows = []
-    for i in range(40):
-        w = [f"v{rnd.randrange(500)}" for _ in range(30)]
-        rows += [(i, " ".join(w))] + [(100 + 10 * i + k, " ".join(w + ["end"] * k)) for k in range(rnd.randrange(4))] * rnd.choice([1, 1, 2])
-    rows += [(None, rows[0][1]), (None, None), (7000, None), (7000, "")]
-    found = sorted(map(tuple, j.near_duplicates(frame(spark, rows)).collect()), key=str)
-    first = {c: c for _, n, c in found if n}
-    kept = j.deduplicated(frame(spark, rows))
-    assert sorted(r.doc_id for r in kept.collect() if r.text and r.doc_id is not None) == sorted(first)
-    assert sum(not r.text for r in kept.collect()) == 3
-    plan = kept._jdf.queryExecution().executedPlan().toString()
-    assert few == 2 or "LeftAnti" in plan and "SortMergeJoin" not in plan
