@@ -397,8 +397,8 @@ def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP12_SQL = f"""
-WITH d AS (SELECT row_number() OVER () AS n, doc_id, hex(encode(coalesce(text, ''))) AS h, encode(coalesce(text, '')) AS b FROM documents),
-s AS (SELECT n, i, md5_number(array_slice(b, i + 1, i + {LEAST})) AS m FROM (SELECT n, b, unnest(range(octet_length(b) - {LEAST - 1})) AS i FROM d WHERE octet_length(b) >= {LEAST})),
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, hex(encode(coalesce(text, ''))) AS h, encode(coalesce(text, '')) AS bytes FROM documents),
+s AS (SELECT n, i, md5_number(array_slice(bytes, i + 1, i + {LEAST})) AS m FROM (SELECT n, bytes, unnest(range(octet_length(bytes) - {LEAST - 1})) AS i FROM d WHERE octet_length(bytes) >= {LEAST})),
 r AS (SELECT n, i FROM s WHERE m IN (SELECT m FROM s GROUP BY m HAVING count(*) > 1)),
 e AS (SELECT n, i, i > coalesce(lag(i) OVER (PARTITION BY n ORDER BY i) + {LEAST}, -1) AS fresh FROM r),
 g AS (SELECT n, i, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY n ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM e),
