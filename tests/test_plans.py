@@ -1,7 +1,7 @@
 import pytest
 
 from verbaflow.functions.tokenize import RULES
-from verbaflow.plans import learned, registry  # noqa: F401  both register queries
+from verbaflow.plans import learned, registry, surface  # noqa: F401  all register queries
 
 DIR = "/root/testdata/sf0.001"
 
