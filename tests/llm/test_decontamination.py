@@ -107,3 +107,25 @@ def test_automaton_holds_all_substrings():
                 state = a.next[state][x]
             assert state
     assert len(a.next) < 2 * 120
+
+
+def test_several_blocks_cut_as_one_does(spark):
+    items, docs = case(5)
+    docs += [None, "", "w1 w2 w3 " + items[2][1], *docs[:3]]
+    df, bench = frames(spark, items, docs)
+    df = df.withColumnRenamed("n_words", "__key").withColumns({"__new": F.lit("n"), "n_chars": F.length("text")})
+    one, many = (d.decontaminated(df, bench, block_words=n) for n in (10**6, 12))
+    assert one.columns == many.columns == df.columns
+    assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, many.collect()), key=str)
+    assert d.decontaminated(df.limit(0), bench, block_words=12).collect() == []
+
+
+def test_blocks_are_bounded_and_keep_every_window(spark):
+    """An item that is longer than a block is cut so that no window is lost; where it is cut, windows are found too."""
+    words = [f"w{i}" for i in range(900)] + ["x" * 3000] + [f"v{i}" for i in range(200)]
+    docs, bench = frames(spark, [(1, " ".join(words)), (2, "a b c"), (3, None)], [" ".join(words[i : i + 10]) for i in range(0, len(words) - 9, 7)] + ["q a b c", "w1 w2 w3"])
+    blocks = d.Blocks(spark, bench, 10, 200)
+    assert 1 < blocks.n and blocks._heaviest() <= 250
+    out = sorted((r.doc_id, r.n_hit, r.n_items) for r in d.contamination(docs, bench, block_words=200).collect())
+    n = len(out) - 2
+    assert out == [(i, 10, 1) for i in range(n)] + [(n, 3, 1), (n + 1, 0, 0)]

@@ -2,15 +2,18 @@
 
 The automaton is built over the words of all benchmark items. A document's words are streamed through it, keeping the
 length of the longest match that ends at each word. Where that length reaches the window, the last words are a window
-of some item; where the match ends in a whole item that is shorter than the window, so are that item's words. Items
-are kept in blocks of bounded size, one automaton each, so that no task holds more than one block's automaton at a time.
+of some item; where the match ends in a whole item that is shorter than the window, so are that item's words. A benchmark
+of more than BLOCK_WORDS words is dealt to blocks of bounded size, an automaton each. Neither the driver nor a task holds
+more than one: texts are read once for each block, and what several blocks find in a text is joined by its digest.
 Texts are matched one after the other, a long one piece by piece with the automaton's state carried on, so that a task
 holds the words of one piece only.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 import pickle
 import re
 from collections.abc import Iterable, Iterator
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import AT_ONCE, by_bytes, table, tidy
+from .common import by_bytes, discard, materialise, table, tidy, unused
 
 WINDOW = 10
 #: Words of benchmark items in one automaton.
@@ -31,8 +34,12 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 GAP = re.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]")
 #: Bytes of a text whose words are held at once, about.
 PIECE = 1 << 19
-#: Bytes of texts that wait for the next block's automaton, where there are several blocks.
-HELD = 32 << 20
+#: Bytes for which a word weighs one more.
+LONG_WORD = 32
+#: Rows without texts, or texts with hits, that are broadcast to be joined; counted before.
+FEW_ROWS = 100_000
+SUMMARY = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+SUMMARY_TYPES = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -174,24 +181,50 @@ class Automaton:
         return state, matched
 
 
-def blocks_of(spark: SparkSession, benchmark: DataFrame, window: int, block_words: int) -> list:
-    """A broadcast of each block's pickled automaton."""
-    out, block, n = [], [], 0
+def item_pieces(window: int, most: int):
+    """(item, text) to item, words (joined by spaces) and weight: whole items, or where one weighs more than `most`, pieces that
+    overlap by a word less than the window, so that each window is in one of them. A word weighs 1, a long one more."""
 
-    def close() -> None:
-        out.append(spark.sparkContext.broadcast(pickle.dumps([(i, w) for i, w in block])))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words, start = words_of(text), 0
+                weights = [1 + len(w) // LONG_WORD for w in words]
+                while start < len(words):
+                    end, weight = start, 0
+                    while end < len(words) and (weight + weights[end] <= most or end - start < window):
+                        weight += weights[end]
+                        end += 1
+                    cols = [pa.array([item], pa.string()), pa.array([b" ".join(words[start:end])], pa.binary()), pa.array([weight], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["item", "words", "weight"])
+                    start = end - window + 1 if end < len(words) else end
 
-    for row in benchmark.select("item_id", F.col("text").cast("binary").alias("text")).distinct().toLocalIterator():
-        words = words_of(bytes(row.text) if row.text is not None else None)
-        if words:
-            block.append((row.item_id, words))
-            n += len(words)
-        if n >= block_words:
-            close()
-            block, n = [], 0
-    if block:
-        close()
-    return out
+    return tidy(cut)
+
+
+class Blocks:
+    """The benchmark's items in the shared folder, dealt to blocks of bounded weight by hash; the driver holds one at a time."""
+
+    def __init__(self, spark: SparkSession, benchmark: DataFrame, window: int, block_words: int):
+        self.spark, self.window = spark, window
+        items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).distinct()
+        self.pieces = materialise(items.mapInArrow(item_pieces(window, max(block_words // 8, window)), "item string, words binary, weight long"), "benchmark-items")
+        total = self.pieces.agg(F.sum("weight")).first()[0] or 0
+        self.n = 1 if total <= block_words else math.ceil(total / (0.6 * block_words))
+        while self.n > 1 and self._heaviest() > max(1.25 * block_words, 4 * window):
+            self.n *= 2
+
+    def _block(self):
+        return F.pmod(F.xxhash64("item", "words"), F.lit(self.n))
+
+    def _heaviest(self) -> int:
+        return self.pieces.groupBy(self._block().alias("block")).agg(F.sum("weight").alias("weight")).agg(F.max("weight")).first()[0]
+
+    def sent(self, k: int):
+        """A broadcast of one block's items, and whether it has any."""
+        rows = self.pieces.where(self._block() == k).select("item", "words").toLocalIterator()
+        items = [(row.item, bytes(row.words).split(b" ")) for row in rows]
+        return self.spark.sparkContext.broadcast(pickle.dumps(items)), bool(items)
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -204,44 +237,74 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def matcher(blocks: list, window: int):
-    kept: dict = {}
-
-    def automaton(k: int) -> Automaton:
-        if kept.get("k") != k:
-            kept.clear()
-            kept["k"], kept["it"] = k, Automaton(pickle.loads(blocks[k].value), window)
-        return kept["it"]
-
-    def match(texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, int]], set[int]]]:
-        """Of each text: the number of its words, its merged hit ranges and its items."""
-        out: list = [[0, [], set()] for _ in texts]
-        if not blocks:
-            return [(sum(map(len, pieces_of(t))), [], set()) for t in texts]
-        for k in range(len(blocks)):
-            a = automaton(k)
-            for one, text in zip(out, texts, strict=True):
-                one[0], more, ids = a.hits(pieces_of(text))
-                one[1] = merged(one[1] + more) if more else one[1]
-                one[2] |= ids
-        return [tuple(one) for one in out]
+def matcher(items, window: int):
+    """A function of texts that gives of each the number of its words, its merged hit ranges and its items. items: a broadcast
+    of a block's pickled items, whose automaton is made when the first text comes."""
+    kept: list[Automaton] = []
+
+    def match(texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, int]], set]]:
+        if not kept:
+            kept.append(Automaton(pickle.loads(items.value), window))
+        found = (kept[0].hits(pieces_of(text)) for text in texts)
+        return [(n, merged(ranges), ids) for n, ranges, ids in found]
 
     return match
 
 
-def gathered(batches: Iterator[pa.RecordBatch], blocks: list) -> Iterator[pa.RecordBatch]:
-    """batches as they are for one block; for several, HELD bytes of them together, so that automata are seldom made anew."""
-    if len(blocks) <= 1:
-        yield from batches
-        return
-    kept: list[pa.RecordBatch] = []
-    for batch in batches:
-        kept.append(batch)
-        if sum(b.nbytes for b in kept) >= HELD:
-            yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
-            kept = []
-    if kept:
-        yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+def few(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast if they are FEW_ROWS or fewer."""
+    return F.broadcast(rows) if rows.limit(FEW_ROWS + 1).count() <= FEW_ROWS else rows
+
+
+def digest(text):
+    """What stands for a text where rows of several blocks meet."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def hits_of_all(texts: DataFrame, blocks: Blocks) -> DataFrame:
+    """texts(key, text) to key, ranges (first, end, first, end, ...) and items of each text with hits, which are those in any of
+    several blocks. Texts are read once for each block; only hits are written."""
+
+    def hit(items):
+        match = matcher(items, blocks.window)
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for some in by_bytes(batch, 1):
+                    found = match(some.column(1).to_pylist())
+                    at = [i for i, (_, ranges, _) in enumerate(found) if ranges]
+                    ranges = [[x for r in found[i][1] for x in r] for i in at]
+                    items = [sorted(found[i][2], key=str) for i in at]
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(at, pa.int64())), pa.array(ranges, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=["key", "ranges", "items"])
+
+        return tidy(find)
+
+    parts = []
+    for k in range(blocks.n):
+        items, some = blocks.sent(k)
+        if some:
+            parts.append(materialise(texts.mapInArrow(hit(items), "key binary, ranges array<long>, items array<string>"), "benchmark-hits"))
+        items.unpersist()
+    all_of = lambda c: F.flatten(F.collect_set(c)).alias(c)
+    found = materialise(functools.reduce(DataFrame.unionByName, parts).groupBy("key").agg(all_of("ranges"), all_of("items")), "benchmark-found")
+    discard(*parts)
+    return found
+
+
+def _pairs(flat: list[int]) -> list[tuple[int, int]]:
+    return merged(list(zip(flat[::2], flat[1::2], strict=True)))
+
+
+def _summary(n: int, ranges: list[tuple[int, int]], items: set) -> tuple:
+    ids = ",".join(sorted(str(i) for i in items if i is not None))
+    n_hit = sum(b - a for a, b in ranges)
+    return n, n_hit, len(items), hashlib.sha256(ids.encode()).hexdigest(), n_hit > 0
+
+
+def _summaries(first: pa.Array, of: list[tuple], name: str) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+    cols = [pa.array([s[i] for s in of], kind) for i, kind in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays([first, *cols], names=[name, *SUMMARY])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -252,23 +315,40 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     count as one in n_items, as in OP9_SQL, but items_sha256 has no id of theirs. Repeated rows and null ids
     are kept. An empty table on either side gives no rows, or rows without hits. Other columns are ignored.
     """
-    blocks = blocks_of(docs.sparkSession, benchmark, window, block_words)
-    match, most = matcher(blocks, window), HELD if len(blocks) > 1 else AT_ONCE
+    blocks = Blocks(docs.sparkSession, benchmark, window, block_words)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    if blocks.n > 1:
+        return _by_several(rows, blocks)
+    match = matcher(blocks.sent(0)[0], window)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, blocks):
-            for some in by_bytes(batch, 1, most):
-                found = match(some.column(1).to_pylist())
-                n_hit = [sum(b - a for a, b in ranges) for _, ranges, _ in found]
-                digests = [hashlib.sha256(",".join(sorted(str(i) for i in items if i is not None)).encode()).hexdigest() for _, _, items in found]
-                cols = [[n for n, _, _ in found], n_hit, [len(i) for _, _, i in found]]
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0), *(pa.array(c, pa.int64()) for c in cols), pa.array(digests, pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_())],
-                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-                )
+        for batch in batches:
+            for some in by_bytes(batch, 1):
+                yield _summaries(some.column(0), [_summary(*found) for found in match(some.column(1).to_pylist())], "doc_id")
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(tidy(count), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return rows.mapInArrow(tidy(count), f"doc_id long, {SUMMARY_TYPES}")
+
+
+def _by_several(rows: DataFrame, blocks: Blocks) -> DataFrame:
+    """contamination by several blocks: each row's number of words, joined to what its text's hits come to."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in by_bytes(batch, 1):
+                n = [sum(map(len, pieces_of(t))) for t in some.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), some.column(2)], names=["doc_id", "n_words", "key"])
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            yield _summaries(batch.column(0), [_summary(0, _pairs(ranges), set(items)) for ranges, items in of], "key")
+
+    keyed = rows.withColumn("key", digest(F.col("text")))
+    found = hits_of_all(keyed.where("text IS NOT NULL").select("key", "text"), blocks)
+    sums = few(found.mapInArrow(tidy(sum_up), f"key binary, {SUMMARY_TYPES}").drop("n_words"))
+    none = dict(zip(SUMMARY, _summary(0, [], set()), strict=True))
+    out = keyed.mapInArrow(tidy(count), "doc_id long, n_words long, key binary").join(sums, "key", "left")
+    return out.select("doc_id", "n_words", *(F.coalesce(c, F.lit(none[c])).alias(c) for c in SUMMARY[1:]))
 
 
 def cleaned_text(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
@@ -293,13 +373,15 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     are kept as they are, but for text and, where there is one, n_chars, which follows the text. Documents without hits,
     null and empty texts among them, are unchanged. Null ids and repeated rows are kept.
     """
-    blocks = blocks_of(docs.sparkSession, benchmark, window, block_words)
-    match, most = matcher(blocks, window), HELD if len(blocks) > 1 else AT_ONCE
+    blocks = Blocks(docs.sparkSession, benchmark, window, block_words)
+    if blocks.n > 1:
+        return _counted_again(docs, _cut_by_several(docs, blocks, coverage))
+    match = matcher(blocks.sent(0)[0], window)
     at = docs.columns.index("text")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, blocks):
-            for some in by_bytes(batch, at, most):
+        for batch in batches:
+            for some in by_bytes(batch, at):
                 texts = some.column(at).cast(pa.binary()).to_pylist()
                 found = match(texts)
                 keep = [not r or sum(b - a for a, b in r) < coverage * n for n, r, _ in found]
@@ -315,10 +397,56 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                 column = pa.array(texts, pa.binary()).cast(some.schema.field(at).type)
                 yield some.set_column(at, some.schema.field(at), column).filter(pa.array(keep, pa.bool_()))
 
-    out = docs.mapInArrow(tidy(clean), docs.schema)
+    return _counted_again(docs, docs.mapInArrow(tidy(clean), docs.schema))
+
+
+def _counted_again(docs: DataFrame, out: DataFrame) -> DataFrame:
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars")) if "n_chars" in docs.columns else out
 
 
+def _cutter(coverage: float | None):
+    """(key, text, ranges) to key and the text without ranges, or null for one of which they are `coverage` or more."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in by_bytes(batch, 1):
+                left = []
+                for text, flat in zip(some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True):
+                    ranges = _pairs(flat)
+                    goes = coverage is not None and sum(b - a for a, b in ranges) >= coverage * sum(map(len, pieces_of(text)))
+                    left.append(None if goes else cleaned_text(text, ranges))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(left, pa.binary())], names=["key", "text"])
+
+    return tidy(cut)
+
+
+def _cut_by_several(docs: DataFrame, blocks: Blocks, coverage: float) -> DataFrame:
+    """decontaminated by several blocks: the texts with hits are cut in rounds, one of each, and joined to their rows. Where
+    more than FEW_ROWS texts have hits, whole rows are shuffled for that."""
+    own, of, new = (unused(docs, name) for name in ("__key", "__of", "__new"))
+    texts = docs.where("text IS NOT NULL").select(digest(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text"))
+    changed: DataFrame | None = None
+    while True:
+        hits = hits_of_all(texts, blocks)
+        if hits.isEmpty():
+            break
+        # a text's key stays the one that it had first
+        some = texts.join(few(hits.select("key")), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+        cut = some.join(hits, "key").select("key", "text", "ranges")
+        cut = materialise(cut.mapInArrow(_cutter(coverage if changed is None else None), "key binary, text binary"), "benchmark-cut")
+        discard(hits)
+        changed = cut if changed is None else materialise(changed.join(cut.select("key"), "key", "left_anti").unionByName(cut), "benchmark-cut")
+        texts = cut.where("text IS NOT NULL")
+    if changed is None:
+        return docs
+    keyed = docs.withColumn(own, digest(F.col("text")))
+    keys = few(changed.select(F.col("key").alias(of)))
+    kept = keyed.join(keys, keyed[own] == keys[of], "left_anti")
+    left = changed.where("text IS NOT NULL").select(F.col("key").alias(of), F.col("text").cast(docs.schema["text"].dataType).alias(new))
+    again = keyed.join(keys, keyed[own] == keys[of], "left_semi").join(left, F.col(own) == F.col(of)).withColumn("text", F.col(new))
+    return kept.select(docs.columns).unionByName(again.select(docs.columns))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
