@@ -106,3 +106,28 @@ def test_long_texts_go_on_in_new_sequences(spark):
     m = hmm.counted(hmm.sequences(docs), ["word"])
     rows = hmm.tagged(docs, m).agg(F.count("*").alias("n"), F.countDistinct("pos").alias("p"), F.max("pos").alias("m")).first()
     assert (rows.n, rows.p, rows.m) == (2500, 2500, 2499)
+
+
+def test_long_sequences_are_decoded_like_by_a_plain_walk():
+    m, r = model(7), np.random.default_rng(8)
+    seqs = [r.integers(0, m.emission.shape[1], n) for n in (1, 1000, 0, 37, 300, *[5] * 300)]
+    start, move, word = (np.array(x) for x in m.scores())
+    move, word = move.reshape(3, 3), word.reshape(-1, 3)
+    for seq, got in zip(seqs, hmm.best_paths(m.scores(), 3, seqs), strict=True):
+        score, back = start + word[seq[0]] if len(seq) else start, []
+        for s in seq[1:]:
+            every = score[:, None] + move
+            back.append(every.argmax(0))
+            score = every.max(0) + word[s]
+        path = [score.argmax()] if len(seq) else []
+        for b in reversed(back):
+            path.insert(0, b[path[0]])
+        assert got.tolist() == path
+
+
+def test_texts_are_tokenized_and_decoded_before_stems_are_joined(spark):
+    docs = spark.createDataFrame([(1, "The dogs ran. It's big.")], "doc_id long, text string")
+    made = hmm.tag_and_stem(docs, hmm.counted(hmm.sequences(docs), ["the"]), Lexicon.seed(spark))
+    said = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in said and "ArrowEvalPython" not in said
+    assert made.count() == 8

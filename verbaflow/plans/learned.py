@@ -99,7 +99,7 @@ decoded AS MATERIALIZED (SELECT o.doc_id, o.pos, o.token, t.tag FROM said o JOIN
 
 
 def _counted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, hmm.Hmm]:
-    rows = hmm.sequences(_turns(spark, sf_dir))
+    rows = hmm.kept(hmm.sequences(_turns(spark, sf_dir)), "sequences")
     return rows, hmm.counted(rows, hmm.frequent_words(rows.select(F.explode("tokens").alias("token"))))
 
 
@@ -120,7 +120,7 @@ ROUNDS = 4
 def tag_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same after ROUNDS rounds of expectation-maximisation over all conversations: iterative, so without SQL."""
     rows, model = _counted(spark, sf_dir)
-    model, _ = hmm.fitted(hmm.symbol_ids(rows, model.frequent), model, ROUNDS)
+    model, _ = hmm.fitted(hmm.kept(hmm.symbol_ids(rows, model.frequent).select("symbols"), "symbols"), model, ROUNDS)
     return hmm.tag_and_stem(_turns(spark, sf_dir), model, Lexicon.seed(spark))
 
 
