@@ -91,3 +91,17 @@ def test_render_safe(spark):
 @pytest.mark.parametrize(("topic", "name", "sense"), [("Foo_(bar_)", "Foo", "n/bar"), ("Foo (bar) baz", "Foo", "n/bar"), ("(bar)", "(bar)", None), ("Foo_bar", "Foo bar", None)])
 def test_topic(spark, topic, name, sense):
     assert tuple(one(spark, topic, text.topic_parts)) == (name, sense)
+
+
+def test_rules_go_over_texts_that_need_them(spark):
+    """Texts with and without what a rule is about have the tokens that all rules in turn give."""
+    from verbaflow.functions import tokenize as t
+
+    assert len(t.NEEDS) == len(t.RULES)
+    texts = ["Plain words, here: two. Then 3.5, and 1,000.", " a\n\tb. C", ". A", ",", "a,, 5:", "x,,,5", "(\"It's\" he said...", "CaNNot stop!", "a.\x01b.", "50% -- [Dr. Who]", "e.  ", "end.\x85", "", "It's,\nn't n't.", "été. Émile", None]
+    whole = F.col("text")
+    for pattern, new in t.RULES:
+        whole = F.regexp_replace(whole, pattern, t._template(new, "$"))
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").select("text", t.tokenize(F.col("text")).alias("got"), F.filter(F.split(whole, " "), lambda x: x != "").alias("want"))
+    for r in rows.collect():
+        assert r.got == r.want, r.text
