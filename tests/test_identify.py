@@ -49,3 +49,15 @@ def test_held_out_accuracy(spark):
 
     rows = learned.identify_language(spark, "/root/testdata/sf0.01").where("held_out").collect()
     assert len(rows) > 200 and sum(r.guessed == r.lang for r in rows) / len(rows) > 0.98
+
+
+def test_trigrams_are_no_rows(spark, monkeypatch):
+    monkeypatch.setattr(identify, "AT_ONCE", 40)
+    monkeypatch.setattr(identify, "HELD", 5)
+    docs = spark.createDataFrame(ROWS + [("en", None), ("en", "")], "lang string, text string")
+    counts = identify.counted(docs)
+    want = Counter((lang, g) for lang, t in ROWS for g in cut(t))
+    assert {(r.lang, r.gram): r.n for r in counts.collect()} == want
+    made = identify.identified(docs, identify.trained(docs), "lang")
+    assert "Generate" not in counts._jdf.queryExecution().toString() + made._jdf.queryExecution().toString()
+    assert all(r.guessed == r.lang for r in made.where("n_grams > 0").collect())
