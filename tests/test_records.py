@@ -142,3 +142,9 @@ def test_stream(spark, tmp_path):
     done = streaming.write_available(stream.select("text"), str(tmp_path / "out"), str(tmp_path / "ck"))
     done.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_marks_are_told_once(spark):
+    rows = spark.createDataFrame([([("a", "b", "NN", False, None, None), ("!", "x", "NN", False, None, None)],)], f"r {records.RECORDS}").select(records.triples(F.col("r")).alias("t"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 1
+    assert [tuple(t) for t in rows.first().t] == [("b", "NN", "a"), ("!", ".", "!")]

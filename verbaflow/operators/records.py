@@ -123,8 +123,8 @@ def triples(records: Column) -> Column:
     """array<struct<stem, tag, token>>; punctuation is its own stem, tagged with a period; empty tokens are left out."""
 
     def one(r: Column) -> Column:
-        mark = is_punctuation(r["surface"])
-        return F.struct(F.when(mark, r["surface"]).otherwise(r["root"]).alias("stem"), F.when(mark, ".").otherwise(r["tag"]).alias("tag"), r["surface"].alias("token"))
+        said = lambda stem, tag: F.struct(stem.alias("stem"), tag.alias("tag"), r["surface"].alias("token"))
+        return F.when(is_punctuation(r["surface"]), said(r["surface"], F.lit("."))).otherwise(said(r["root"], r["tag"]))
 
     return F.transform(F.filter(records, lambda r: r["surface"] != ""), one)
 
