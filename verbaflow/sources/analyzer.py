@@ -31,6 +31,8 @@ RESTARTS = 3
 PATIENCE = 60.0
 #: Lines that may be unanswered at once.
 WINDOW = 64
+#: Rows whose answers a task holds at once.
+AT_ONCE = 256
 
 
 class ProcessError(OSError):
@@ -175,7 +177,7 @@ def analyzed_by(docs: DataFrame, protocols: Mapping[str, Protocol], by: str, lin
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         processes: dict[str, Process] = {}
         try:
-            for batch in batches:
+            for batch in (some.iloc[low : low + AT_ONCE].copy() for some in batches for low in range(0, len(some), AT_ONCE)):
                 said: list[list[str] | None] = [None] * len(batch)
                 rows: dict[str, list[tuple[int, list[str]]]] = {}
                 for i, (which, lines) in enumerate(zip(batch[by], batch[lines_column], strict=True)):
