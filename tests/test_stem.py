@@ -13,6 +13,12 @@ def docs(spark, *texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
 
+def test_the_seed_is_sent_to_the_words(spark, lexicon):
+    """Spark knows that it is small, so that candidates are not shuffled to meet it."""
+    for table in (lexicon.lemmas, lexicon.exceptions):
+        assert int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 100_000
+
+
 def test_badness(spark):
     from pyspark.sql import functions as F
 
