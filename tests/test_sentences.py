@@ -76,3 +76,13 @@ def test_plans(spark, docs):
     words = s.word_statistics(docs)
     said = words._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in said and "Window" not in said
+    cut = s.sentences(docs, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert cut.count("LogicalRDD") <= 2  # once for the ends, once for what is cut there; words are counted before
+
+
+def test_words_begin_sentences_by_what_stands_before_them(spark):
+    """Blanks of all kinds, at the ends too; the first word of a text begins one."""
+    texts = ["\n Ab said.\t\x0bHe (so)! \"Yes.\") Ab He\r\n", "Ab ... He .) x", "He", " ", None, "x.He He"]
+    rows = s.word_statistics(spark.createDataFrame([("en", t) for t in texts], "lang string, text string")).collect()
+    assert {r.form: (r.n, r.n_period, r.n_lower, r.n_upper_inside) for r in rows} == {
+        "ab": (3, 0, 0, 0), "said": (1, 1, 1, 0), "he": (5, 0, 0, 2), "so": (1, 0, 1, 0), "yes": (1, 1, 0, 0), "x": (1, 0, 1, 0), "x.he": (1, 0, 1, 0)}

@@ -13,7 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .hmm import kept
+
 BLANK = r"[\t-\r ]"
+BLANKS = "\t\n\x0b\f\r "
 #: Where a sentence may end: what ends it, the gap, and what the next one begins with.
 CANDIDATE = rf"""([.!?]["')\]]*)({BLANK}+)(["'(\[]*\p{{Lu}})"""
 #: Kept out of texts; it marks candidate ends.
@@ -36,16 +39,19 @@ def _form(core: Column) -> Column:
 def word_statistics(texts: DataFrame) -> DataFrame:
     """texts(lang, text) to lang, form, n, n_period, n_lower, n_upper_inside: how often a word in lower case occurs, with a
     period, in lower case, and with a capital where no sentence begins. Null texts have no words."""
-    words = F.filter(F.split("text", f"{BLANK}+"), lambda w: w != "")
-    each = F.transform(F.array(words), lambda ws: F.transform(ws, lambda w, i: F.struct(_core(w).alias("core"), F.get(ws, i - 1).alias("before"))))
-    rows = texts.select("lang", F.explode(F.element_at(each, 1)).alias("w")).select("lang", "w.core", "w.before")
-    number = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    # a line feed, which blanks no longer are, stands before a word that may begin a sentence: words are told apart by it
+    # too, counted as they stand, and looked at once each
+    plain = F.ltrim(F.translate("text", BLANKS, " " * len(BLANKS)))
+    begun = F.regexp_replace(F.concat(F.lit("\n"), plain), rf"""{ENDED.removesuffix("$")} +""", "$0\n")
+    rows = texts.select("lang", F.explode(F.split(begun, " ")).alias("w")).where(F.col("w") != "")
+    rows = rows.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")).select("lang", "w", "n", _core(F.col("w")).alias("core"))
+    number = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     core = F.col("core")
     return rows.where(core != "").groupBy("lang", _form(core).alias("form")).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.sum("n").alias("n"),
         number(core.endswith(".")).alias("n_period"),
         number(core.rlike(r"^\p{Ll}")).alias("n_lower"),
-        number(core.rlike(r"^\p{Lu}") & ~F.col("before").rlike(ENDED)).alias("n_upper_inside"),
+        number(core.rlike(r"^\p{Lu}") & ~F.col("w").startswith("\n")).alias("n_upper_inside"),
     )
 
 
@@ -73,14 +79,15 @@ def candidates(text: Column) -> Column:
 
 def false_ends(docs: DataFrame, key: str, words: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """docs(key, lang, text) to key, at: the candidate ends, counted from 0, that end no sentence. Only those after words with
-    a period leave the texts, and of them only abbreviations and initials go further."""
-    parts = candidates(F.col("text"))
-    last = lambda p: _core(F.regexp_extract(p, rf"([^\t-\r ]+){BLANK}*$", 1))
-    first = lambda p: _form(_core(F.regexp_extract(p, rf"^{BLANK}*([^\t-\r ]+)", 1)))
-    ends = F.transform(F.array(parts), lambda ps: F.transform(F.slice(ps, 1, F.size(ps) - 1), lambda p, i: F.struct(i.alias("at"), last(p).alias("last"), first(F.get(ps, i + 1)).alias("next"))))
-    rows = docs.select(F.col(key).alias("key"), "lang", F.explode(F.filter(F.element_at(ends, 1), lambda e: e["last"].endswith("."))).alias("e"))
-    rows = rows.select("key", "lang", "e.at", _form(F.col("e.last")).alias("form"), F.col("e.last").rlike(r"^\p{Lu}\.$").alias("initial"), F.col("e.next").alias("next"))
-    known = abbreviations(words, least).select("lang", "form", F.lit(True).alias("known"))
+    a period leave the texts, and of them only abbreviations and initials go further. Abbreviations are kept, so that Spark
+    knows their size and sends a short list of them to the ends."""
+    parts = candidates(F.translate("text", BLANKS, " " * len(BLANKS)))
+    # a part ends in what ends it, and its gap is the next one's
+    ends = F.transform(F.array(parts), lambda ps: F.transform(F.slice(ps, 1, F.size(ps) - 1), lambda p, i: F.struct(i.alias("at"), F.substring_index(p, " ", -1).alias("last"), F.get(ps, i + 1).alias("after"))))
+    rows = docs.select(F.col(key).alias("key"), "lang", F.explode(F.filter(F.element_at(ends, 1), lambda e: F.contains(e["last"], F.lit(".")))).alias("e"))
+    rows = rows.select("key", "lang", "e.at", _core(F.col("e.last")).alias("last"), F.substring_index(F.ltrim("e.after"), " ", 1).alias("after")).where(F.col("last").endswith("."))
+    rows = rows.select("key", "lang", "at", _form(F.col("last")).alias("form"), F.col("last").rlike(r"^\p{Lu}\.$").alias("initial"), _form(_core(F.col("after"))).alias("next"))
+    known = kept(abbreviations(words, least).select("lang", "form"), "abbreviations").withColumn("known", F.lit(True))
     short = rows.join(known, ["lang", "form"], "left").where("known OR initial").select("key", "lang", "at", F.col("next").alias("form"))
     return short.join(starters(words), ["lang", "form"], "left_anti").select("key", "at")
 
@@ -91,10 +98,10 @@ def sentences(docs: DataFrame, key: str, words: DataFrame | None = None, into: s
     words: word_statistics of texts to learn from, those of docs by default. Keys tell rows apart; rows with a null key or
     language are cut at every candidate. A null text gives null, an empty one no sentences.
     """
-    words = word_statistics(docs) if words is None else words
+    words = kept(word_statistics(docs) if words is None else words, "words")  # they are read three times
     false = false_ends(docs.where(F.col(key).isNotNull()), key, words, least).groupBy(F.col("key").alias("__key")).agg(F.collect_set("at").alias("__false"))
     joined = docs.join(false, docs[key] == false["__key"], "left")
-    holds = F.coalesce(F.col("__false"), F.array().cast("array<int>"))
-    ended = F.transform(candidates(F.col("text")), lambda p, i: F.when((i == 0) | F.array_contains(holds, i - 1), p).otherwise(F.concat(F.lit(MARK), p)))
-    cut = F.transform(F.split(F.array_join(ended, ""), MARK), lambda s: F.regexp_replace(s, f"^{BLANK}+|{BLANK}+$", ""))
+    ended = F.transform(candidates(F.col("text")), lambda p, i: F.when((i == 0) | F.array_contains("__false", i - 1), p).otherwise(F.concat(F.lit(MARK), p)))
+    cut = F.when(F.col("__false").isNull(), candidates(F.col("text"))).otherwise(F.split(F.array_join(ended, ""), MARK))
+    cut = F.transform(cut, lambda s: F.trim(s, F.lit(BLANKS)))
     return joined.withColumn(into, F.filter(cut, lambda s: s != "")).drop("__key", "__false")
