@@ -42,7 +42,7 @@ def word_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(f"WITH {_WORDS} SELECT lang, form, n, n_period, CAST(round(score * 100) AS BIGINT) AS score FROM known WHERE score >= {sents.LEAST_SCORE}")
 def abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words whose periods end no sentence, as the documents of each language show; the score in hundredths."""
-    found = sents.abbreviations(sents.word_statistics(_documents(spark, sf_dir)))
+    found = sents.abbreviations(hmm.kept(sents.word_statistics(_documents(spark, sf_dir)), "words"))
     return found.withColumn("score", F.round(F.col("score") * 100).cast("long"))
 
 
