@@ -21,6 +21,12 @@ def test_nothing_is_numbered_in_one_task(spark, name):
     assert "SinglePartition" not in said
 
 
+@pytest.mark.parametrize("name", ["stem_words_induced", "freq_translated", "suffix_signatures", "word_frequencies", "stem_words"])
+def test_words_that_are_read_again_are_kept(spark, name):
+    """No text is tokenized in the plan that reads them several times."""
+    assert plan(spark, name).count("regexp_replace") == 0
+
+
 @pytest.mark.parametrize(("name", "most"), [("records_norm", 2), ("records_tag_stem", 2), ("phrases_2", 2), ("is_stop_text", 3), ("records_mecab", 5)])
 def test_lines_are_split_once(spark, name, most):
     """One split makes tokens, one the fields of a line; of MeCab lines one each for the two separators."""

@@ -22,9 +22,9 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_list(lines: DataFrame, *keep: str) -> DataFrame:
     """(*keep, rank, freq, word) of lines(value) that are entries of a list."""
-    rows = lines.where(F.col("value").rlike(LINE))
-    part = lambda n: F.regexp_extract("value", LINE, n)
-    return rows.select(*keep, part(1).cast("int").alias("rank"), part(2).cast("decimal(12,2)").alias("freq"), part(3).alias("word"))
+    rows = lines.where(F.col("value").rlike(LINE))  # of these, what stands between the spaces
+    part = lambda n: F.split_part("value", F.lit(" "), F.lit(n))
+    return rows.select(*keep, part(1).cast("int").alias("rank"), part(2).cast("decimal(12,2)").alias("freq"), F.rtrim(part(3), F.lit("\t\n\x0b\f\r")).alias("word"))
 
 
 def ranked(counts: DataFrame, key: str) -> DataFrame:
