@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import DETACHMENTS, Lexicon
+from .hmm import kept
 
 #: Letters of a stem, at least; of a suffix, at most.
 LEAST_STEM, MOST_SUFFIX = 3, 5
@@ -45,7 +46,7 @@ def signatures(words: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
     sizes = words.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
     common = cut.where("suffix <> ''").groupBy("lang", "suffix").agg(F.count(F.lit(1)).alias("n"))
     common = common.join(F.broadcast(sizes), "lang").where(F.col("n") >= F.col("size") * least_share).select("lang", "suffix")  # at most MOST_SUFFIX / least_share for each language
-    rows = cut.where("suffix <> ''").join(common, ["lang", "suffix"], "left_semi").unionByName(cut.where("suffix = ''"))
+    rows = cut.where("suffix <> ''").join(F.broadcast(common), ["lang", "suffix"], "left_semi").unionByName(cut.where("suffix = ''"))
     each = rows.groupBy("lang", "stem").agg(F.sort_array(F.collect_set(F.when(F.col("suffix") == "", NONE).otherwise(F.col("suffix")))).alias("s"))
     return each.where(F.size("s") > 1).select("lang", "stem", F.array_join("s", ".").alias("signature"))
 
@@ -65,8 +66,9 @@ def _detached(word: Column) -> Column:
 
 
 def induced(words: DataFrame, least_share: float = LEAST_SHARE, least_stems: int = LEAST_STEMS) -> DataFrame:
-    """words(lang, word) to lang, form, pos, n_forms: words of the corpus that are lemmas, and with how many endings they were found."""
-    found = signatures(words, least_share)
+    """words(lang, word) to lang, form, pos, n_forms: words of the corpus that are lemmas, and with how many endings they were found.
+    Words are read several times: where they are made from texts, keep them first."""
+    found = kept(signatures(words, least_share), "signatures")
     good = found.join(productive(found, least_stems), ["lang", "signature"], "left_semi").select("lang", "stem")
     ways = words.select("lang", F.explode(_detached(F.col("word"))).alias("d")).select("lang", "d.*")
     rows = ways.join(good, ["lang", "stem"], "left_semi").join(words.withColumnRenamed("word", "form"), ["lang", "form"], "left_semi")

@@ -10,7 +10,7 @@ from ..functions.lexicon import DETACHMENTS, Lexicon
 from ..functions.tokenize import tokenize
 from ..operators import guess, hmm, identify, induction, stem
 from ..operators import sentences as sents
-from .registry import _BASELINE, _POS, _RANKED, _TURNS, _lists, TOKENS, _stem_ctes, _table, _turns, _values, _words, registered
+from .registry import _BASELINE, _POS, _RANKED, _TURNS, TOKENS, _stem_ctes, _table, _turns, _values, _words, lists_of, registered, word_counts
 
 _BLANK = "[\\t-\\r ]"
 #: SQL: the words of all documents with what stands before them, and their counts.
@@ -144,7 +144,13 @@ induced AS MATERIALIZED (
 
 
 def _types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return induction.word_types(_words(spark, sf_dir, "lang"))
+    """The distinct words of each language, kept: they are read several times."""
+    return hmm.kept(induction.word_types(_words(spark, sf_dir, "lang")), "types")
+
+
+def _english(types: DataFrame, spark: SparkSession) -> Lexicon:
+    """The seed with the lemmas that English words show; they are kept, so that Spark knows their size."""
+    return induction.lexicon(hmm.kept(induction.induced(types).where("lang = 'en'"), "lemmas"), Lexicon.seed(spark))
 
 
 @registered(f"WITH {_LEXICON} SELECT lang, signature, n_stems FROM able")
@@ -168,7 +174,7 @@ SELECT low AS word, stem FROM stemmed""")
 def stem_words_induced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stem of every word, by the lemmas that the English documents show beside those of the seed."""
     types = _types(spark, sf_dir)
-    lexicon = induction.lexicon(induction.induced(types).where("lang = 'en'"), Lexicon.seed(spark))
+    lexicon = _english(types, spark)
     return stem.stems(types.select("word").distinct().withColumn("tag", F.lit(None).cast("string")), lexicon).select("word", "stem")
 
 
@@ -227,10 +233,10 @@ WITH RECURSIVE {_LEXICON}, {_RANKED}, {_stem_ctes(f"SELECT low, {_POS.format(tag
 SELECT l.lang, s.stem AS word, sum(l.freq) AS freq FROM listed l JOIN stemmed s ON s.low = lower(l.word) GROUP BY l.lang, s.stem""")
 def freq_translated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lists of all languages by stems, each word of all lists together asked for once."""
-    induced = induction.induced(_types(spark, sf_dir)).where("lang = 'en'")
-    lexicon = induction.lexicon(induced, Lexicon.seed(spark))
+    counts = word_counts(spark, sf_dir)
+    lexicon = _english(hmm.kept(induction.word_types(counts.select("lang", F.col("word").alias("token"))), "types"), spark)
 
     def analyze(words: DataFrame) -> DataFrame:
         return stem.stems(words.withColumn("tag", F.lit(None).cast("string")), lexicon).select("word", F.col("stem").alias("lemma"))
 
-    return frequency.translated(_lists(spark, sf_dir), analyze, "lang")
+    return frequency.translated(lists_of(counts), analyze, "lang")
