@@ -1,8 +1,11 @@
 import json
 import os
+import re
 import uuid
 from decimal import Decimal
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,3 +65,9 @@ def test_a_failed_write_leaves_nothing(session, tmp_path):
     assert not os.path.exists(path) or not [f for f in os.listdir(path) if f.startswith(("part", "_"))]
     with pytest.raises(Exception, match="columns"):
         session.range(1).write.format("freqlist").mode("append").option("path", path).save()
+
+
+def test_lists_are_written_in_batches():
+    assert issubclass(freqlist.Writer, freqlist.DataSourceArrowWriter)
+    signs = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    assert pc.match_substring_regex(pa.array(signs), freqlist.BLANK).to_pylist() == [bool(re.search(r"\s", c)) for c in signs]
