@@ -239,4 +239,4 @@ def freq_translated(spark: SparkSession, sf_dir: str) -> DataFrame:
     def analyze(words: DataFrame) -> DataFrame:
         return stem.stems(words.withColumn("tag", F.lit(None).cast("string")), lexicon).select("word", F.col("stem").alias("lemma"))
 
-    return frequency.translated(lists_of(counts), analyze, "lang")
+    return frequency.translated(hmm.kept(lists_of(counts), "lists"), analyze, "lang")
