@@ -54,3 +54,10 @@ def test_tag_and_stem(spark, lexicon):
 def test_normalize_topic(spark, lexicon):
     topics = spark.createDataFrame([(1, "Big_Dogs_(animal)"), (2, "Dogs")], "topic_id long, topic string")
     assert sorted(map(tuple, stem.normalize_topic(topics, lexicon).collect())) == [(1, "big dog", "n/animal"), (2, "dog", None)]
+
+
+def test_titles_of_one_key(spark, lexicon):
+    """Words of one place: those of the title without disambiguation first, whatever the letters; the SQL on one thread gives the same."""
+    topics = [(1, "the_cold_widgets_(ECONOMY)_x"), (1, "cold_widget"), (2, "the_small_rings_(LARGE)_x"), (2, "small_ring")]
+    rows = stem.normalize_topic(spark.createDataFrame(topics, "topic_id long, topic string"), lexicon).collect()
+    assert sorted({(r.topic_id, r.name) for r in rows}) == [(1, "cold widget cold widgets"), (2, "small ring small rings")]
